@@ -33,6 +33,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirflow.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=2)
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.urls import judge
 
@@ -47,7 +55,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_sharding, op7_urls, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op4_sharding, op6_packing, op7_urls, op10_topk)}
 
 
 #: Words of a text, as DuckDB counts them: pieces between runs of ASCII white space.
