@@ -48,6 +48,15 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules).drop("url")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = learn(docs, ~held_out)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.topk import search
 
@@ -55,7 +64,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_sharding, op6_packing, op7_urls, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op4_sharding, op6_packing, op7_urls, op9_langid, op10_topk)}
 
 
 #: Words of a text, as DuckDB counts them: pieces between runs of ASCII white space.
