@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import table
@@ -33,6 +33,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.quality import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"), ~_held_out(), "quality", at=0.3)
+    scored = score(docs, model)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,9 +65,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.langid import identify, learn
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    model = learn(docs, ~held_out)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    model = learn(docs, ~_held_out())
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +76,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_sharding, op6_packing, op7_urls, op9_langid, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op4_sharding, op5_quality, op6_packing, op7_urls, op9_langid, op10_topk)}
 
 
 #: Words of a text, as DuckDB counts them: pieces between runs of ASCII white space.
