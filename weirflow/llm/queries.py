@@ -26,6 +26,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.fingerprints import compare
+
+    return compare(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.sharding import interleave
 
@@ -76,7 +82,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_sharding, op5_quality, op6_packing, op7_urls, op9_langid, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_fingerprints, op4_sharding, op5_quality, op6_packing, op7_urls, op9_langid, op10_topk)}
 
 
 #: Words of a text, as DuckDB counts them: pieces between runs of ASCII white space.
