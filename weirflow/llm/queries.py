@@ -73,6 +73,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules).drop("url")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.passages import strip
+
+    return strip(table(spark, sf_dir, "documents"), least=100, texts=False)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.langid import identify, learn
 
@@ -88,7 +94,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op9_langid, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk)}
 
 
 #: Words of a text, as DuckDB counts them: pieces between runs of ASCII white space.
