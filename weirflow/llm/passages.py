@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.bytehash import U, Sums, flat, mixed
-from weirflow.llm.common import bounded, materialize
+from weirflow.llm.common import materialize
 from weirflow.llm.packing import slices
 from weirflow.llm.suffixes import maximal_repeats
 
 #: Bytes of the strings of which the one with the smallest hash is an anchor.
 GRAM = 32
 #: Bytes of text in a block, about; fragments counted in one task, about; fragments of an anchor that one task takes.
-BLOCK_BYTES, TASK_FRAGMENTS, HOT = 4 << 20, 2_000_000, 1000
+BLOCK_BYTES, TASK_FRAGMENTS, HOT = 2 << 20, 1_000_000, 1000
 #: Suffixes sorted at once.
 SUFFIXES = 150_000
 
@@ -403,13 +403,11 @@ def strip(docs: DataFrame, least: int = 100, texts: bool = True) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 30 / TASK_FRAGMENTS))
     asked = blocks.mapInArrow(_requests(least, buckets), "bucket int, block long, base long, data binary")
     told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answers, "bucket int, block long, told binary"), "answers")
-    bytes_ = told.agg(F.coalesce(F.sum(F.octet_length("told") + 48), F.lit(0))).first()[0]
     answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
-    decided = materialize(blocks.join(bounded(answers, bytes_, 1), "block", "left").select("block", "data", "told").mapInArrow(_decisions(least, buckets), SENT), "decisions")
+    decided = materialize(blocks.join(answers, "block", "left").select("block", "data", "told").mapInArrow(_decisions(least, buckets), SENT), "decisions")
     compared = decided.where(F.col("kind") != RANGES).repartitionById(buckets, F.col("bucket")).mapInArrow(_compared(least), SENT)
     ranges = materialize(decided.where(F.col("kind") == RANGES).unionByName(compared).select("block", "data"), "ranges")
-    bytes_ = ranges.agg(F.coalesce(F.sum(F.octet_length("data") + 48), F.lit(0))).first()[0]
     found = ranges.groupBy("block").agg(F.collect_list("data").alias("found"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if texts or f.name == "doc_id")
-    cut = blocks.join(bounded(found, bytes_, 1), "block", "left").select("block", "data", "found")
+    cut = blocks.join(found, "block", "left").select("block", "data", "found")
     return cut.mapInArrow(_cut(texts), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
