@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def number_text(x: Column) -> Column:
-    """A double as the shortest text that reads back the same, without exponent from 1e-6 up to 1e21 (ECMAScript's rule)."""
+    """A double as the shortest text that reads back the same, without exponent from 1e-6 up to 1e21 (the rule of ECMAScript).
+
+    Digits are those of the JVM: before JDK 19 a rare value gets one more than it needs.
+    """
     plain = F.when(F.abs(x) < 1, x.cast("string").try_cast("decimal(38,30)").cast("string")).otherwise(x.cast("string").try_cast("decimal(38,16)").cast("string"))
     plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
     wide = F.regexp_replace(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")

@@ -64,7 +64,7 @@ def write_report(audit: DataFrame, summary: dict[str, Any], run_id: str, folder:
 
 
 class Versioned:
-    """A table whose versions are folders; ``_current`` names the one that counts. Works on any file system Spark writes to."""
+    """A table whose versions are folders; ``CURRENT`` names the one that counts. Works on any file system Spark writes to."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType) -> None:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
@@ -74,10 +74,10 @@ class Versioned:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> str | None:
-        fs, path = self._fs(f"{self.root}/_current")
+        fs, path = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(path):
             return None
-        return self.spark.read.text(f"{self.root}/_current").first().value
+        return self.spark.read.text(f"{self.root}/CURRENT").first().value
 
     def read(self) -> DataFrame:
         """The current version; no rows where there is none."""
@@ -88,11 +88,11 @@ class Versioned:
         """A new version, readable only when whole; the version before stays for readers that have it open."""
         at = f"v-{uuid.uuid4().hex}"
         rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.partitionBy(*partition_by).parquet(f"{self.root}/{at}")
-        fs, part = self._fs(f"{self.root}/_current.tmp")
+        fs, part = self._fs(f"{self.root}/CURRENT.tmp")
         out = fs.create(part, True)
         out.write(bytearray(at.encode()))
         out.close()
-        target = self._fs(f"{self.root}/_current")[1]
+        target = self._fs(f"{self.root}/CURRENT")[1]
         fs.delete(target, False)
         if not fs.rename(part, target):
             raise OSError(f"{self.root}: the pointer could not be moved")
