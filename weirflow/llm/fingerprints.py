@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import released
 from weirflow.llm.bytehash import U, Sums, flat, mixed, words
 from weirflow.llm.packing import slices
 
@@ -180,7 +181,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = {r[0]: r[1] for r in rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id")).collect()}
     there = sorted(heads)
     # The head of a part ends the part above it; that of the topmost, the lowest.
-    above = {p: q for p, q in zip(there, [*there[1:], there[0] if there else None], strict=True)}
+    above = {p: q for p, q in zip(there, [*there[1:], *there[:1]], strict=True)}
     width = len(bounds) + 1
     head, to = F.array(*[F.lit(heads.get(p)).cast("long") for p in range(width)]), F.array(*[F.lit(above.get(p)).cast("int") for p in range(width)])
     placed = rows.withColumn("_part", part)
@@ -224,4 +225,4 @@ def compare(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(docs).mapInArrow(released(run), schema)

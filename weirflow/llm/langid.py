@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import released
 from weirflow.llm.packing import slices
 
 #: Hash buckets of byte trigrams (bits), languages at most, score of a language that a word's script rules out.
@@ -123,7 +124,7 @@ def learn(docs: DataFrame, usable: Column, sample: int = 20_000, smoothing: floa
     labels = {x: i for i, x in enumerate(languages)}
     share = min(1.0, sample / n)
     taken = rows if share == 1 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = taken.where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(_learned(labels), "lang int, cell int, n long")
+    counted = taken.where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(released(_learned(labels)), "lang int, cell int, n long")
     cells = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), len(SCRIPTS) + (1 << BITS)))
     counts[cells.column("lang").to_numpy(), cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
@@ -209,6 +210,9 @@ def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
     if not languages:
         return docs.select(*[f"`{c}`" for c in names], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast(spans).alias("spans"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    mark = "_letters"
+    while mark in names:
+        mark += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -231,12 +235,12 @@ def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
                 sure = 1 / (1 + np.exp(-np.clip(best - margin.max(1), -30, 30))) if k > 1 else np.ones(text.texts)
                 total = letters.sum(1)
                 score = np.where(total > 0, letters.max(1) / np.maximum(total, 1) * sure, 0.0)
-                some = part.column(batch.schema.get_field_index("_letters")).to_numpy(zero_copy_only=False) & (total > 0)
+                some = part.column(batch.schema.get_field_index(mark)).to_numpy(zero_copy_only=False) & (total > 0)
                 lang = pc.if_else(pa.array(some), pa.array(languages, pa.string()).take(pa.array(pred)), "und")
                 found = pc.if_else(pa.array(some), _spans(text, path, languages), None)
-                keep = [part.column(i) for i, c in enumerate(batch.schema.names) if c != "_letters"]
-                yield pa.RecordBatch.from_arrays([*keep, lang, pa.array(np.where(some, score, 0.0)), found], [*(c for c in batch.schema.names if c != "_letters"), "lang_pred", "score", "spans"])
+                keep = [part.column(i) for i, c in enumerate(batch.schema.names) if c != mark]
+                yield pa.RecordBatch.from_arrays([*keep, lang, pa.array(np.where(some, score, 0.0)), found], [*(c for c in batch.schema.names if c != mark), "lang_pred", "score", "spans"])
 
-    rows = docs.select(*[f"`{c}`" for c in names], has_letter.alias("_letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_letters")
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {spans}")
+    rows = docs.select(*[f"`{c}`" for c in names], has_letter.alias(mark))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != mark)
+    return rows.mapInArrow(released(run), f"{schema}, lang_pred string, score double, spans {spans}")

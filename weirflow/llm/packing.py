@@ -27,8 +27,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from weirflow.llm.common import released
+
 #: Windows open at once, bytes of text taken at once, stems a worker remembers.
-OPEN, SLICE_BYTES, REMEMBERED = 64, 32 << 20, 200_000
+OPEN, SLICE_BYTES, REMEMBERED = 64, 12 << 20, 200_000
 SPLIT, TAIL = "<|endoftext|>", ".,!?;:|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -108,6 +110,7 @@ class Words:
         flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
         keep = pc.not_equal(flat, "")
         coded, owner = flat.filter(keep).dictionary_encode(), owner.filter(keep).to_numpy()
+        del parts, flat, keep
         codes = coded.indices.to_numpy()
         stem, tail = self._units(coded.dictionary)
         units = pa.concat_arrays([stem, tail]).dictionary_encode()
@@ -262,4 +265,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) ->
         packer.finish()
         yield _rows(packer.drain())
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(released(run), PIECES)

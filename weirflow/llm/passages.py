@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.bytehash import U, Sums, flat, mixed
-from weirflow.llm.common import materialize
+from weirflow.llm.common import materialize, released
 from weirflow.llm.packing import slices
 from weirflow.llm.suffixes import maximal_repeats
 
@@ -398,16 +398,16 @@ def strip(docs: DataFrame, least: int = 100, texts: bool = True) -> DataFrame:
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names]) if texts else docs.select("doc_id", "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    blocks = materialize(rows.mapInArrow(_pack, "block long, data binary"), "blocks")
+    blocks = materialize(rows.mapInArrow(released(_pack), "block long, data binary"), "blocks")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 30 / TASK_FRAGMENTS))
-    asked = blocks.mapInArrow(_requests(least, buckets), "bucket int, block long, base long, data binary")
-    told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answers, "bucket int, block long, told binary"), "answers")
+    asked = blocks.mapInArrow(released(_requests(least, buckets)), "bucket int, block long, base long, data binary")
+    told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(released(_answers), "bucket int, block long, told binary"), "answers")
     answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
-    decided = materialize(blocks.join(answers, "block", "left").select("block", "data", "told").mapInArrow(_decisions(least, buckets), SENT), "decisions")
-    compared = decided.where(F.col("kind") != RANGES).repartitionById(buckets, F.col("bucket")).mapInArrow(_compared(least), SENT)
+    decided = materialize(blocks.join(answers, "block", "left").select("block", "data", "told").mapInArrow(released(_decisions(least, buckets)), SENT), "decisions")
+    compared = decided.where(F.col("kind") != RANGES).repartitionById(buckets, F.col("bucket")).mapInArrow(released(_compared(least)), SENT)
     ranges = materialize(decided.where(F.col("kind") == RANGES).unionByName(compared).select("block", "data"), "ranges")
     found = ranges.groupBy("block").agg(F.collect_list("data").alias("found"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if texts or f.name == "doc_id")
     cut = blocks.join(found, "block", "left").select("block", "data", "found")
-    return cut.mapInArrow(_cut(texts), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.mapInArrow(released(_cut(texts)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import released
 from weirflow.llm.packing import slices
 
 SLICE_BYTES = 4 << 20
@@ -115,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["label", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("_label", "text")
-    found = joined.mapInArrow(run, "label int, x array<double>").toArrow().combine_chunks()
+    found = joined.mapInArrow(released(run), "label int, x array<double>").toArrow().combine_chunks()
     order = np.lexsort([*np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES)).T, found.column("label").to_numpy()]) if found.num_rows else np.zeros(0, int)
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return fit(x, found.column("label").to_numpy()[order], at)
@@ -135,4 +136,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(released(run), f"{schema}, score double")

@@ -22,6 +22,9 @@ def enhanced_suffix_array(data: np.ndarray, offsets: np.ndarray, least: int) ->
     width = int(size.max(initial=0))
     if not len(string):
         return string, position, np.zeros(0, np.int64)
+    # Shorter suffixes first: of two that differ in zero bytes at the end only, the sort below, being stable, keeps this order.
+    short = np.argsort(size[string] - position, kind="stable")
+    string, position = string[short], position[short]
     length = size[string] - position
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, width)[offsets[string] + position]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import released
+
 #: Bytes of queries sent at once, and scores held at once in a task.
 QUERY_BYTES, SCORES = 4 << 20, 4 << 20
 LIMIT = (1 << 63) - 1
@@ -105,7 +107,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toArrow().combine_chunks()
         ids = own.column("vec_id").to_numpy()
         asked = _matrix(own.column("embedding").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64())), scale)
-        parts.append(rows.select("vec_id", "embedding").mapInArrow(_search(ids, asked, k, scale), "query_id long, vec_id long, score long"))
+        parts.append(rows.select("vec_id", "embedding").mapInArrow(released(_search(ids, asked, k, scale)), "query_id long, vec_id long, score long"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

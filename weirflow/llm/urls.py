@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import BROADCAST_BYTES, bounded
+from weirflow.llm.common import BROADCAST_BYTES, bounded, released
 
 #: Bits of a block (a cache line), and bits set in it for a key.
 BLOCK_BITS, PROBES = 512, 8
@@ -126,7 +126,7 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     # Equal rows are judged once and counted, so that a page that makes up much of the table is one row from here on.
     once = parts(pages.select("page_id", "url").groupBy("page_id", "url").agg(F.count("*").alias("times")))
     schema = "page_id {}, url string, times long, host string, path string, hits array<struct<h: string, p: string>>"
-    passed = once.mapInArrow(hits, schema.format(pages.schema["page_id"].dataType.simpleString()))
+    passed = once.mapInArrow(released(hits), schema.format(pages.schema["page_id"].dataType.simpleString()))
     listed = bounded(rules.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("hn"), F.concat("host", "path").alias("rule"), "verdict").alias("found")), n, width * 8 + 64)
     best = (
         passed.select("page_id", "url", "times", "host", "path", F.explode_outer("hits").alias("key"))
