@@ -221,6 +221,42 @@ def test_send_all_stops(spark):
     assert pipeline.run_export(rows) == {"total": 3, "qualifying": 3, "skipped": 0, "dry_run": True, "sent": 0}
 
 
+def test_http_sender():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append((self.headers["Authorization"], body))
+            self.send_response(body["status"])
+            self.end_headers()
+            self.wfile.write(body["answer"].encode())
+
+        def do_GET(self):
+            self.send_response(403 if self.path == "/no" else 404)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    send = outbound.HttpSender(f"{url}/yes", "secret")
+    assert send({"status": 201, "answer": '{"data": {"id": 5}}'}) == (201, "5") and got[0][0] == "Bearer secret"
+    assert send({"status": 200, "answer": "no json"}) == (200, None)
+    assert send({"status": 422, "answer": "{}"}) == (422, None)
+    assert send.probe() and not outbound.HttpSender(f"{url}/no", "k").probe()
+    server.shutdown()
+    server.server_close()
+    assert send({"status": 200, "answer": ""}) == (None, None) and not send.probe()
+    with pytest.raises(ValueError):
+        outbound.HttpSender("", "k")
+
+
 def test_accounts(spark):
     found = account_frame(spark, [{"provider": "CAL", "providerAccountId": "a", "enabled": False, "default": True}, {"provider": "cal", "accountId": "b", "daysBack": 30}, {"provider": "cal", "daysBack": 2.5}])
     rows = accounts.normalize_accounts(found)

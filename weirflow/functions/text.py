@@ -21,8 +21,9 @@ PENDING_MARKERS = [
     "תהליך קליטה",
 ]
 
-#: What an error about a lost login says.
-AUTH_FAILURES = ["session expired", "authentication", "login failed"]
+#: Name of a login error, and what other errors about a lost login say.
+LOGIN_ERROR = "CalLoginError"
+AUTH_FAILURES = ["Login verification failed", "login iframe did not appear", "Missing credentials"]
 
 
 def parse_amount(raw: Column) -> Column:
@@ -119,11 +120,12 @@ def is_timeout(message: Column) -> Column:
     return F.coalesce(message.rlike("(?i)timeout|timed out"), F.lit(False))
 
 
-def is_auth_failure(message: Column, phrases: Sequence[str] = AUTH_FAILURES) -> Column:
-    found = F.lit(False)
+def is_auth_failure(name: Column, message: Column, phrases: Sequence[str] = AUTH_FAILURES) -> Column:
+    """Whether a stored session is of no more use: by the error's name, or what it says."""
+    found = F.coalesce(name == LOGIN_ERROR, F.lit(False))
     for p in phrases:
-        found = found | F.contains(F.lower(message), F.lit(p))
-    return F.coalesce(found, F.lit(False))
+        found = found | F.coalesce(F.contains(message, F.lit(p)), F.lit(False))
+    return found
 
 
 def scrub(value: Column, schema: str, secrets: Sequence[str | None]) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -76,6 +79,41 @@ def send_each(to_send: DataFrame, sender: Sender) -> DataFrame:
     return spark.createDataFrame([Row(**x) for x in results()], RESULT)
 
 
+class HttpSender:
+    """POSTs a payload as JSON with a bearer key. The key and the payload are in no message; no answer is (None, None)."""
+
+    def __init__(self, url: str, key: str, timeout: float = 30) -> None:
+        if not url or not key:
+            raise ValueError("sending needs the finance API's URL and key")
+        self._url, self._key, self.timeout = url, key, timeout
+
+    def _ask(self, body: bytes | None) -> tuple[int | None, bytes]:
+        headers = {"Authorization": f"Bearer {self._key}"} | ({"Content-Type": "application/json"} if body else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self._url, body, headers), timeout=self.timeout) as answer:
+                return answer.status, answer.read()
+        except urllib.error.HTTPError as error:
+            return error.code, b""
+        except OSError:
+            return None, b""
+
+    def __call__(self, sent: dict[str, Any]) -> tuple[int | None, str | None]:
+        status, body = self._ask(json.dumps(sent).encode())
+        try:
+            found = json.loads(body)
+        except ValueError:
+            return status, None
+        inner = found.get("data") if isinstance(found, dict) else None
+        ids = [found.get("id"), found.get("transaction_id"), inner.get("id") if isinstance(inner, dict) else None] if isinstance(found, dict) else []
+        first = next((x for x in ids if x is not None), None)
+        return status, None if first is None else str(first)
+
+    def probe(self) -> bool:
+        """Whether the system answers, and doesn't refuse the key; nothing is sent."""
+        status, _ = self._ask(None)
+        return status is not None and status not in (401, 403)
+
+
 class SendError(Exception):
     """The first failure of ``send_all``; earlier rows stay sent."""
 

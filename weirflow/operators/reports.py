@@ -135,7 +135,7 @@ def account_event(runs: DataFrame) -> DataFrame:
 
 
 def event_text(kind: Column, who: Column, counts: Column) -> Column:
-    """One line for an event: ``counts`` is a struct of fetched, pending, created, updated, unchanged, duplicates, exported, status."""
+    """One line for an event, in fixed wording: ``counts`` is a struct of fetched, pending, created, updated, unchanged, duplicates, exported, status."""
     c = counts.getField
     return (
         F.when(kind == "login", F.concat(F.lit("   "), who, F.lit(" — logged in.")))

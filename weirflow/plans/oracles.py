@@ -118,7 +118,7 @@ ORACLES = {
     "file_name": "select page_id, lower(regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g')) as name from pages",
     "state_name": "select c_custkey, case when c_custkey % 3 = 2 then 'cal_' || c_name else 'cal' end as name from customer",
     "secret_scrub": "select doc_id, replace(source, 'src1', '[REDACTED]') as a, lang || ',' || replace(source, 'src1', '[REDACTED]') as b from documents",
-    "auth_failure": "select event_id, event_id % 5 = 0 as auth, event_id % 5 = 1 as timeout from events",
+    "auth_failure": "select event_id, event_id % 5 = 0 or event_id % 7 = 0 as auth, event_id % 5 = 1 as timeout from events",
     "backoff_schedule": "select n_nationkey, floor(1000 * pow(1.5, n_nationkey) + 0.5)::bigint as wait, floor(100 * pow(2.0, n_nationkey) + 0.5)::bigint as doubling from nation",
     "extract_detail": "select o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus else 'later' end as status, trim(o_orderpriority) as priority, '' as missing from orders",
     "normalize_txn": f"with {_TXN} select * exclude (amount_raw) from txn",

@@ -174,8 +174,10 @@ def secret_scrub(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def auth_failure(s: SparkSession, d: str) -> DataFrame:
-    message = F.concat(F.col("event_type"), F.when(F.col("event_id") % 5 == 0, F.lit(": Session expired")).when(F.col("event_id") % 5 == 1, F.lit(": request Timed Out")).otherwise(F.lit("")))
-    return table(s, d, "events").select("event_id", text.is_auth_failure(message).alias("auth"), text.is_timeout(message).alias("timeout"))
+    k = F.col("event_id") % 5
+    message = F.concat(F.col("event_type"), F.when(k == 0, F.lit(": Login verification failed")).when(k == 1, F.lit(": request Timed Out")).otherwise(F.lit("")))
+    name = F.when(F.col("event_id") % 7 == 0, F.lit(text.LOGIN_ERROR)).when(F.col("event_id") % 7 == 1, F.lit("Error"))
+    return table(s, d, "events").select("event_id", text.is_auth_failure(name, message).alias("auth"), text.is_timeout(message).alias("timeout"))
 
 
 @query
