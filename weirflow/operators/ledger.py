@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from weirflow.functions.identity import content_hash
 from weirflow.operators.cdc import KEY
 from weirflow.operators.outbound import positive
-from weirflow.operators.reports import REASON_TEXT  # noqa: F401
 
 #: Reasons for which a whole run sends nothing, in the order in which they are asked.
 GATES = ["finance_disabled", "missing_api_url", "missing_api_key", "fetch_failed"]
