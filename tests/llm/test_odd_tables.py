@@ -86,6 +86,13 @@ def test_neardup(docs):
         assert found[2] == [(0, 2)] and found[3] == [(0, 3)] and found[4] == [(0, 4)] and found[5] == [(1, 5)] and found[None] == [(1, None)]
 
 
+def test_neardup_of_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "x"])), (9, " ".join(["y", *words[1:]])), (None, "alone here")]
+    got = sorted((r.n_shingles, r.component_id is None) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, True), (56, False), (56, False), (56, False)]
+
+
 def test_quality(docs):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     model = quality.learn(docs, labels, F.col("doc_id").isNotNull())
@@ -104,11 +111,11 @@ def test_packing(docs):
 
 def test_passages(docs):
     cut = passages.strip(docs, 100)
-    assert cut.columns == [*(c for c in docs.columns if c != "n_bytes"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert cut.columns == [*(c for c in docs.columns if c != "n_bytes"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
     rows = {r.doc_id: r for r in cut.collect()}
     if rows:
         assert (rows[2].n_bytes, rows[2].n_removed, rows[2].kept_sha256) == (0, 0, hashlib.sha256(b"").hexdigest())
-        assert (rows[6].n_bytes, rows[6].n_removed, rows[6].n_spans) == (600, 598, 1)
+        assert (rows[6].n_bytes, rows[6].n_removed, rows[6].n_spans) == (600, 598, 1) and rows[6].removed == [(2, 598)]
         assert rows[1].n_removed == 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -282,6 +283,9 @@ def test_squares(sizes, most):
     assert all(sorted(got[d]) == list(range(n)) for d, n in enumerate(sizes))
 
 
+words_of = functools.cache(packing.Words)
+
+
 def test_best_level_minimises_squares():
     packer = packing.SquaresPacker(10, 0, 100)
     packer.counts[[2, 5, 7]] = [3, 1, 1]
@@ -304,9 +308,7 @@ def test_best_level_minimises_squares():
 def test_words_encode_like_the_tokenizer(texts):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("word_bpe_49k.json")
-    if path not in packing._WORDS:
-        packing._WORDS[path] = packing.Words(path)
-    w = packing._WORDS[path]
+    w = words_of(path)
     texts = [*texts, "<|endoftext|>x <|ENDOFTEXT|>, it's."]
     got = [i for ids, _ in w.encode(pa.array(texts)) for i in ids.tolist()]
     assert got == [i for t in texts for i in w.tokenizer.encode(t, add_special_tokens=False).ids]

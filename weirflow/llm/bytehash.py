@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from weirflow.llm.common import AFTER_TASK
+
 U = np.uint64
 #: Seeded, so that every machine and run has the same: values of bytes, and an odd factor with its inverse.
 VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -20,7 +22,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Emptied after each task, with what else a worker needn't keep.
 _powers: dict[int, np.ndarray] = {}
+AFTER_TASK.append(_powers.clear)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

@@ -44,22 +44,65 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables made within each open ``scratch``.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are materialized within go at the end, except what is materialized by the function that this gives.
+
+    Results that outlive it must not read the others. Without it, tables stay until the session ends.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_scratch[-1].pop())
+        return out
+
+    _scratch.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _scratch:
+            _scratch[-1] += kept
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if ``rows`` (a count already made) of ``row_bytes`` fit the bound; else unchanged, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What modules want emptied at the end of a task.
+AFTER_TASK: list[Callable[[], None]] = []
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, a function over a task's batches, that gives free memory back to the system at the end of the task.
 
-    Python workers live on between tasks; what their allocators keep would count against the executor's memory.
+    Python workers live on between tasks; what their allocators keep would count against the executor's memory. Batches on
+    their way to the workers are bounded in bytes too, where the session doesn't bound them: Spark's own bound is in rows.
     """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(BATCH, None) is None:
+        session.conf.set(BATCH, "4m")
 
     def wrapped(batches: Iterator) -> Iterator:
+        from weirflow.llm import common  # this function is sent by value; the worker's own module has what is to be emptied
+
         yield from run(batches)
+        for clear in common.AFTER_TASK:
+            clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ from weirflow.llm.packing import slices
 #: Cells in each of the three parts of a fingerprint; how much larger each retry is; one word in so many ends a paragraph.
 PART_CELLS, RETRY, EVERY = 16, 4, 4
 #: Rows in a partition of the order, about; bytes of text taken at once.
-PARTITION_ROWS, SLICE_BYTES = 12_000, 3 << 20
+PARTITION_ROWS, SLICE_BYTES = 12_000, 2 << 20
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 

@@ -28,7 +28,7 @@ from weirflow.llm.packing import slices
 
 #: Hash buckets of byte trigrams (bits), languages at most, score of a language that a word's script rules out.
 BITS, LANGUAGES, RULED_OUT = 16, 1000, -1e4
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 
 #: Script of a character by the lead byte of its UTF-8 form, as half-open ranges of lead bytes.
 SCRIPT_RANGES = [

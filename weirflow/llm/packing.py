@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from weirflow.llm.common import released
 
-#: Windows open at once, bytes of text taken at once, stems a worker remembers.
-OPEN, SLICE_BYTES, REMEMBERED = 64, 12 << 20, 200_000
+#: Windows open at once, bytes of text taken at once, stems a task remembers.
+OPEN, SLICE_BYTES, REMEMBERED = 64, 4 << 20, 100_000
 SPLIT, TAIL = "<|endoftext|>", ".,!?;:|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,9 +44,9 @@ def _gather(store: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Words:
     """Ids of texts for a tokenizer that never joins what white space parts, and parts a letter from the punctuation behind it.
 
-    A text is its words; a word is a stem and the punctuation behind it. Distinct stems are encoded once a batch, frequent
-    ones once a worker. ``tokenizer`` encodes whatever may need its rules; ``bare`` is the same model without them, for
-    stems of lower-case letters in normal form, on which the rules do nothing.
+    A text is its words; a word is a stem and the punctuation behind it. Distinct stems are encoded once a slice, frequent
+    ones once a task. Stems of lower-case letters in normal form, on which the tokenizer's rules do nothing, are encoded
+    without the rules.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,9 +54,8 @@ class Words:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.no_rules = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.split_id = self.tokenizer.token_to_id(SPLIT)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -73,11 +72,13 @@ class Words:
         bare = np.fromiter(map(self._bare, stems), bool, len(stems))
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         order = np.concatenate([np.flatnonzero(bare), np.flatnonzero(~bare)])
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.no_rules
         for at in range(0, int(bare.sum()), 2000):
             run = [stems[i] for i in order[at : min(at + 2000, int(bare.sum()))]]
-            got = np.array(self.bare.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
             ids.append(got)
             lengths.append(np.diff(np.flatnonzero(self.ends[got]), prepend=-1))
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.rules
         odd = [stems[i] for i in order[int(bare.sum()) :]]
         marked = [SPLIT[:2] in w for w in odd]
         # Stems without the mark of a special token are encoded together, with one between them.
@@ -227,10 +228,6 @@ class SquaresPacker:
         return rows
 
 
-#: Kept while a worker lives, so that later tasks know the frequent words.
-_WORDS: dict[str, Words] = {}
-
-
 def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` of about ``size`` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -249,9 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) ->
     """A row for each piece of each document: see ``PIECES``. ``tokenizer``: path of its file on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = Words(tokenizer)
-        words = _WORDS[tokenizer]
+        words = Words(tokenizer)
         packer = SquaresPacker(size, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for part in slices(batch, 1):

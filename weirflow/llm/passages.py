@@ -35,16 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.bytehash import U, Sums, flat, mixed
-from weirflow.llm.common import materialize, released
+from weirflow.llm.common import materialize, released, scratch
 from weirflow.llm.packing import slices
 from weirflow.llm.suffixes import maximal_repeats
 
 #: Bytes of the strings of which the one with the smallest hash is an anchor.
 GRAM = 32
 #: Bytes of text in a block, about; fragments counted in one task, about; fragments of an anchor that one task takes.
-BLOCK_BYTES, TASK_FRAGMENTS, HOT = 2 << 20, 1_000_000, 1000
+BLOCK_BYTES, TASK_FRAGMENTS, HOT = 1 << 19, 1_000_000, 1000
 #: Suffixes sorted at once.
-SUFFIXES = 150_000
+SUFFIXES = 60_000
 
 LAST = (1 << 63) - 1
 #: A covered stretch of a block's text: row in the block, start, length.
@@ -365,6 +365,12 @@ def _compared(least: int):
 # The operator ---------------------------------------------------------------------------------------------------------
 
 
+def _listed(ranges: np.ndarray, rows: int) -> pa.Array:
+    """The ranges of each row as a list of (start, length)."""
+    values = pa.StructArray.from_arrays([pa.array(ranges[c].astype(np.int64)) for c in ("start", "length")], ["start", "length"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(ranges["row"], np.arange(rows + 1)).astype(np.int32)), values)
+
+
 def _cut(extra: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,30 +390,32 @@ def _cut(extra: bool):
                 left = [rows.column("doc_id").combine_chunks()]
                 keep = ["doc_id"]
                 if extra:
-                    keep = [c for c in rows.schema.names if c not in names]
+                    keep = rows.schema.names
+                    out.append(_listed(ranges, len(size)))
                     left = [rows.column(c).combine_chunks() if c != "text" else pa.array([x.decode("utf-8", "ignore") for x in pieces]) for c in keep]
-                yield pa.RecordBatch.from_arrays([*left, *out], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*left, *out], [*keep, *names, *(["removed"] if extra else [])])
 
     return run
 
 
 def strip(docs: DataFrame, least: int = 100, texts: bool = True) -> DataFrame:
     """Every row with n_bytes, n_removed, n_spans and kept_sha256 (of the bytes left), and, with ``texts``, its columns, the
-    text being what is left (bytes of a character that was cut apart are dropped)."""
+    text being what is left (bytes of a character that was cut apart are dropped), and ``removed``, the stretches cut out."""
     spark = docs.sparkSession
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names]) if texts else docs.select("doc_id", "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     blocks = materialize(rows.mapInArrow(released(_pack), "block long, data binary"), "blocks")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 30 / TASK_FRAGMENTS))
-    asked = blocks.mapInArrow(released(_requests(least, buckets)), "bucket int, block long, base long, data binary")
-    told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(released(_answers), "bucket int, block long, told binary"), "answers")
-    answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
-    decided = materialize(blocks.join(answers, "block", "left").select("block", "data", "told").mapInArrow(released(_decisions(least, buckets)), SENT), "decisions")
-    compared = decided.where(F.col("kind") != RANGES).repartitionById(buckets, F.col("bucket")).mapInArrow(released(_compared(least)), SENT)
-    ranges = materialize(decided.where(F.col("kind") == RANGES).unionByName(compared).select("block", "data"), "ranges")
+    with scratch(spark) as keep:
+        asked = blocks.mapInArrow(released(_requests(least, buckets)), "bucket int, block long, base long, data binary")
+        told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(released(_answers), "bucket int, block long, told binary"), "answers")
+        answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
+        decided = materialize(blocks.join(answers, "block", "left").select("block", "data", "told").mapInArrow(released(_decisions(least, buckets)), SENT), "decisions")
+        compared = decided.where(F.col("kind") != RANGES).repartitionById(buckets, F.col("bucket")).mapInArrow(released(_compared(least)), SENT)
+        ranges = keep(decided.where(F.col("kind") == RANGES).unionByName(compared).select("block", "data"), "ranges")
     found = ranges.groupBy("block").agg(F.collect_list("data").alias("found"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if texts or f.name == "doc_id")
     cut = blocks.join(found, "block", "left").select("block", "data", "found")
-    return cut.mapInArrow(released(_cut(texts)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.mapInArrow(released(_cut(texts)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed array<struct<start: long, length: long>>" * texts)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import released
 from weirflow.llm.packing import slices
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 KINDS = ("upper", "letter", "digit", "space", "line end", "stop", "mark")
 FEATURES = ("log words", "bytes a word", *KINDS, "same word again", "distinct words", "log distinct words", "distinct lines", "log lines", "marks a word", "log upper", "log marks", "log again")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import materialize, sealed, unit
 
 #: Rows that share a cell, and so a window, on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 5_000
 
 
 def _ranked(rows: DataFrame, group: list[str], cell: str, order: list, name: str) -> DataFrame:
