@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from weirflow.llm.common import released
 
 #: Windows open at once, bytes of text taken at once, stems a task remembers.
-OPEN, SLICE_BYTES, REMEMBERED = 64, 4 << 20, 100_000
+OPEN, SLICE_BYTES, REMEMBERED = 64, 16 << 20, 150_000
 SPLIT, TAIL = "<|endoftext|>", ".,!?;:|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -237,6 +237,18 @@ def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in order, in batches of about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in PIECES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
@@ -248,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer)
         packer = SquaresPacker(size, TaskContext.get().partitionId() << 33)
-        for batch in batches:
+        for batch in gathered(batches):
             for part in slices(batch, 1):
                 names = iter(part.column(0).to_pylist())
                 for ids, lengths in words.encode(part.column(1)):
