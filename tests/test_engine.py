@@ -9,9 +9,10 @@ from weirflow.functions import identity
 from weirflow.operators import accounts, cdc, ledger, normalize, outbound, reports
 from weirflow.plans import pipeline
 from weirflow.schema import LEDGER, RAW, SEEN, TXN, with_defaults
-from weirflow.sources.files import InputError, account_frame, load_accounts, load_checkpoint, load_transactions, read_valid
+from weirflow.sources.files import InputError, account_frame, JsonLines, configured_accounts, load_accounts, load_settings, load_transactions, read_valid, resolve_credentials, save_settings
 from weirflow.sources.registry import Registry, SourceAdapter, UnknownSource
-from weirflow.sources.sinks import Busy, Versioned, csv_rows, export_file, export_json, single_flight, write_report
+from weirflow.sources.sinks import csv_rows, export_file, export_json, write_report
+from weirflow.sources.store import Busy, Checkpoints, Files, Journal, Lost, Moved, Versioned, single_flight
 from weirflow.streaming.incremental import capture_stream
 
 STAMP = "2026-01-02 03:04:05"
@@ -246,13 +247,13 @@ def test_http_sender():
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}"
     send = outbound.HttpSender(f"{url}/yes", "secret")
-    assert send({"status": 201, "answer": '{"data": {"id": 5}}'}) == (201, "5") and got[0][0] == "Bearer secret"
-    assert send({"status": 200, "answer": "no json"}) == (200, None)
-    assert send({"status": 422, "answer": "{}"}) == (422, None)
+    assert send({"status": 201, "answer": '{"data": {"id": 5}}'}) == (201, "5", None) and got[0][0] == "Bearer secret"
+    assert send({"status": 200, "answer": "no json"}) == (200, None, None)
+    assert send({"status": 422, "answer": "bad secret " + "x" * 300}) == (422, None, "HTTP 422 — bad [REDACTED] " + "x" * 185 + "…[truncated]")
     assert send.probe() and not outbound.HttpSender(f"{url}/no", "k").probe()
     server.shutdown()
     server.server_close()
-    assert send({"status": 200, "answer": ""}) == (None, None) and not send.probe()
+    assert send({"status": 200, "answer": ""})[:2] == (None, None) and not send.probe()
     with pytest.raises(ValueError):
         outbound.HttpSender("", "k")
 
@@ -290,14 +291,13 @@ def test_loading(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"seq": 1}\nbroken\n{"seq": 2}\n')
     rows, warnings = read_valid(spark, str(tmp_path / "l.json"), TXN)
     assert sorted(r.seq for r in rows.collect()) == [1, 2] and [r.warning for r in warnings.collect()] == ["broken"]
-    assert load_checkpoint(str(tmp_path / "nothing")) is None
 
 
 def test_sinks(spark, tmp_path):
     state = Versioned(spark, str(tmp_path / "s"), SEEN)
     assert state.read().count() == 0
-    state.write(seen(spark, [("k", "h")]), ("provider", "provider_account_id"))
-    state.write(state.read().unionByName(seen(spark, [("l", "h")])), ("provider", "provider_account_id"))
+    state.write(seen(spark, [("k", "h")]))
+    state.write(state.read().unionByName(seen(spark, [("l", "h")])))
     assert sorted(r.dedup_key for r in state.read().collect()) == ["k", "l"]
     rows = txns(spark, [X1])
     assert export_json(rows, str(tmp_path / "out"), "2026-01-01") and not export_json(rows.limit(0), str(tmp_path / "none"), "x")
@@ -309,9 +309,15 @@ def test_sinks(spark, tmp_path):
     empty = ledger.audit(considered(spark, []).withColumns({"finance_status": F.lit("x"), "reason": F.lit("x")}), "r", "t")
     _, path = write_report(empty, {}, "r", str(tmp_path))
     assert open(path).read() == ",".join(reports.AUDIT_COLUMNS) + "\n"
-    with single_flight(), pytest.raises(Busy), single_flight():
+    root = str(tmp_path / "locked")
+    with single_flight(spark, root), pytest.raises(Busy), single_flight(spark, root):
         pass
-    with single_flight():
+    with single_flight(spark, root):
+        pass
+    Files(spark).create(f"{root}/lock", "a driver that was lost")
+    with pytest.raises(Busy), single_flight(spark, root):
+        pass
+    with single_flight(spark, root, lease=-1):
         pass
 
 
@@ -366,3 +372,228 @@ def test_metrics(spark):
     r = reports.metrics(spark.createDataFrame(rows, schema)).first()
     assert (r.total_runs, r.successful_runs, r.failed_runs, r.total_retries, r.total_re_auths, r.total_transactions_fetched, r.resumed_runs, r.checkpoint_recoveries, r.last_run_status, r.last_run_provider) == (2, 1, 1, 1, 1, 5, 1, 1, "failed", "b")
     assert reports.metrics(spark.createDataFrame([], schema)).first().total_runs == 0
+
+
+ROW = {"transaction_ts_raw": "01/05/26", "charge_date_raw": "31/05/26", "business_name": "S"}
+
+
+def listed(*names):
+    return [{"provider": n, "provider_account_id": "default", "display_name": n.title()} for n in names]
+
+
+class Given(SourceAdapter):
+    """Rows, a warning for each of ``bad``, and errors in turn."""
+
+    rows, bad, errors, reads, logins = (), (), (), [], []
+
+    def read(self, spark, as_of, days_back):
+        raise NotImplementedError
+
+    def fetch(self, spark, as_of, days_back, start_index=0):
+        self.reads.append(start_index)
+        if len(self.reads) <= len(self.errors):
+            raise self.errors[len(self.reads) - 1]
+        from weirflow.sources.registry import Fetched
+
+        return Fetched(raw(spark, [r for r in self.rows if r["seq"] >= start_index]), spark.createDataFrame([(b,) for b in self.bad], "warning string"))
+
+    def login(self):
+        self.logins.append(1)
+        return False
+
+    def is_auth_error(self, error):
+        return "session" in str(error)
+
+
+def registered(**kinds):
+    sources = Registry()
+    for name, fields in kinds.items():
+        sources.register(name, type(name, (Given,), fields | {"reads": [], "logins": []}))
+    return sources
+
+
+def test_pending_rows_stay_out_of_runs(spark, tmp_path):
+    from weirflow.functions.text import PENDING_MARKERS
+
+    rows = [ROW | {"seq": 0, "amount_raw": "$1"}, ROW | {"seq": 1, "amount_raw": "$1", "panel_text": f"x {PENDING_MARKERS[0]}"}, ROW | {"seq": 2, "amount_raw": "$1"}]
+    found = pipeline.capture(raw(spark, rows), seen(spark, []))
+    assert sorted(r.dedup_key[16:] for r in found.delta.collect()) == ["", "|#2"] and found.pending.first().pending_skipped == 1
+    out = pipeline.run_accounts(spark, listed("cal"), registered(cal={"rows": rows}), str(tmp_path), None, "2026-06-01", STAMP)
+    assert (out.accounts[0]["transactions_fetched"], out.accounts[0]["pending_skipped"], out.accounts[0]["exported"]) == (2, 1, 2)
+
+
+def test_accounts_of_different_providers_stay_apart(spark, tmp_path):
+    rows = [ROW | {"seq": 0, "amount_raw": "$1"}]
+    sources = registered(cal={"rows": rows, "label": "CAL"}, other={"rows": rows})
+    out = pipeline.run_accounts(spark, listed("cal", "other"), sources, str(tmp_path), None, "2026-06-01", STAMP)
+    assert sorted((r.provider, "|#" in r.dedup_key, r.local_dedup_status) for r in out.considered.collect()) == [("CAL", False, "new"), ("other", False, "new")]
+    assert [a["exported"] for a in out.accounts] == [1, 1]
+    twice = pipeline.run_accounts(spark, listed("cal", "cal"), sources, str(tmp_path), None, "2026-06-01", STAMP)
+    assert [a["status"] for a in twice.accounts] == ["success", "failed"] and twice.accounts[0]["unchanged"] == 1
+
+
+def test_one_bad_account_fails_alone_even_late(spark, tmp_path):
+    class Late(SourceAdapter):
+        def read(self, spark, as_of, days_back):
+            return raw(spark, [{"seq": 0}]).withColumn("card_name", F.raise_error(F.lit("down")).cast("string"))
+
+    sources = registered(good={"rows": [ROW | {"seq": 0, "amount_raw": "$1"}], "bad": ["row 3 skipped"]})
+    sources.register("late", Late)
+    events = []
+    out = pipeline.run_accounts(spark, listed("late", "good"), sources, str(tmp_path / "s"), str(tmp_path / "out"), "2026-06-01", STAMP, listener=lambda kind, said: (events.append(kind), 1 / 0))
+    assert [a["status"] for a in out.accounts] == ["failed", "partial"] and "down" in out.accounts[0]["error"]
+    assert out.summary == {"total_accounts": 2, "succeeded": 1, "failed": 1, "total_transactions_exported": 1, "total_transactions_considered": 1}
+    assert out.warnings == ["row 3 skipped"] and out.accounts[1]["skipped"] == 1
+    assert events == ["account-start", "login", "account-error", "account-start", "login", "fetched", "dedup", "export", "account-done"]
+    assert spark.read.json(out.accounts[1]["export_path"]).count() == 1
+
+
+def test_a_lost_login_is_renewed_once(spark, tmp_path):
+    sources = registered(cal={"rows": [ROW | {"seq": 0, "amount_raw": "$1"}], "errors": [OSError("session gone")]}, bad={"errors": [OSError("session gone")] * 2}, worse={"errors": [OSError("other")]})
+    out = pipeline.run_accounts(spark, listed("cal", "bad", "worse"), sources, str(tmp_path), None, "2026-06-01", STAMP)
+    assert [(a["status"], a["re_auth_occurred"]) for a in out.accounts] == [("success", True), ("failed", True), ("failed", False)]
+    assert [len(sources._classes[n].logins) for n in ("cal", "bad", "worse")] == [2, 2, 1]
+
+
+def test_a_run_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    rows = [ROW | {"seq": i, "amount_raw": "$1"} for i in range(3)]
+    first = registered(cal={"rows": rows[:2], "bad": ["prior warning"]})
+    go = lambda sources, **o: pipeline.run_accounts(spark, listed("cal"), sources, str(tmp_path), None, "2026-06-01", STAMP, **o)
+    monkeypatch.setattr(cdc, "upsert_seen", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        go(first)
+    monkeypatch.undo()
+    kept = Checkpoints(spark, f"{tmp_path}/checkpoints")
+    assert kept.load("cal", "default")["next_index"] == 2
+    second = registered(cal={"rows": rows})
+    out = go(second, resume=True)
+    assert second._classes["cal"].reads == [2] and kept.load("cal", "default") is None
+    a = out.accounts[0]
+    assert a["resumed"] and a["checkpoint_path"] and (a["transactions_fetched"], a["considered"], a["exported"]) == (1, 3, 3) and out.warnings == ["prior warning"]
+    assert go(registered(cal={"rows": rows}), resume=True).accounts[0]["unchanged"] == 3
+    kept.clear("cal", "nobody")
+
+
+def test_state_is_never_lost(spark, tmp_path):
+    root = str(tmp_path / "s")
+    state, files = Versioned(spark, root, SEEN, keep=2), Files(spark)
+    for k in "abcd":
+        state.write(state.read().unionByName(seen(spark, [(k, "h")])), {"last": k})
+    assert state.read().count() == 4 and state.notes() == {"last": "d"}
+    assert len([n for n in files.names(root) if n.startswith("v-")]) == 2
+    # A pointer cut short while it was written doesn't count, nor does its number come again.
+    files.create(f"{root}/pointers/5", '{"folder": "v-')
+    assert state.read().count() == 4
+    state.write(seen(spark, [("e", "h")]))
+    assert state.current()["number"] == 6 and state.read().count() == 1
+    for n in state._numbers():
+        files.delete(f"{root}/pointers/{n}")
+    with pytest.raises(Lost):
+        state.read()
+    # Of two writers from the same version one is refused.
+    one, other = (Versioned(spark, str(tmp_path / "t"), SEEN) for _ in range(2))
+    assert one.read().isEmpty() and other.read().isEmpty()
+    one.write(seen(spark, [("a", "h")]))
+    with pytest.raises(Moved):
+        other.write(seen(spark, [("b", "h")]))
+    assert [r.dedup_key for r in one.read().collect()] == ["a"]
+
+
+def test_sends_of_a_lost_run_are_not_repeated(spark, tmp_path):
+    rows = considered(spark, [FINE | {"dedup_key": k} for k in "abc"])
+    calls = []
+
+    def sender(p):
+        calls.append(p["external_id"])
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return (500, None) if len(calls) == 2 else (201, "i")
+
+    run = lambda n: pipeline.sync(rows, str(tmp_path / "state"), str(tmp_path / "reports"), n, STAMP, sender)
+    with pytest.raises(KeyboardInterrupt):
+        run("r1")
+    assert calls == ["a", "b", "c"]
+    second = run("r2")
+    assert calls == ["a", "b", "c", "b", "c"] and second["counts"] == {"considered": 3, "sent": 2, "already_sent": 1, "skipped": 0, "failed": 0, "not_attempted": 0}
+    book = {r.dedup_key: (r.finance_status, r.attempts) for r in Versioned(spark, str(tmp_path / "state/ledger"), LEDGER).read().collect()}
+    assert book == {"a": ("sent", 1), "b": ("sent", 2), "c": ("sent", 1)} and not Files(spark).names(str(tmp_path / "state/journal"))
+
+
+def test_journal_counts_each_outcome_once(spark, tmp_path):
+    from weirflow.schema import RESULT
+
+    journal = Journal(spark, str(tmp_path), RESULT)
+    journal.GATHER = 3
+    for i in range(7):
+        journal.add({"dedup_key": str(i), "seq": i, "ok": True})
+    Files(spark).create(f"{journal.path}/one-000000000001.json", '{"dedup_key": "1", "seq": 1, "ok": true}\n')
+    assert sorted(r.seq for r in Journal.leftovers(spark, str(tmp_path), RESULT)[0].read().collect()) == list(range(7))
+
+
+def test_stream_batch_run_again_keeps_its_delta(spark, tmp_path):
+    raw(spark, [ROW | {"seq": i, "provider_account_id": "a", "amount_raw": f"${i}"} for i in range(9)]).coalesce(1).write.parquet(str(tmp_path / "raw"))
+    go = lambda: capture_stream(spark, str(tmp_path / "raw"), RAW, str(tmp_path / "state"), str(tmp_path / "delta"), str(tmp_path / "check"), STAMP)
+    assert go() == 1
+    for f in (tmp_path / "check/commits").iterdir():
+        f.unlink()
+    assert go() == 0 and spark.read.parquet(str(tmp_path / "delta")).count() == 9
+
+
+def test_rows_are_shuffled_once(spark, tmp_path):
+    raw(spark, [ROW | {"seq": i, "amount_raw": f"${i}"} for i in range(9)]).write.parquet(str(tmp_path / "raw"))
+    seen(spark, [("k", "h")]).write.parquet(str(tmp_path / "seen"))
+    book(spark, [{"dedup_key": "k"}]).write.parquet(str(tmp_path / "book"))
+    read = lambda n, schema: spark.read.schema(schema).parquet(str(tmp_path / n))
+    entries = read("book", LEDGER)
+    decided = ledger.decide(cdc.keyed_against(normalize.normalize(read("raw", RAW)), read("seen", SEEN), entries), entries)
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_one_shuffle_says_what_the_joins_say(spark):
+    rows = txns(spark, [X1, X1, X2, X3, X5A]).unionByName(txns(spark, [X1, X5B], "b"))
+    keyed = cdc.occurrence_keys(rows)
+    state = seen(spark, [("0fc4e5b06842ec62", "8db9ce176f498d65"), ("0fc4e5b06842ec62|#2", "old"), ("fb2a6ebce27be4e8", None)]).unionByName(seen(spark, [("0246507eb9c007a8", "x")], "b"))
+    pick = lambda f: sorted((r.provider_account_id, r.dedup_key, r.kind, r.local_dedup_status) for r in f.collect())
+    assert pick(cdc.keyed_against(rows, state)) == pick(cdc.against_seen(keyed, state))
+    assert pick(cdc.keyed_against(rows, state, full_fetch=True)) == pick(cdc.against_seen(keyed, state, full_fetch=True))
+
+
+def test_settings(tmp_path):
+    path = str(tmp_path / "deep/accounts.json")
+    stored = save_settings({"daysBack": "7", "accounts": [{"provider": "CAL", "password": "p", "providerAccountId": " a "}, {"default": True}, {"default": True}], "finance": {"enabled": True, "apiKey": "secret"}}, path)
+    assert stored == load_settings(path, {}) and "secret" not in open(path).read()
+    assert [(a["providerAccountId"], a["default"]) for a in stored["accounts"]] == [("a", False), ("default", True), ("default", False)]
+    with pytest.raises(ValueError, match="at most"):
+        save_settings({"daysBack": 400}, path)
+    assert load_settings(path, {}) == stored
+    (tmp_path / "bad.json").write_text("{")
+    derived = load_settings(str(tmp_path / "bad.json"), {"PROVIDER": "max", "MAX_ACCOUNT_ID": "m", "DAYS_BACK": "9", "MAX_PASSWORD": "p"})
+    assert derived == {"daysBack": 9, "accounts": [{"provider": "max", "providerAccountId": "m", "displayName": "MAX (m)", "enabled": True, "default": True}], "finance": {"enabled": False, "apiUrl": "", "credentialKey": "finance-default"}}
+    assert configured_accounts({}, None) is None and configured_accounts({"SOURCE_ACCOUNTS": '[{"a": 1}]'}) == [{"a": 1}]
+    env = {"U": "from env", "P": "pe"}
+    assert resolve_credentials({"credentials": {"username": "direct", "usernameEnv": "U", "passwordEnv": "P"}}, env) == {"username": "direct", "password": "pe"}
+    assert resolve_credentials({"usernameEnv": "none"}, env) == {"username": "", "password": ""}
+
+
+def test_whole_run(spark, tmp_path):
+    rows = [ROW | {"seq": i, "amount_raw": f"${i + 1}", "charge_amount_raw": "₪5"} for i in range(3)]
+    sources = registered(cal={"rows": rows, "label": "CAL"})
+    sent, events = [], []
+    stored = {"daysBack": 4, "accounts": [{"provider": "cal", "providerAccountId": "default", "default": True}, {"provider": "cal", "providerAccountId": "off", "enabled": False}]}
+    go = lambda run_id, **o: pipeline.run_all(spark, stored, sources, str(tmp_path / "s"), str(tmp_path / "out"), str(tmp_path / "r"), "2026-06-01", STAMP, run_id, sender=lambda p: (sent.append(p), (201, None))[1], listener=lambda kind, said: events.append(kind), **o)
+    fetched = go("r0")
+    assert fetched["finance"]["reason"] == ledger.FETCH_ONLY and fetched["summary"]["total_transactions_exported"] == 3 and not sent
+    block = {"enabled": True, "api_url": "u", "api_key": "k"}
+    synced = go("r1", finance_mode="sync", finance=block)
+    assert synced["finance"]["ok"] and len(sent) == 3 and synced["accounts"][0]["unchanged"] == 3
+    again = go("r2", finance_mode="sync", finance=block, mode="default")
+    assert len(sent) == 3 and again["finance"]["counts"]["already_sent"] == 3 and "finance-done" in events
+    assert go("r3", finance_mode="sync", finance=block | {"api_key": ""})["finance"]["reason"] == "missing_api_key"
+    assert go("r4", days_back=0)["error"].startswith("Invalid days back") and not pipeline.run_all(spark, {"daysBack": 4}, sources, "", "", "", "", "", "")["ok"]
+
+
+def test_report_folders(spark, tmp_path):
+    rows = considered(spark, [FINE | {"dedup_key": "k"}]).withColumns({"finance_status": F.lit("sent"), "reason": F.lit("sent")})
+    path, csv = write_report(ledger.audit(rows, "r", "t"), {"sent": 1}, "r", str(tmp_path), one_file=False)
+    assert spark.read.json(path).first().dedupKey == "k" and spark.read.option("header", True).csv(csv).count() == 1

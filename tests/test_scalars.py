@@ -39,6 +39,14 @@ def test_text_helpers(spark):
     assert column(spark, ['Cafe, "The Best"', "plain", None, "a\nb", "a\rb"], text.csv_field) == ['"Cafe, ""The Best"""', "plain", "", '"a\nb"', '"a\rb"']
     assert column(spark, ["key=ABC123 again ABC123", None, "a.c abc"], lambda c: text.redact(c, ["ABC123", "", None, "a.c"])) == ["key=[REDACTED] again [REDACTED]", "", "[REDACTED] abc"]
     assert column(spark, ["https://u:p@Host.com:8443/a?b#c", "not a url", "http://e.com", None], text.safe_url) == ["https://host.com:8443/a", "[invalid-url]", "http://e.com/", "[invalid-url]"]
+    odd = {
+        "https://Héllo.com/x": "https://xn--hllo-bpa.com/x", "http://h/a b": "http://h/a%20b", "https://h:443/a/../b": "https://h/b", "http://h:443/": "http://h:443/", "HTTP://H:080/./a/%2e%2E/é": "http://h/%C3%A9",
+        " http://h/x\n ": "http://h/x", "http:\\\\h\\p": "http://h/p", "http://h:99999/": "[invalid-url]", "http:///h/": "http://h/", "http://a b/": "[invalid-url]", "custom://Host:5/P?q": "custom://Host:5/P", "http://": "[invalid-url]",
+        "http://h/a/..": "http://h/", "http://h/a/b/.": "http://h/a/b/", "ftp://u@h:21": "ftp://h/",
+    }
+    assert dict(zip(odd, column(spark, list(odd), text.safe_url), strict=True)) == odd
+    assert column(spark, ["😀😀", "a😀b", "ab😀", "abc"], lambda c: text.truncate(c, 3)) == ["😀\ufffd…[truncated]", "a😀…[truncated]", "ab\ufffd…[truncated]", "abc"]
+    assert column(spark, ["\u00a0a\u2003\u00a0b\ufeff"], text.one_line) == ["a b"]
     assert column(spark, ["abcdef", "abc", None], lambda c: text.truncate(c, 3)) == ["abc…[truncated]", "abc", ""]
     assert column(spark, ["  a \n b\t"], text.one_line) == ["a b"]
     assert column(spark, ["Cal/My Acc-1"], text.file_name) == ["cal_my_acc-1"]

@@ -23,8 +23,8 @@ def wait_ms(attempt: Column, delay_ms: float = 1000, backoff: float = 1.5) -> Co
     return F.floor(F.lit(float(delay_ms)) * F.pow(F.lit(float(backoff)), attempt) + 0.5).cast("long")
 
 
-def retry(call: Callable[[], Result], attempts: int = 3, delay_ms: float = 1000, backoff: float = 1.5, sleep: Callable[[float], None] = time.sleep) -> Result:
-    """``call()``, again after each failure, as often as asked; the last failure is raised."""
+def retry(call: Callable[[], Result], attempts: int = 3, delay_ms: float = 1000, backoff: float = 1.5, sleep: Callable[[float], None] = time.sleep, on_retry: Callable[[], None] | None = None) -> Result:
+    """``call()``, again after each failure, as often as asked; the last failure is raised. ``on_retry`` is told of each further attempt."""
     pauses = waits(attempts, delay_ms, backoff)
     for i in range(max(attempts, 1)):
         try:
@@ -32,5 +32,7 @@ def retry(call: Callable[[], Result], attempts: int = 3, delay_ms: float = 1000,
         except Exception:
             if i == len(pauses):
                 raise
+            if on_retry is not None:
+                on_retry()
             sleep(pauses[i] / 1000)
     raise AssertionError

@@ -12,15 +12,65 @@ ACCOUNT = ["provider", "provider_account_id"]
 KEY = [*ACCOUNT, "dedup_key"]
 
 
+def hashed(txn: DataFrame) -> DataFrame:
+    """``fingerprint`` and ``content_hash`` of every row; what is stamped on rows later doesn't change them."""
+    return txn.withColumns({"fingerprint": fingerprint(), "content_hash": content_hash()})
+
+
+def _with_hashes(txn: DataFrame) -> DataFrame:
+    return txn if "fingerprint" in txn.columns else hashed(txn)
+
+
+def _nth_key(n: Column) -> Column:
+    return F.when(n == 1, F.col("fingerprint")).otherwise(F.concat(F.col("fingerprint"), F.lit("|#"), n.cast("string")))
+
+
 def occurrence_keys(txn: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """dedup_key: the fingerprint for its first row in the account, fingerprint|#n for the n-th; and the row's content_hash.
+    """dedup_key: the fingerprint for its first row in the account, fingerprint|#n for the n-th; with fingerprint and content_hash.
 
     Both hashes are computed once, before the shuffle; it is by (account, fingerprint), so a busy account spreads over all
-    tasks. Rows that share a fingerprint are numbered by ``order``, which must be a real key of the input.
+    tasks. Rows that share a fingerprint are numbered by ``order``, which must be a real key of the input; the numbering
+    streams over a sorted run that may spill, whatever its length.
+    """
+    n = F.row_number().over(Window.partitionBy(*ACCOUNT, "fingerprint").orderBy(*order))
+    return _with_hashes(txn).withColumn("dedup_key", _nth_key(n))
+
+
+def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | None = None, order: tuple[str, ...] = ("seq",), full_fetch: bool = False) -> DataFrame:
+    """``occurrence_keys`` and ``against_seen`` in one shuffle of the rows; with ``ledger``, its entry in ``ledger_entry`` too.
+
+    State and ledger rows go through the rows' own shuffle, by (account, fingerprint), and meet them in a window over the
+    whole key, which that partitioning serves. A join would need one by all its keys, so a second shuffle. Work stays in
+    proportion to the rows, however many share a fingerprint. Numbered keys can't repeat, so there is no search for repeats.
     """
-    hashed = txn.withColumns({"_fp": fingerprint(), "content_hash": content_hash()})
-    n = F.row_number().over(Window.partitionBy(*ACCOUNT, "_fp").orderBy(*order))
-    return hashed.withColumn("dedup_key", F.when(n == 1, F.col("_fp")).otherwise(F.concat(F.col("_fp"), F.lit("|#"), n.cast("string")))).drop("_fp")
+    rows = _with_hashes(txn).withColumn("_side", F.lit(0))
+    names = rows.columns
+    prefix = F.substring_index("dedup_key", "|#", 1).alias("fingerprint")
+    wants_seen = seen is not None and not full_fetch
+    if wants_seen:
+        rows = rows.unionByName(seen.select(*ACCOUNT, prefix, F.col("dedup_key").alias("_stored_key"), F.struct("content_hash").alias("_seen"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    if ledger is not None:
+        rows = rows.unionByName(ledger.select(*ACCOUNT, prefix, F.col("dedup_key").alias("_stored_key"), ledger_entry().alias("_entry"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    n = F.row_number().over(Window.partitionBy(*ACCOUNT, "fingerprint").orderBy("_side", *order))
+    key = _nth_key(n)
+    if "_stored_key" in rows.columns:
+        key = F.when(F.col("_side") == 0, key).otherwise(F.col("_stored_key"))
+    rows = rows.withColumn("dedup_key", key)
+    whole = Window.partitionBy(*ACCOUNT, "fingerprint", "dedup_key")
+    if wants_seen:
+        rows = rows.withColumn("_seen", F.max("_seen").over(whole))
+    if ledger is not None:
+        rows = rows.withColumn("ledger_entry", F.max("_entry").over(whole))
+    kind = classify(F.col("_seen").isNotNull(), F.col("_seen.content_hash"), F.col("content_hash")) if wants_seen else F.lit("created")
+    found = rows.where("_side = 0").withColumn("kind", kind).withColumn("local_dedup_status", local_tag(F.col("kind"), F.lit(False)))
+    kept = [c for c in names if c not in ("_side", "dedup_key", "kind", "local_dedup_status", "ledger_entry")]
+    return found.select(*kept, "dedup_key", "kind", "local_dedup_status", *(["ledger_entry"] if ledger is not None else []))
+
+
+def ledger_entry() -> Column:
+    """What a decision needs of a ledger row: whether it was sent, and with which content."""
+    sent = F.coalesce(F.col("finance_status") == "sent", F.lit(False)) & F.col("sent_at").isNotNull()
+    return F.struct(sent.alias("sent"), F.col("content_hash").alias("content_hash"))
 
 
 def repeats_in_run(keyed: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -31,7 +81,8 @@ def repeats_in_run(keyed: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataF
 def against_seen(keyed: DataFrame, seen: DataFrame, full_fetch: bool = False) -> DataFrame:
     """``kind`` (created, updated, unchanged) and ``local_dedup_status`` (new, updated, unchanged, duplicate) of every row.
 
-    The join is on the window's keys, so the window's partitioning serves it; the state is broadcast by Spark if it is small.
+    For rows that have their keys already, from wherever: one shuffle by the key serves the search for repeats and the join
+    (Spark broadcasts the state while it is small). ``keyed_against`` makes keys and classes together.
     """
     rows = repeats_in_run(keyed)
     if full_fetch:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.identity import content_hash
-from weirflow.operators.cdc import KEY
+from weirflow.operators.cdc import KEY, ledger_entry
 from weirflow.operators.outbound import positive
 
 #: Reasons for which a whole run sends nothing, in the order in which they are asked.
@@ -41,24 +41,29 @@ def gate_column(enabled: Column, api_url: Column, api_key: Column, fetch_succeed
 def decide(considered: DataFrame, ledger: DataFrame, gate: str | None = None) -> DataFrame:
     """``decision`` (send, already_sent, skipped, not_attempted) and ``reason`` of every considered row.
 
-    The ledger is joined by account and key, the key of the earlier window and join, so no further shuffle of the rows.
+    Rows of ``cdc.keyed_against`` with a ledger bring their entry along, and keys that can't repeat: nothing is shuffled
+    again. Any others are joined with the ledger by account and key.
     """
     rows = considered if "content_hash" in considered.columns else considered.withColumn("content_hash", content_hash())
     if gate is not None:
-        return rows.withColumns({"decision": F.lit("not_attempted"), "reason": F.lit(gate)})
-    again = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")) > 1
-    stored = ledger.select(*KEY, (F.coalesce(F.col("finance_status") == "sent", F.lit(False)) & F.col("sent_at").isNotNull()).alias("_sent"), F.col("content_hash").alias("_hash"))
-    joined = rows.withColumn("_again", again | F.coalesce(F.col("local_dedup_status") == "duplicate", F.lit(False))).join(stored, KEY, "left")
-    sent = F.coalesce(F.col("_sent"), F.lit(False))
+        return rows.withColumns({"decision": F.lit("not_attempted"), "reason": F.lit(gate)}).drop("ledger_entry")
+    again = F.coalesce(F.col("local_dedup_status") == "duplicate", F.lit(False))
+    if "ledger_entry" in rows.columns:
+        joined = rows.withColumns({"_again": again, "_entry": F.col("ledger_entry")}).drop("ledger_entry")
+    else:
+        stored = ledger.select(*KEY, ledger_entry().alias("_entry"))
+        repeated = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")) > 1
+        joined = rows.withColumn("_again", repeated | again).join(stored, KEY, "left")
+    sent, stored_hash = F.coalesce(F.col("_entry.sent"), F.lit(False)), F.col("_entry.content_hash")
     reason = (
         F.when(F.coalesce(F.col("status"), F.lit("")) != "completed", "transaction_not_completed")
         .when(~positive(F.col("charge_amount")), "charge_amount_zero_or_negative")
         .when(F.col("_again"), "duplicate_in_current_batch")
-        .when(sent & F.col("_hash").isNotNull() & (F.col("_hash") != F.col("content_hash")), "already_sent_content_changed")
+        .when(sent & stored_hash.isNotNull() & (stored_hash != F.col("content_hash")), "already_sent_content_changed")
         .when(sent, SENT)
     )
     decision = F.when(F.col("reason").isNull(), "send").when(F.col("reason") == SENT, "already_sent").otherwise("skipped")
-    return joined.withColumn("reason", reason).withColumn("decision", decision).drop("_again", "_sent", "_hash")
+    return joined.withColumn("reason", reason).withColumn("decision", decision).drop("_again", "_entry")
 
 
 def with_results(decided: DataFrame, results: DataFrame) -> DataFrame:
@@ -97,6 +102,23 @@ def merge(ledger: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def attempts_of(results: DataFrame) -> DataFrame:
+    """Results of sends (``schema.RESULT``) in the form ``merge`` takes."""
+    status = F.when(F.col("ok"), "sent").otherwise("failed")
+    reason = F.when(F.col("ok"), "sent").otherwise(F.coalesce("classification", F.lit("api_error")))
+    return results.select(*KEY, status.alias("finance_status"), reason.alias("reason"), "content_hash", "api_status", "finance_transaction_id")
+
+
+def fetch_succeeded(accounts: DataFrame) -> DataFrame:
+    """Whether any account of a run (status) was read, wholly or in part; false for no account."""
+    return accounts.agg(F.coalesce(F.bool_or(F.col("status").isin("success", "partial")), F.lit(False)).alias("fetch_succeeded"))
+
+
+def sync_ok(gate: Column, failed: Column) -> Column:
+    """A sync is well if it was made and nothing failed."""
+    return gate.isNull() & (F.coalesce(failed, F.lit(0)) == 0)
+
+
 def sync_counts(finished: DataFrame) -> DataFrame:
     """considered, sent, already_sent, skipped, failed, not_attempted."""
     names = ["sent", "already_sent", "skipped", "failed", "not_attempted"]

@@ -48,8 +48,11 @@ def split_pending(raw: DataFrame, markers: Sequence[str] = PENDING_MARKERS, text
     return marked.where("pending_marker is null").drop("pending_marker"), marked.agg(F.count_if(F.col("pending_marker").isNotNull()).alias("pending_skipped"))
 
 
-def normalize(raw: DataFrame, provider: str = PROVIDER) -> DataFrame:
-    """Transactions: fields renamed, amounts and currencies read from text, status by whether there is a charge date."""
+def normalize(raw: DataFrame, provider: str = PROVIDER, keep: Sequence[str] = ()) -> DataFrame:
+    """Transactions: fields renamed, amounts and currencies read from text, status by whether there is a charge date.
+
+    ``provider`` is what the rows' source says it is; columns named in ``keep`` stay.
+    """
     amount, charged = parse_amount(F.col("amount_raw")), parse_amount(F.col("charge_amount_raw"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     charge_date = parse_date(F.col("charge_date_raw"))
@@ -72,6 +75,7 @@ def normalize(raw: DataFrame, provider: str = PROVIDER) -> DataFrame:
             F.when(charge_date != "", "completed").otherwise("pending").alias("status"),
             "amount_raw",
             "charge_amount_raw",
+            *keep,
         )
     )
 
@@ -93,11 +97,25 @@ def resume_slice(rows: DataFrame, next_index: int) -> DataFrame:
 
 
 def look_back(rows: DataFrame, as_of: str, days_back: int | Column, date: str = "transaction_date") -> DataFrame:
-    """Rows of the last ``days_back`` days before ``as_of`` (no upper bound); dates are ISO texts, so the comparison is pushed to the scan."""
+    """Rows of the last ``days_back`` days before ``as_of`` (no upper bound). Where the ISO date is a column of the source, the scan gets the comparison."""
     start = F.date_sub(F.to_date(F.lit(as_of)), days_back if isinstance(days_back, Column) else F.lit(days_back))
     return rows.where(F.col(date) >= F.date_format(start, "yyyy-MM-dd"))
 
 
+def union_accounts(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all accounts as one table, to be classified in one plan; a column that some lack is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def joined_warnings(prior: Column, new: Column) -> Column:
+    """Warnings of an earlier segment, then those of this one; null counts as none."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(prior, none), F.coalesce(new, none))
+
+
 def segments(prior: DataFrame, fetched: DataFrame) -> DataFrame:
     """All rows of an earlier segment before those of this one: (segment, seq) is the order."""
     return prior.withColumn("segment", F.lit(0)).unionByName(fetched.withColumn("segment", F.lit(1)), allowMissingColumns=True)

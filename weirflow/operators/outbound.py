@@ -5,15 +5,14 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.http import classify_status
 from weirflow.functions.text import parse_amount
-from weirflow.schema import RESULT
 
 
 def positive(x: Column) -> Column:
@@ -51,32 +50,47 @@ def payload() -> Column:
     )
 
 
-#: Sends one payload and returns (status, body id): status None if there was no answer.
-Sender = Callable[[dict[str, Any]], tuple[int | None, str | None]]
+#: Sends one payload and returns (status, body id) or (status, body id, message): status None if there was no answer.
+Sender = Callable[[dict[str, Any]], tuple]
 
+#: What is said of a row without an amount, of a request without an answer, of an answer that refuses.
+NO_AMOUNT, NO_ANSWER, REFUSED = "no positive amount available", "Finance request failed: {}", "HTTP {}{}"
 
-def outcome(status: int | None, found: str | None, has_amount: bool = True) -> dict[str, Any]:
+
+def outcome(status: int | None, found: str | None, has_amount: bool = True, message: str | None = None) -> dict[str, Any]:
     """The result of one send, classified."""
     ok = has_amount and status is not None and 200 <= status < 300
     rejected = not has_amount or status is not None and 400 <= status < 500
-    return {"ok": ok, "classification": None if ok else "api_validation_failed" if rejected else "api_error", "api_status": status if has_amount else None, "finance_transaction_id": found if ok else None}
+    said = None if ok else NO_AMOUNT if not has_amount else message or (REFUSED.format(status, "") if status is not None else NO_ANSWER.format("no answer"))
+    return {"ok": ok, "classification": None if ok else "api_validation_failed" if rejected else "api_error", "api_status": status if has_amount else None, "finance_transaction_id": found if ok else None, "message": said}
 
 
-def send_each(to_send: DataFrame, sender: Sender) -> DataFrame:
-    """Send every row once, in the order of seq, from the driver; a failure doesn't stop the rest.
+def send_each(to_send: DataFrame, sender: Sender, record: Callable[[dict[str, Any]], None], on_sent: Callable[[int], None] | None = None) -> int:
+    """Send every row once, in the order of seq, from the driver; a failure doesn't stop the rest. Returns how many.
 
     Sends can't be taken back, and tasks may run twice, so they aren't left to executors. The rows are the delta of a run;
-    they are read a partition at a time.
+    they are read a partition at a time. ``record`` gets each outcome (``schema.RESULT``) before the next send is made.
     """
-    spark = to_send.sparkSession
-    rows = to_send.select("provider", "provider_account_id", "dedup_key", "seq", payload().alias("p"), original_amount().isNotNull().alias("fine")).orderBy("seq")
+    rows = to_send.select("provider", "provider_account_id", "dedup_key", "seq", "content_hash", payload().alias("p"), original_amount().isNotNull().alias("fine")).orderBy("seq", "provider", "provider_account_id", "dedup_key")
+    n = 0
+    for r in rows.toLocalIterator():
+        answer = sender(r.p.asDict()) if r.fine else (None, None)
+        who = {k: r[k] for k in ("provider", "provider_account_id", "dedup_key", "seq", "content_hash")}
+        record(who | outcome(answer[0], answer[1], r.fine, answer[2] if len(answer) > 2 else None))
+        n += 1
+        if on_sent is not None:
+            on_sent(n)
+    return n
 
-    def results() -> Iterator[dict[str, Any]]:
-        for r in rows.toLocalIterator():
-            status, found = sender(r.p.asDict()) if r.fine else (None, None)
-            yield {"provider": r.provider, "provider_account_id": r.provider_account_id, "dedup_key": r.dedup_key, "seq": r.seq} | outcome(status, found, r.fine)
 
-    return spark.createDataFrame([Row(**x) for x in results()], RESULT)
+def safe_message(status: int | None, body: str, secrets: list[str]) -> str:
+    """What is told of a failed send: secrets taken out, the body cut to 200 characters."""
+    for s in secrets:
+        body = body.replace(s, "[REDACTED]") if s else body
+    if status is None:
+        return NO_ANSWER.format(body)
+    cut = body if len(body) <= 200 else body[:200] + "…[truncated]"
+    return REFUSED.format(status, f" — {cut}" if cut else "")
 
 
 class HttpSender:
@@ -93,20 +107,22 @@ class HttpSender:
             with urllib.request.urlopen(urllib.request.Request(self._url, body, headers), timeout=self.timeout) as answer:
                 return answer.status, answer.read()
         except urllib.error.HTTPError as error:
-            return error.code, b""
-        except OSError:
-            return None, b""
+            return error.code, error.read()
+        except OSError as error:
+            return None, str(error).encode()
 
-    def __call__(self, sent: dict[str, Any]) -> tuple[int | None, str | None]:
+    def __call__(self, sent: dict[str, Any]) -> tuple[int | None, str | None, str | None]:
         status, body = self._ask(json.dumps(sent).encode())
+        if status is None or not 200 <= status < 300:
+            return status, None, safe_message(status, body.decode("utf-8", "replace"), [self._key, self._url])
         try:
             found = json.loads(body)
         except ValueError:
-            return status, None
+            return status, None, None
         inner = found.get("data") if isinstance(found, dict) else None
         ids = [found.get("id"), found.get("transaction_id"), inner.get("id") if isinstance(inner, dict) else None] if isinstance(found, dict) else []
         first = next((x for x in ids if x is not None), None)
-        return status, None if first is None else str(first)
+        return status, None if first is None else str(first), None
 
     def probe(self) -> bool:
         """Whether the system answers, and doesn't refuse the key; nothing is sent."""
@@ -121,10 +137,11 @@ class SendError(Exception):
 def send_all(txn: DataFrame, sender: Sender) -> int:
     """Send all qualifying rows in order; stop with an error at the first failure. Returns how many were sent."""
     n = 0
-    for r in txn.where(should_send()).select("seq", payload().alias("p"), original_amount().isNotNull().alias("fine")).orderBy("seq").toLocalIterator():
-        status, found = sender(r.p.asDict()) if r.fine else (None, None)
-        if not (result := outcome(status, found, r.fine))["ok"]:
-            raise SendError(f"{result['classification']} (HTTP {result['api_status']}) after {n} sent")
+    for r in txn.where(should_send()).select("seq", "merchant_name", payload().alias("p"), original_amount().isNotNull().alias("fine")).orderBy("seq").toLocalIterator():
+        answer = sender(r.p.asDict()) if r.fine else (None, None)
+        result = outcome(answer[0], answer[1], r.fine, answer[2] if len(answer) > 2 else None)
+        if not result["ok"]:
+            raise SendError(f'Failed to export "{r.merchant_name}": {result["message"]} ({n} sent before)')
         n += 1
     return n
 

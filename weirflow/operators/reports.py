@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,16 +136,59 @@ def account_event(runs: DataFrame) -> DataFrame:
     return account_result(runs).select("provider", "provider_account_id", *names)
 
 
-def event_text(kind: Column, who: Column, counts: Column) -> Column:
-    """One line for an event, in fixed wording: ``counts`` is a struct of fetched, pending, created, updated, unchanged, duplicates, exported, status."""
-    c = counts.getField
-    return (
-        F.when(kind == "login", F.concat(F.lit("   "), who, F.lit(" — logged in.")))
-        .when(kind == "fetched", F.concat(F.lit("   "), who, F.lit(" — fetched "), c("fetched").cast("string"), F.lit(" transaction(s)"), F.when(c("pending") > 0, F.concat(F.lit(", "), c("pending").cast("string"), F.lit(" pending skipped"))).otherwise(F.lit("")), F.lit(".")))
-        .when(kind == "dedup", F.format_string("   %s — %d new, %d updated, %d unchanged, %d duplicate(s).", who, c("created"), c("updated"), c("unchanged"), c("duplicates")))
-        .when(kind == "export", F.when(c("exported") > 0, F.format_string("   %s — exported %d transaction(s).", who, c("exported"))).otherwise(F.concat(F.lit("   "), who, F.lit(" — nothing new to export."))))
-        .when(kind == "account-done", F.concat(F.lit("✔ "), who, F.lit(" — done ("), c("status"), F.lit(").")))
-    )
+#: The line of each kind of event. A field stands in braces; what stands in brackets is said only if its field
+#: is there and not 0 or ''. Kinds that aren't here have no line.
+EVENT_LINES = {
+    "account-start": "▶ {who} — starting (days back {days_back})…",
+    "visible-browser-notice": "   {who} — CAL login requires a visible browser window. Keep it open until login completes.",
+    "login": "   {who} — {login}.",
+    "fetched": "   {who} — fetched {fetched} transaction(s)[, {pending} pending skipped][, {skipped} extraction skip(s)].",
+    "dedup": "   {who} — {created} new, {updated} updated, {unchanged} unchanged, {duplicates} duplicate(s).",
+    "export": "   {who} — exported {exported} transaction(s)[ → {file_path}].",
+    "export nothing": "   {who} — nothing new to export.",
+    "account-done": "✔ {who} — done ({status}).",
+    "account-error": "✖ {who} — {error}",
+    "finance-start": "▶ Finance sync — evaluating {considered} transaction(s) against the finance ledger…",
+    "finance-done": "✔ Finance sync — sent {sent}, already sent {already_sent}, skipped {finance_skipped}, failed {failed} (of {considered}).",
+    "finance-not-attempted": "• Finance sync not attempted — {reason_text}.",
+    "finance-error": "✖ Finance sync — {error}",
+}
+SESSION_REUSED, LOGGED_IN, ANY_DAYS, NOBODY = "reused saved session", "logged in", "global", "account"
+
+
+def _line(template: str, fields: dict[str, Column]) -> Column:
+    """A template of ``EVENT_LINES`` as an expression."""
+    parts: list[Column] = []
+    for piece in re.findall(r"\[[^\]]*\]|\{\w+\}|[^\[{]+", template):
+        if piece[0] == "[":
+            own = fields[re.search(r"\{(\w+)\}", piece)[1]]
+            there = own.isNotNull() & ~own.isin("", "0")
+            parts.append(F.when(there, _line(piece[1:-1], fields)).otherwise(F.lit("")))
+        else:
+            parts.append(F.coalesce(fields[piece[1:-1]], F.lit("")) if piece[0] == "{" else F.lit(piece))
+    return F.concat(*parts)
+
+
+def event_text(kind: Column, said: dict[str, Column]) -> Column:
+    """One line for an event, null for a kind without one.
+
+    ``said`` has the fields of the event by name: display_name, provider_account_id, provider, days_back, session_reused,
+    fetched, pending, skipped, created, updated, unchanged, duplicates, exported, file_path, status, error, considered, sent,
+    already_sent, finance_skipped, failed, reason; those that a kind doesn't need may be missing.
+    """
+    names = set(re.findall(r"\{(\w+)\}", " ".join(EVENT_LINES.values())))
+    fields = {n: said[n].cast("string") if n in said else F.lit(None).cast("string") for n in names}
+    given = [F.nullif(said[n], F.lit("")) for n in ("display_name", "provider_account_id", "provider") if n in said]
+    fields["who"] = F.coalesce(*given, F.lit(NOBODY))
+    fields["login"] = F.when(F.coalesce(said["session_reused"], F.lit(False)), SESSION_REUSED).otherwise(LOGGED_IN) if "session_reused" in said else F.lit(LOGGED_IN)
+    fields["days_back"] = F.coalesce(fields["days_back"], F.lit(ANY_DAYS))
+    fields["reason_text"] = reason_text(said["reason"] if "reason" in said else F.lit(None).cast("string"))
+    exported = F.coalesce(said["exported"], F.lit(0)) > 0 if "exported" in said else F.lit(False)
+    named = F.when((kind == "export") & ~exported, "export nothing").otherwise(kind)
+    out = F.lit(None).cast("string")
+    for k, template in EVENT_LINES.items():
+        out = F.when(named == k, _line(template, fields)).otherwise(out)
+    return out
 
 
 def export_path(root: Column | str, provider: Column, account: Column, day: Column) -> Column:

@@ -56,6 +56,8 @@ _CLASSIFIED = f"""{_SEEN}, classified as (
     select k.*, case when s.dedup_key is null then 'created' when s.content_hash is null or s.content_hash = k.content_hash then 'unchanged' else 'updated' end as kind,
         case when s.dedup_key is null then 'new' when s.content_hash is null or s.content_hash = k.content_hash then 'unchanged' else 'updated' end as local_dedup_status
     from keyed k left join seen s on k.provider_account_id = s.provider_account_id and k.dedup_key = s.dedup_key)"""
+#: The same without pending rows: their keys aren't numbered, nor in the way of others.
+_FINAL = _CLASSIFIED.replace(f"keyed as {_occurrence('hashed')}", f"keyed as {_occurrence('(select * from hashed where seq % 13 <> 0)')}")
 _LEDGER = f"""{_CLASSIFIED}, ledger as (
     select provider, provider_account_id, dedup_key, seq % 10 as k, case seq % 10 when 3 then 'failed' else 'sent' end as finance_status,
         case seq % 10 when 0 then content_hash when 1 then '0000000000000000' end as content_hash, case seq % 10 when 3 then 500 else 201 end as api_status,
@@ -109,8 +111,9 @@ ORACLES = {
     "pending_text": "select doc_id, case when doc_id % 3 = 0 or trim(coalesce(lang, '')) = '' then source else trim(lang) end as status_text from documents",
     "number_text": f"select l_orderkey, l_linenumber, {_number('l_extendedprice')} as price, {_number('l_quantity')} as quantity, {_number('(-l_discount)')} as discount from lineitem",
     "redact_text": "select doc_id, replace(replace(replace(coalesce(text, ''), 'token', '[REDACTED]'), 'the', '[REDACTED]'), 'que', '[REDACTED]') as redacted from documents",
-    "safe_url": r"""select page_id, case when regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') then lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://'
-        || lower(regexp_replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), '^.*@', '')) || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ''), '/') else '[invalid-url]' end as url from pages""",
+    "safe_url": r"""select page_id, case when regexp_matches(url, '^https?://[^/?#]+') then regexp_extract(url, '^(https?)://', 1) || '://'
+        || regexp_replace(lower(regexp_replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), '^.*@', '')), case when starts_with(url, 'https') then ':443$' else ':80$' end, '')
+        || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ''), '/') else '[invalid-url]' end as url from pages""",
     "truncate_text": "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '…[truncated]' else coalesce(text, '') end as snippet from documents",
     "one_line": r"select doc_id, substr(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), 1, 200) as line from documents",
     "csv_rows": """select doc_id, doc_id || ',' || case when regexp_matches(text, '[",\n\r]') then '"' || replace(text, '"', '""') || '"' else coalesce(text, '') end || ',' || coalesce(lang, '') || ',' as line from documents""",
@@ -184,13 +187,43 @@ ORACLES = {
     "account_sums": f"with {_CLASSIFIED} select considered as transactions_fetched, created, updated, unchanged, exported from (select {_COUNTERS} from classified)",
     "account_results": f"with {_RUNS} select display_name, status, case when display_name = 'error' then 'boom' end as error, {_RESULT} from runs",
     "account_events": f"with {_RUNS} select {_RESULT} from runs",
-    "event_text": f"""with {_RUNS} select e as record_seq, case e % 5 when 0 then '   ' || display_name || ' — logged in.'
-        when 1 then '   ' || display_name || ' — fetched ' || e || ' transaction(s)' || case when e % 2 > 0 then ', ' || e % 2 || ' pending skipped' else '' end || '.'
-        when 2 then '   ' || display_name || ' — ' || e % 12 || ' new, ' || e % 7 || ' updated, ' || e % 13 || ' unchanged, ' || e % 3 || ' duplicate(s).'
-        when 3 then '   ' || display_name || case when e % 12 + e % 7 > 0 then ' — exported ' || (e % 12 + e % 7) || ' transaction(s).' else ' — nothing new to export.' end
-        else '✔ ' || display_name || ' — done (' || status || ').' end as line from runs""",
+    "event_text": f"""with {_RUNS}, named as (select *, coalesce(case when e % 5 <> 0 then display_name end, provider_account_id) as who from runs) select e as record_seq, case e % 13
+        when 0 then '▶ ' || who || ' — starting (days back ' || case when e % 2 = 0 then (e % 30)::varchar else 'global' end || ')…'
+        when 1 then '   ' || who || ' — CAL login requires a visible browser window. Keep it open until login completes.'
+        when 2 then '   ' || who || case when e % 2 = 0 then ' — reused saved session.' else ' — logged in.' end
+        when 3 then '   ' || who || ' — fetched ' || e || ' transaction(s)' || case when e % 2 > 0 then ', ' || e % 2 || ' pending skipped' else '' end || case when e % 4 > 0 then ', ' || e % 4 || ' extraction skip(s)' else '' end || '.'
+        when 4 then '   ' || who || ' — ' || e % 12 || ' new, ' || e % 7 || ' updated, ' || e % 13 || ' unchanged, ' || e % 3 || ' duplicate(s).'
+        when 5 then '   ' || who || case when e % 12 + e % 7 > 0 then ' — exported ' || (e % 12 + e % 7) || ' transaction(s)' || case when e % 3 = 0 then ' → out/f.json' else '' end || '.' else ' — nothing new to export.' end
+        when 6 then '✔ ' || who || ' — done (' || status || ').'
+        when 7 then '✖ ' || who || ' — boom'
+        when 8 then '▶ Finance sync — evaluating ' || e || ' transaction(s) against the finance ledger…'
+        when 9 then '✔ Finance sync — sent ' || e % 3 || ', already sent ' || e % 4 || ', skipped ' || e % 5 || ', failed ' || e % 2 || ' (of ' || e || ').'
+        when 10 then '• Finance sync not attempted — ' || case when e % 2 = 0 then 'finance integration is disabled' else 'no finance API key is saved' end || '.'
+        when 11 then '✖ Finance sync — boom' end as line from named""",
     "export_path": "select o_orderkey, 'out/cal' || case when o_custkey % 2 = 0 then '' else '_' || o_custkey end || '_' || strftime(o_orderdate, '%Y-%m-%d') || '.json' as path from orders",
     "warnings_concat": "select o_orderkey, case when o_orderkey % 3 = 0 then 'earlier;' else '' end || o_orderpriority as warnings from orders",
     "account_union": f"with {_CLASSIFIED} select seq, provider_account_id, local_dedup_status from classified",
     "capture_stream": f"with {_KEYED} select seq, dedup_key, 'new' as local_dedup_status from keyed",
+    "capture_final": f"with {_FINAL} select seq, dedup_key, local_dedup_status from classified",
+    "capture_pending": "select count(*) filter (where o_orderkey % 13 = 0) as pending_skipped from orders",
+    "run_accounts": """select * exclude (step) from (values ('cal', 1, 'Cal', 'success', 0), ('other', 2, 'Other', 'partial', 1), ('broken', 0, 'Broken', 'failed', 0)) v(provider, step, display_name, status, skipped),
+        lateral (select 'default' as provider_account_id, count(*) filter (where v.step > 0 and o_orderkey % greatest(v.step, 1) = 0 and o_orderkey % 13 <> 0) as transactions_fetched,
+            count(*) filter (where v.step > 0 and o_orderkey % greatest(v.step, 1) = 0 and o_orderkey % 13 = 0) as pending_skipped from orders) c, lateral (select c.transactions_fetched as created, c.transactions_fetched as exported, c.transactions_fetched as considered) z""",
+    "run_considered": f"""with {_HASHED}, own as (select *, count(*) over (partition by p, fp) as c from (
+        select *, unnest(case when seq % 2 = 0 then ['CAL', 'other'] else ['CAL'] end) as p from hashed where seq % 13 <> 0))
+        select p as provider, 'default' as provider_account_id, case p when 'CAL' then 'Cal' else 'Other' end as provider_display_name, count(*) as rows, count(*) - count(distinct fp) as repeats from own group by all""",
+    "fetch_succeeded": "select bool_or(event_type <> 'error') as fetch_succeeded, false as of_failed from events",
+    "sync_ok": "select event_id, event_id % 3 <> 0 and (event_id % 4 = 0 or event_id % 2 = 0) as ok from events",
+    "report_name": "select n_nationkey, 'finance-sync-' || n_name as name from nation",
+    "row_recognizer": "select o_orderkey, o_orderkey % 7 = 5 as is_row from orders",
+    "failure_after_success": f"""with {_LEDGER} select provider, provider_account_id, dedup_key, finance_status, case k when 3 then 'api_error' else 'already_sent_successfully' end as reason, case k when 3 then 500 else api_status end as api_status,
+        2 as attempts, case when k <> 3 then '2025-12-01 00:00:00' end as sent_at, '2026-01-02 03:04:05' as last_attempt_at from ledger""",
+    "ledger_load": "select 'cal' as provider, c_custkey::varchar as provider_account_id, 'k' || c_custkey as dedup_key, 'sent' as finance_status, 'h' || c_custkey as content_hash, 201 as api_status, '2026-01-02 03:04:05' as sent_at, 2 as attempts from customer where c_custkey % 4 <> 0",
+    "state_versions": f"with {_SEEN} select provider, provider_account_id, dedup_key, content_hash, '2025-12-01 00:00:00' as last_seen_at from seen",
+    "ledger_versions": f"with {_LEDGER} select provider, provider_account_id, dedup_key, finance_status, api_status, finance_transaction_id, 1 as attempts from ledger",
+    "checkpoint_roundtrip": "select a as account, case when a <> 'ASIA' then r_regionkey + 1 end as next_index, case when a <> 'ASIA' then 'w' || r_regionkey end as warnings from (values ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('default')) v(a) left join region on r_name = a",
+    "json_scan": f"with {_TXN} select seq, merchant_name, amount, status from txn where seq % 50 = 0",
+    "valid_rows": "select count(*) filter (where o_orderkey % 9 <> 0) as rows, sum(o_orderkey) filter (where o_orderkey % 9 <> 0)::bigint as seqs, count(*) filter (where o_orderkey % 9 = 0) as warnings from orders",
+    "journal_once": """select n_name as dedup_key, case when n_nationkey % 4 = 0 then 'failed' else 'sent' end as finance_status, case when n_nationkey % 4 = 0 then 'api_validation_failed' else 'already_sent_successfully' end as reason,
+        case when n_nationkey % 4 = 0 then 422 else 201 end as api_status, case when n_nationkey % 4 <> 0 then 'id' || n_nationkey end as finance_transaction_id, 1 as attempts from nation""",
 }

@@ -1,10 +1,12 @@
 """Whole runs: capture changes, export the delta, sync to finance.
 
-All accounts of a run are one DataFrame, keyed by account, so they run in one plan; adapters fail one by one.
+All accounts of a run are one DataFrame, keyed by account, so they are classified in one plan; each account is read, and can
+fail, by itself.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,13 +14,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.functions.retry import retry
+from weirflow.operators import accounts as accounts_ops
 from weirflow.operators import cdc, ledger, normalize, outbound
 from weirflow.operators.reports import run_summary
-from weirflow.schema import LEDGER, SEEN
-from weirflow.sources.registry import Registry
-from weirflow.sources.sinks import Versioned, export_json, single_flight, write_report
+from weirflow.schema import LEDGER, RAW, RESULT, SEEN
+from weirflow.sources.registry import Registry, SourceAdapter
+from weirflow.sources.sinks import export_json, write_report
+from weirflow.sources.store import Checkpoints, Journal, Versioned, single_flight
 
-STATE_PARTS = ("provider", "provider_account_id")
+#: What a run does with an event: its kind and what it says. Errors of a listener never break a run.
+Listener = Callable[[str, dict[str, Any]], None]
 
 
 @dataclass
@@ -28,17 +34,19 @@ class Capture:
     considered: DataFrame
     delta: DataFrame
     counts: DataFrame
-    warnings: list[str] = field(default_factory=list)
+    pending: DataFrame
 
 
-def capture(raw: DataFrame, seen: DataFrame, full_fetch: bool = False, prior: DataFrame | None = None) -> Capture:
-    """Raw rows to classified rows, delta and counters; rows of an earlier segment, kept whole in a checkpoint, come first."""
-    txn = normalize.normalize(raw)
+def capture(raw: DataFrame, seen: DataFrame, full_fetch: bool = False, prior: DataFrame | None = None, ledger_rows: DataFrame | None = None, provider: str = normalize.PROVIDER) -> Capture:
+    """Raw rows to classified rows, delta and counters. Pending rows are left out and counted; transactions of an earlier
+    segment, kept whole in a checkpoint, come first."""
+    final, pending = normalize.split_pending(raw)
+    txn = normalize.normalize(final, provider)
     order: tuple[str, ...] = ("seq",)
     if prior is not None:
         txn, order = normalize.segments(prior, txn), ("segment", "seq")
-    classified = cdc.against_seen(cdc.occurrence_keys(txn, order), seen, full_fetch)
-    return Capture(classified, cdc.exported(classified), cdc.counters(classified))
+    classified = cdc.keyed_against(txn, seen, ledger_rows, order, full_fetch)
+    return Capture(classified, cdc.exported(classified), cdc.counters(classified), pending)
 
 
 @dataclass
@@ -46,46 +54,172 @@ class RunResult:
     summary: dict[str, Any]
     accounts: list[dict[str, Any]]
     considered: DataFrame | None
+    warnings: list[str] = field(default_factory=list)
+
+
+def _teller(listener: Listener | None) -> Listener:
+    def tell(kind: str, said: dict[str, Any]) -> None:
+        if listener is not None:
+            with contextlib.suppress(Exception):
+                listener(kind, said)
+
+    return tell
+
+
+#: Counters of an account that its report and its events carry.
+COUNTS = ("created", "updated", "unchanged", "duplicates", "exported", "considered")
+
+
+class _Account:
+    """One account of a run: its rows in the shared folder, and its report."""
+
+    def __init__(self, account: dict[str, Any], adapter: SourceAdapter | None = None) -> None:
+        self.provider, self.id, self.adapter = account["provider"].lower(), account["provider_account_id"], adapter
+        self.display_name, self.days_back = account.get("display_name") or "", account.get("days_back")
+        self.stamped = self.provider
+        self.folders: list[str] = []
+        self.report: dict[str, Any] = account | {
+            "status": "running", "error": None, "warnings": [], "transactions_fetched": 0, "skipped": 0, "pending_skipped": 0,
+            "retry_count": 0, "re_auth_occurred": False, "session_reused": False, "resumed": False, "checkpoint_path": None,
+        } | dict.fromkeys(COUNTS, 0)
+
+    def who(self) -> dict[str, Any]:
+        return {"provider": self.provider, "provider_account_id": self.id, "display_name": self.display_name}
+
+    def _login(self, delay_ms: float) -> None:
+        def again() -> None:
+            self.report["retry_count"] += 1
+
+        self.report["session_reused"] = bool(retry(self.adapter.login, 2, delay_ms, on_retry=again))
+
+    def fetch(self, spark: SparkSession, as_of: str, days_back: int, checkpoints: Checkpoints, resume: bool, delay_ms: float, tell: Listener) -> None:
+        """Log in, read the rows and write them down, so that whatever fails fails here. A lost login is renewed once."""
+        found = checkpoints.load(self.provider, self.id) if resume else None
+        if found:
+            self.report |= {"resumed": True, "checkpoint_path": checkpoints.path(self.provider, self.id)}
+        start = int((found or {}).get("next_index") or 0)
+        self.folders, self.report["warnings"] = list((found or {}).get("rows") or []), list((found or {}).get("warnings") or [])
+        self._login(delay_ms)
+        tell("login", self.who() | {"session_reused": self.report["session_reused"]})
+        folder = checkpoints.rows_path()
+
+        def read() -> list[str]:
+            got = self.adapter.fetch(spark, as_of, days_back, start)
+            # Hashes come before the stamp of the account: what it says of itself isn't part of a row's identity.
+            marked = normalize.mark_pending(got.rows.select(*RAW.fieldNames()))
+            txn = cdc.hashed(normalize.normalize(marked, self.adapter.label or "", keep=("pending_marker",)))
+            normalize.stamp_source(txn, self.id, self.display_name, self.provider).write.mode("overwrite").parquet(folder)
+            return [] if got.warnings is None else [r.warning for r in got.warnings.select("warning").toLocalIterator()]
+
+        try:
+            warnings = read()
+        except Exception as error:
+            if not self.adapter.is_auth_error(error):
+                raise
+            self.report["re_auth_occurred"] = True
+            self._login(delay_ms)
+            warnings = read()
+        rows = spark.read.parquet(folder)
+        pending = F.col("pending_marker").isNotNull()
+        got = rows.agg(F.count_if(~pending).alias("fetched"), F.count_if(pending).alias("pending"), F.max("seq").alias("last"), F.min("provider").alias("provider")).first()
+        self.stamped = got.provider or self.adapter.label or self.provider
+        self.report |= {"transactions_fetched": got.fetched, "pending_skipped": got.pending, "skipped": len(warnings)}
+        self.report["warnings"] += warnings
+        self.report["status"] = "partial" if warnings else "success"
+        self.folders.append(folder)
+        checkpoints.save(self.provider, self.id, start if got.last is None else int(got.last) + 1, self.folders, self.report["warnings"])
+        tell("fetched", self.who() | {k: self.report[k] for k in ("transactions_fetched", "pending_skipped", "skipped")})
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The account's final rows, those of earlier segments first."""
+        parts = [spark.read.parquet(f).where("pending_marker is null").drop("pending_marker").withColumn("segment", F.lit(i)) for i, f in enumerate(self.folders)]
+        return normalize.union_accounts(parts)
 
 
 def run_accounts(
-    spark: SparkSession, accounts: list[dict[str, Any]], sources: Registry, state_root: str, export_root: str | None, as_of: str, now: str, full_fetch: bool = False, options: dict[str, Any] | None = None
+    spark: SparkSession,
+    accounts: list[dict[str, Any]],
+    sources: Registry,
+    state_root: str,
+    export_root: str | None,
+    as_of: str,
+    now: str,
+    full_fetch: bool = False,
+    options: dict[str, Any] | None = None,
+    resume: bool = False,
+    days_back: int | None = None,
+    listener: Listener | None = None,
+    ledger_rows: DataFrame | None = None,
+    delay_ms: float = 2000,
 ) -> RunResult:
     """Fetch all accounts, export what is new or changed, then move the state on, in this order: a crash between the two exports
-    a delta again, and never loses one. An account whose source fails is reported; the others go on."""
-    with single_flight():
-        parts, done = [], []
+    a delta again, and never loses one.
+
+    An account whose source fails is reported, and the others go on: its rows are read and written down by themselves. An
+    account's rows stay in its checkpoint until the state has moved on; ``resume`` goes on from there. ``considered`` is
+    cached, for the sync that may follow; who is done with it unpersists it.
+    """
+    tell = _teller(listener)
+    with single_flight(spark, state_root):
+        checkpoints = Checkpoints(spark, f"{state_root}/checkpoints")
+        done: list[_Account] = []
         for a in accounts:
-            adapter = None
+            one = _Account(a)
+            own_days = one.days_back if one.days_back is not None else days_back
+            tell("account-start", one.who() | {"days_back": own_days})
             try:
-                adapter = sources.create(a["provider"], **(options or {}))
-                raw = adapter.read(spark, as_of, a.get("days_back") or 4)
-                parts.append(normalize.stamp_source(normalize.normalize(raw), a["provider_account_id"], a.get("display_name") or "", a["provider"]))
-                done.append(a | {"status": "success", "error": None})
+                if any((x.provider, x.id) == (one.provider, one.id) for x in done):
+                    raise ValueError("the account is listed twice")
+                one.adapter = sources.create(one.provider, **(options or {}))
+                one.fetch(spark, as_of, own_days or accounts_ops.DAYS_BACK_DEFAULT, checkpoints, resume, delay_ms, tell)
+                if any((x.stamped, x.id) == (one.stamped, one.id) for x in done if x.report["status"] != "failed"):
+                    raise ValueError("another account of the run has rows under the same names")
             except Exception as error:  # noqa: BLE001 - one account's failure is its result
-                done.append(a | {"status": "failed", "error": str(error)})
+                one.report |= {"status": "failed", "error": str(error)}
+                tell("account-error", one.who() | {"error": str(error)})
             finally:
-                if adapter is not None:
-                    adapter.close()
+                if one.adapter is not None:
+                    one.adapter.close()
+            done.append(one)
         state = Versioned(spark, f"{state_root}/seen", SEEN)
         considered = None
-        counts: dict[tuple[str, str], dict[str, Any]] = {}
-        if parts:
-            txn = parts[0]
-            for p in parts[1:]:
-                txn = txn.unionByName(p)
+        fine = [x for x in done if x.report["status"] != "failed"]
+        if fine:
+            txn = normalize.union_accounts([x.rows(spark) for x in fine])
             seen = state.read()
             # Read by the export, the counters and the state: computed once, a row a transaction.
-            considered = cdc.against_seen(cdc.occurrence_keys(txn), seen, full_fetch).persist()
+            considered = cdc.keyed_against(txn, seen, ledger_rows, ("segment", "seq"), full_fetch).persist()
             counts = {(r.provider, r.provider_account_id): r.asDict() for r in cdc.counters(considered).collect()}
+            for x in fine:
+                x.report |= {c: counts.get((x.stamped, x.id), {}).get(c, 0) for c in COUNTS}
+                tell("dedup", x.who() | {c: x.report[c] for c in ("created", "updated", "unchanged", "duplicates")})
             delta = cdc.exported(considered)
             if export_root:
                 export_json(delta, export_root, as_of)
+            for x in fine:
+                x.report["export_path"] = f"{export_root}/provider={x.stamped}/provider_account_id={x.id}/export_date={as_of}" if export_root and x.report["exported"] else None
+                tell("export", x.who() | {"exported": x.report["exported"], "file_path": x.report["export_path"]})
             if not full_fetch:
-                state.write(cdc.upsert_seen(seen, delta, F.lit(now).cast("timestamp")), STATE_PARTS)
-        results = [a | {k: v for k, v in counts.get((normalize.PROVIDER, a["provider_account_id"]), {}).items() if k not in a} for a in done]
-        rows = spark.createDataFrame([(a["status"], int(a.get("exported") or 0), int(a.get("considered") or 0)) for a in results], "status string, exported bigint, considered bigint")
-        return RunResult(run_summary(rows).first().asDict(), results, considered)
+                state.write(cdc.upsert_seen(seen, delta, F.lit(now).cast("timestamp")))
+            for x in fine:
+                tell("account-done", x.who() | {"status": x.report["status"]})
+        rows = spark.createDataFrame([(x.report["status"], int(x.report["exported"]), int(x.report["considered"])) for x in done], "status string, exported bigint, considered bigint")
+        summary = run_summary(rows).first().asDict()
+        result = RunResult(summary, [x.report for x in done], considered, [w for x in done for w in x.report["warnings"]])
+        if considered is not None:
+            result.considered = _kept(considered, checkpoints)
+            considered.unpersist()
+        for x in fine:
+            checkpoints.clear(x.provider, x.id)
+        return result
+
+
+def _kept(considered: DataFrame, checkpoints: Checkpoints) -> DataFrame:
+    """The rows as a table of their own, which outlives the checkpoints and lost executors; it goes with the session."""
+    path = checkpoints.rows_path()
+    considered.write.parquet(path)
+    checkpoints.files.delete_on_exit(path)
+    return considered.sparkSession.read.schema(considered.schema).parquet(path)
 
 
 def export_plan(txn: DataFrame) -> DataFrame:
@@ -105,30 +239,121 @@ def run_export(txn: DataFrame, sender: outbound.Sender | None = None, dry_run: b
     return planned | {"dry_run": False, "sent": planned["qualifying"]}
 
 
+def open_ledger(spark: SparkSession, state_root: str, now: str) -> tuple[Versioned, DataFrame]:
+    """The ledger, with what runs that were cut off have sent; their journals go once the ledger has them."""
+    book = Versioned(spark, f"{state_root}/ledger", LEDGER)
+    for journal in Journal.leftovers(spark, f"{state_root}/journal", RESULT):
+        if journal.name not in book.notes().get("journals", []):
+            _record(book, journal, now)
+        journal.drop()
+    return book, book.read()
+
+
+def _record(book: Versioned, journal: Journal, now: str) -> None:
+    told = [*book.notes().get("journals", []), journal.name][-20:]
+    book.write(ledger.merge(book.read(), ledger.attempts_of(journal.read()), F.lit(now).cast("timestamp")), {"journals": told})
+
+
 def sync(
-    considered: DataFrame, state_root: str, report_folder: str, run_id: str, now: str, sender: outbound.Sender, gate: str | None = None, on_event: Callable[[str, dict[str, Any]], None] | None = None
+    considered: DataFrame,
+    state_root: str,
+    report_folder: str,
+    run_id: str,
+    now: str,
+    sender: outbound.Sender,
+    gate: str | None = None,
+    on_event: Listener | None = None,
+    one_file: bool = True,
+    entries_of: int | None = None,
 ) -> dict[str, Any]:
-    """Send what the ledger doesn't have yet, record it, and write the audit report."""
+    """Send what the ledger doesn't have yet, record it, and write the audit report.
+
+    Each outcome is in the journal before the next send, and the journal is merged into the ledger at the end, or by the next
+    run if this one is cut off: it then sends none of them again. ``entries_of``: the ledger version that the rows' own
+    ``ledger_entry`` is of; while it is the last, the rows needn't be joined with the ledger again.
+    """
     spark = considered.sparkSession
-    tell = on_event or (lambda kind, data: None)
+    tell = _teller(on_event)
     if gate == ledger.FETCH_ONLY:
         tell("finance-not-attempted", {"reason": gate})
         return {"executed": False, "reason": gate, "counts": None, "report": None}
-    book = Versioned(spark, f"{state_root}/ledger", LEDGER)
-    before = book.read()
-    decided = ledger.decide(considered, before, gate).persist()
+    with single_flight(spark, f"{state_root}/sync"):
+        book, before = open_ledger(spark, state_root, now)
+        current = entries_of is not None and entries_of == book.current()["number"]
+        decided = ledger.decide(considered if current else considered.drop("ledger_entry"), before, gate).persist()
+        journal = Journal(spark, f"{state_root}/journal", RESULT)
+        try:
+            if gate is None:
+                tell("finance-start", {"considered": decided.count()})
+                outbound.send_each(decided.where("decision = 'send'"), sender, journal.add, lambda n: tell("finance-progress", {"sent": n}))
+                finished = ledger.with_results(decided, journal.read()).persist()
+            else:
+                tell("finance-not-attempted", {"reason": gate})
+                finished = decided.withColumns({"finance_status": F.col("decision"), "api_status": F.lit(None).cast("int"), "finance_transaction_id": F.lit(None).cast("string")}).persist()
+            counts = ledger.sync_counts(finished).first().asDict()
+            paths = write_report(ledger.audit(finished, run_id, now).orderBy("dedupKey"), counts, run_id, report_folder, one_file)
+            if journal.n:
+                _record(book, journal, now)
+                journal.drop()
+            finished.unpersist()
+            tell("finance-done", counts)
+            return {"executed": gate is None, "reason": gate, "ok": gate is None and counts["failed"] == 0, "counts": counts, "report": paths}
+        except Exception as error:
+            tell("finance-error", {"error": str(error)})
+            raise
+        finally:
+            decided.unpersist()
+
+
+def run_all(
+    spark: SparkSession,
+    settings: dict[str, Any],
+    sources: Registry,
+    state_root: str,
+    export_root: str,
+    report_folder: str,
+    as_of: str,
+    now: str,
+    run_id: str,
+    mode: str = "all",
+    finance_mode: str = "fetch-only",
+    finance: dict[str, Any] | None = None,
+    sender: outbound.Sender | None = None,
+    days_back: Any = None,
+    listener: Listener | None = None,
+    **options: Any,
+) -> dict[str, Any]:
+    """A whole run from stored settings: pick the accounts, fetch them, and, if asked to, sync what was found.
+
+    Bad days back, or no account to run, are an answer with ``ok`` false; so is whatever a sync ends in, which never undoes
+    the fetch. ``finance``: enabled, api_url, api_key; its gates are asked in the order of ``ledger.GATES``.
+    """
+    try:
+        days = accounts_ops.validate_days_back(settings.get("daysBack") if days_back is None else days_back)
+    except ValueError as error:
+        return {"ok": False, "error": f"Invalid days back: {error}"}
+    listed = settings.get("accounts") or []
+    first = next((a for a in listed if a.get("default") is True), listed[0] if listed else None)
+    chosen = ([first] if first else []) if mode == "default" else [a for a in listed if a.get("enabled") is not False]
+    if not chosen:
+        return {"ok": False, "error": "no account to run"}
+    picked = [{"provider": a["provider"], "provider_account_id": a["providerAccountId"], "display_name": a.get("displayName"), "days_back": a.get("daysBack")} for a in chosen]
+    entries, version = None, None
+    if finance_mode == "sync":
+        book, entries = open_ledger(spark, state_root, now)
+        version = book.current()["number"]
+    result = run_accounts(spark, picked, sources, state_root, export_root, as_of, now, days_back=days, listener=listener, ledger_rows=entries, **options)
+    statuses = spark.createDataFrame([(a["status"],) for a in result.accounts], "status string")
+    fetched = ledger.fetch_succeeded(statuses).first().fetch_succeeded
+    block = finance or {}
+    gate = ledger.run_gate(block.get("enabled") is True, block.get("api_url"), block.get("api_key"), fetched) if finance_mode == "sync" else ledger.FETCH_ONLY
+    considered = result.considered if result.considered is not None else spark.createDataFrame([], _considered_schema(spark))
     try:
-        if gate is None:
-            tell("finance-start", {"considered": decided.count()})
-            finished = ledger.with_results(decided, outbound.send_each(decided.where("decision = 'send'"), sender)).persist()
-            book.write(ledger.merge(before, finished, F.lit(now).cast("timestamp")), STATE_PARTS)
-        else:
-            tell("finance-not-attempted", {"reason": gate})
-            finished = decided.withColumns({"finance_status": F.col("decision"), "api_status": F.lit(None).cast("int"), "finance_transaction_id": F.lit(None).cast("string")}).persist()
-        counts = ledger.sync_counts(finished).first().asDict()
-        paths = write_report(ledger.audit(finished, run_id, now).orderBy("dedupKey"), counts, run_id, report_folder)
-        tell("finance-done", counts)
-        finished.unpersist()
-        return {"executed": gate is None, "reason": gate, "ok": gate is None and counts["failed"] == 0, "counts": counts, "report": paths}
-    finally:
-        decided.unpersist()
+        synced = sync(considered, state_root, report_folder, run_id, now, sender, gate, listener, entries_of=version)
+    except Exception as error:  # noqa: BLE001 - a sync never aborts the run
+        synced = {"executed": True, "ok": False, "error": str(error)}
+    return {"ok": True, "mode": "default" if mode == "default" else "all", "finance_mode": finance_mode, "days_back": days, "summary": result.summary, "accounts": result.accounts, "finance": synced}
+
+
+def _considered_schema(spark: SparkSession) -> Any:
+    return cdc.keyed_against(normalize.normalize(spark.createDataFrame([], RAW)), spark.createDataFrame([], SEEN)).schema

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirflow.functions import http, identity, text
 from weirflow.functions.retry import wait_ms
 from weirflow.operators import accounts, cdc, ledger, normalize, outbound, reports
+from weirflow.plans import pipeline
+from weirflow.schema import LEDGER, RAW, SEEN
+from weirflow.sources.registry import Fetched, Registry, SourceAdapter
+from weirflow.sources.store import Checkpoints, Files, Journal, Versioned, shared_dir
 from weirflow.sources.tables import orders_raw, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +39,32 @@ def queries() -> dict[str, Query]:
     return dict(_queries)
 
 
+#: Tables that play a part of the input (state, ledger, an earlier run's rows), by session, tables and name. They are written
+#: once, so that a query's plan, and its time, is that of its operator.
+_fixtures: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
+def fixture(build: Query) -> Query:
+    def read(s: SparkSession, d: str) -> DataFrame:
+        key = (s.sparkContext.applicationId, d, build.__name__)
+        if key not in _fixtures:
+            frame, path = build(s, d), f"{scratch_folder(s)}/{build.__name__}"
+            frame.write.parquet(path)
+            _fixtures[key] = path, frame.schema
+        path, schema = _fixtures[key]
+        return s.read.schema(schema).parquet(path)
+
+    return read
+
+
+def scratch_folder(s: SparkSession) -> str:
+    """A fresh folder in the shared one, gone when the session is."""
+    path = f"{shared_dir(s)}/weirflow/q-{uuid.uuid4().hex}"
+    Files(s).create(f"{path}/_OWNER", s.sparkContext.applicationId)
+    Files(s).delete_on_exit(path)
+    return path
+
+
 def _txn(s: SparkSession, d: str) -> DataFrame:
     return normalize.normalize(orders_raw(s, d))
 
@@ -40,6 +73,7 @@ def _keyed(s: SparkSession, d: str) -> DataFrame:
     return cdc.occurrence_keys(_txn(s, d))
 
 
+@fixture
 def _seen(s: SparkSession, d: str) -> DataFrame:
     """State as if a first run had read 7 of 10 rows; some hashes are stale, some of a version that stored none."""
     first = cdc.occurrence_keys(_txn(s, d).where(F.col("seq") % 10 < 7))
@@ -48,9 +82,10 @@ def _seen(s: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return cdc.against_seen(_keyed(s, d), _seen(s, d))
+    return cdc.keyed_against(_txn(s, d), _seen(s, d))
 
 
+@fixture
 def _ledger(s: SparkSession, d: str) -> DataFrame:
     """Entries for 4 of 10 rows: sent, sent with another hash, sent without a hash, failed."""
     rows = _keyed(s, d).where(F.col("seq") % 10 < 4)
@@ -69,9 +104,11 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
 
 
 def _decided(s: SparkSession, d: str) -> DataFrame:
-    return ledger.decide(_classified(s, d), _ledger(s, d))
+    book = _ledger(s, d)
+    return ledger.decide(cdc.keyed_against(_txn(s, d), _seen(s, d), book), book)
 
 
+@fixture
 def _finished(s: SparkSession, d: str) -> DataFrame:
     """As if the system had answered: 500 to one in 17, 422 to one in 19, else 201."""
     decided = _decided(s, d)
@@ -81,7 +118,7 @@ def _finished(s: SparkSession, d: str) -> DataFrame:
     return ledger.with_results(decided, results)
 
 
-def _stamp(c: str) -> F.Column:
+def _stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
@@ -257,7 +294,7 @@ def classify_incremental(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def full_fetch(s: SparkSession, d: str) -> DataFrame:
-    return cdc.counters(cdc.against_seen(_keyed(s, d), _seen(s, d), full_fetch=True))
+    return cdc.counters(cdc.keyed_against(_txn(s, d), _seen(s, d), full_fetch=True))
 
 
 @query
@@ -280,9 +317,14 @@ def seen_rows_semi(s: SparkSession, d: str) -> DataFrame:
     return cdc.seen_before(_keyed(s, d), _seen(s, d)).select("seq", "dedup_key")
 
 
+@fixture
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    return cdc.exported(_classified(s, d))
+
+
 @query
 def seen_upsert(s: SparkSession, d: str) -> DataFrame:
-    after = cdc.upsert_seen(_seen(s, d), cdc.exported(_classified(s, d)), F.lit(NOW).cast("timestamp"))
+    after = cdc.upsert_seen(_seen(s, d), _exported(s, d), F.lit(NOW).cast("timestamp"))
     return after.select(*cdc.KEY, "content_hash", _stamp("last_seen_at"), _stamp("updated_at"))
 
 
@@ -511,19 +553,33 @@ def account_events(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def event_text(s: SparkSession, d: str) -> DataFrame:
-    kinds = ["login", "fetched", "dedup", "export", "account-done"]
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("record_seq") % 5 + 1).cast("int"))
-    counts = F.struct(
-        F.col("record_seq").alias("fetched"),
-        F.col("pending_skipped_count").alias("pending"),
-        F.col("created_count").alias("created"),
-        F.col("updated_count").alias("updated"),
-        F.col("unchanged_count").alias("unchanged"),
-        F.col("duplicates_skipped").alias("duplicates"),
-        F.col("new_transactions_exported").alias("exported"),
-        F.col("status").alias("status"),
-    )
-    return _runs(s, d).select("record_seq", reports.event_text(kind, F.col("display_name"), counts).alias("line"))
+    kinds = [*(k for k in reports.EVENT_LINES if k != "export nothing"), "finance-progress"]
+    e = F.col("record_seq")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (e % len(kinds) + 1).cast("int"))
+    said = {
+        "display_name": F.when(e % 5 != 0, F.col("display_name")),
+        "provider_account_id": F.col("provider_account_id"),
+        "days_back": F.when(e % 2 == 0, e % 30),
+        "session_reused": F.col("session_reused"),
+        "fetched": e,
+        "pending": F.col("pending_skipped_count"),
+        "skipped": F.col("transactions_skipped"),
+        "created": F.col("created_count"),
+        "updated": F.col("updated_count"),
+        "unchanged": F.col("unchanged_count"),
+        "duplicates": F.col("duplicates_skipped"),
+        "exported": F.col("new_transactions_exported"),
+        "file_path": F.when(e % 3 == 0, F.lit("out/f.json")),
+        "status": F.col("status"),
+        "error": F.lit("boom"),
+        "considered": e,
+        "sent": e % 3,
+        "already_sent": e % 4,
+        "finance_skipped": e % 5,
+        "failed": e % 2,
+        "reason": F.when(e % 2 == 0, F.lit("finance_disabled")).otherwise(F.lit("missing_api_key")),
+    }
+    return _runs(s, d).select("record_seq", reports.event_text(kind, said).alias("line"))
 
 
 @query
@@ -534,30 +590,184 @@ def export_path(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def warnings_concat(s: SparkSession, d: str) -> DataFrame:
-    prior = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("earlier"))).otherwise(F.array().cast("array<string>"))
-    return table(s, d, "orders").select("o_orderkey", F.array_join(F.concat(prior, F.array("o_orderpriority")), ";").alias("warnings"))
+    prior = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("earlier")))
+    return table(s, d, "orders").select("o_orderkey", F.array_join(normalize.joined_warnings(prior, F.array("o_orderpriority")), ";").alias("warnings"))
 
 
 @query
 def account_union(s: SparkSession, d: str) -> DataFrame:
-    rows = _classified(s, d).select("seq", "provider_account_id", "local_dedup_status")
-    parts = [rows.where(F.col("provider_account_id") == f"acct_{i}") for i in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Each account's rows on their own, as a run reads them, classified in one plan."""
+    parts = [_txn(s, d).where(F.col("provider_account_id") == f"acct_{i}") for i in range(4)]
+    return cdc.keyed_against(normalize.union_accounts(parts), _seen(s, d)).select("seq", "provider_account_id", "local_dedup_status")
+
+
+# Runs
+
+
+def _marked_raw(s: SparkSession, d: str) -> DataFrame:
+    """Raw rows, one in 13 with a marker of a pending row."""
+    return orders_raw(s, d).withColumn("panel_text", F.when(F.col("seq") % 13 == 0, F.lit(f"x {text.PENDING_MARKERS[2]} y")).otherwise(F.lit("settled"))).select(*RAW.fieldNames())
+
+
+@query
+def capture_final(s: SparkSession, d: str) -> DataFrame:
+    """A capture leaves pending rows out, before keys are numbered."""
+    return pipeline.capture(_marked_raw(s, d), _seen(s, d)).considered.select("seq", "dedup_key", "local_dedup_status")
+
+
+@query
+def capture_pending(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.capture(_marked_raw(s, d), _seen(s, d)).pending
+
+
+def _adapter(rows: Callable[[SparkSession], Fetched], label: str | None) -> type[SourceAdapter]:
+    class Given(SourceAdapter):
+        def read(self, spark: SparkSession, as_of: str, days_back: int) -> DataFrame:
+            return rows(spark).rows
+
+        def fetch(self, spark: SparkSession, as_of: str, days_back: int, start_index: int = 0) -> Fetched:
+            got = rows(spark)
+            return Fetched(got.rows.where(F.col("seq") >= start_index), got.warnings)
+
+    Given.label = label
+    return Given
+
+
+def _run(s: SparkSession, d: str) -> pipeline.RunResult:
+    """Three providers with an account of the same name: one fine, one with a warning, one that breaks while it is read."""
+    raw = _marked_raw(s, d)
+    sources = Registry()
+    sources.register("cal", _adapter(lambda spark: Fetched(raw), normalize.PROVIDER))
+    sources.register("other", _adapter(lambda spark: Fetched(raw.where("seq % 2 = 0"), spark.createDataFrame([("row 7 skipped",)], "warning string")), None))
+    sources.register("broken", _adapter(lambda spark: Fetched(raw.withColumn("card_name", F.raise_error(F.lit("the source is down")).cast("string"))), None))
+    listed = [{"provider": p, "provider_account_id": "default", "display_name": p.title()} for p in ("cal", "broken", "other")]
+    folder = scratch_folder(s)
+    return pipeline.run_accounts(s, listed, sources, f"{folder}/state", None, AS_OF, NOW)
+
+
+@query
+def run_accounts(s: SparkSession, d: str) -> DataFrame:
+    names = ["provider", "provider_account_id", "display_name", "status", "transactions_fetched", "pending_skipped", "skipped", "created", "exported", "considered"]
+    return s.createDataFrame([tuple(a[n] for n in names) for a in _run(s, d).accounts], "provider string, provider_account_id string, display_name string, status string, transactions_fetched bigint, pending_skipped bigint, skipped bigint, created bigint, exported bigint, considered bigint")
+
+
+@query
+def run_considered(s: SparkSession, d: str) -> DataFrame:
+    """Accounts of different providers keep their rows apart, whatever their names."""
+    return _run(s, d).considered.groupBy("provider", "provider_account_id", "provider_display_name").agg(F.count("*").alias("rows"), F.count_if(F.contains("dedup_key", F.lit("|#"))).alias("repeats"))
+
+
+@query
+def fetch_succeeded(s: SparkSession, d: str) -> DataFrame:
+    runs = _runs(s, d)
+    return ledger.fetch_succeeded(runs).crossJoin(ledger.fetch_succeeded(runs.where("status = 'failed'")).withColumnRenamed("fetch_succeeded", "of_failed"))
+
+
+@query
+def sync_ok(s: SparkSession, d: str) -> DataFrame:
+    gate = F.when(F.col("event_id") % 3 == 0, F.lit("fetch_failed"))
+    return table(s, d, "events").select("event_id", ledger.sync_ok(gate, F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 2)).alias("ok"))
+
+
+@query
+def report_name(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "nation").select("n_nationkey", reports.report_name(F.col("n_name")).alias("name"))
+
+
+@query
+def row_recognizer(s: SparkSession, d: str) -> DataFrame:
+    children = F.when(F.col("o_orderkey") % 7 != 0, F.array_repeat(F.lit("c"), (F.col("o_orderkey") % 7).cast("int")))
+    return table(s, d, "orders").select("o_orderkey", F.coalesce(normalize.recognized(children), F.lit(False)).alias("is_row"))
+
+
+@query
+def failure_after_success(s: SparkSession, d: str) -> DataFrame:
+    """Every entry of the ledger is tried again, and fails."""
+    book = _ledger(s, d)
+    tried = book.select(*cdc.KEY, F.lit("failed").alias("finance_status"), F.lit("api_error").alias("reason"), F.lit("h").alias("content_hash"), F.lit(500).alias("api_status"), F.lit(None).cast("string").alias("finance_transaction_id"))
+    return ledger.merge(book, tried, F.lit(NOW).cast("timestamp")).select(*cdc.KEY, "finance_status", "reason", "api_status", "attempts", _stamp("sent_at"), _stamp("last_attempt_at"))
+
+
+@query
+def ledger_load(s: SparkSession, d: str) -> DataFrame:
+    """Each customer's ledger file; one in four is broken."""
+    key = F.col("c_custkey").cast("string")
+    entry = F.format_string('{"entries": {"k%s": {"financeStatus": "sent", "contentHash": "h%s", "apiStatus": 201, "sentAt": "2026-01-02T03:04:05Z", "attempts": 2}}}', key, key)
+    files = table(s, d, "customer").select(F.lit("cal").alias("provider"), key.alias("provider_account_id"), F.when(F.col("c_custkey") % 4 != 0, entry).otherwise(F.lit("{broken")).alias("data"))
+    return ledger.ledger_from_files(files).select(*cdc.KEY, "finance_status", "content_hash", "api_status", _stamp("sent_at"), "attempts")
+
+
+@query
+def state_versions(s: SparkSession, d: str) -> DataFrame:
+    """State written twice and read again: the second version, merged from the first."""
+    state = Versioned(s, f"{scratch_folder(s)}/seen", SEEN)
+    state.write(_seen(s, d).where("content_hash is not null"))
+    state.write(state.read().unionByName(_seen(s, d).where("content_hash is null")))
+    return state.read().select(*cdc.KEY, "content_hash", _stamp("last_seen_at"))
+
+
+@query
+def ledger_versions(s: SparkSession, d: str) -> DataFrame:
+    book = Versioned(s, f"{scratch_folder(s)}/ledger", LEDGER)
+    book.write(_ledger(s, d))
+    return book.read().select(*cdc.KEY, "finance_status", "api_status", "finance_transaction_id", "attempts")
+
+
+@query
+def checkpoint_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Checkpoints of some accounts, saved and loaded; one is cleared, one was never there."""
+    kept = Checkpoints(s, f"{scratch_folder(s)}/checkpoints")
+    for r in table(s, d, "region").select("r_regionkey", "r_name").toLocalIterator():
+        kept.save("cal", r.r_name, r.r_regionkey + 1, [], [f"w{r.r_regionkey}"])
+    kept.clear("cal", "ASIA")
+    rows = []
+    for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "default"):
+        found = kept.load("cal", name)
+        rows.append((name, found and found["next_index"], found and ";".join(found["warnings"])))
+    return s.createDataFrame(rows, "account string, next_index bigint, warnings string")
+
+
+@query
+def json_scan(s: SparkSession, d: str) -> DataFrame:
+    """An array of transactions in a file of JSON."""
+    from weirflow.sources.files import load_transactions
+
+    path = f"{scratch_folder(s)}/t.json"
+    rows = _txn(s, d).where("seq % 50 = 0").select("seq", "merchant_name", "amount", "status")
+    Files(s).create(path, "[" + ",\n".join(json.dumps(r.asDict()) for r in rows.toLocalIterator()) + "]")
+    return load_transactions(s, path).select("seq", "merchant_name", "amount", "status")
+
+
+@query
+def valid_rows(s: SparkSession, d: str) -> DataFrame:
+    """A scan of JSON lines of which one in nine is broken: rows and warnings."""
+    from weirflow.sources.files import JsonLines
+
+    path = f"{scratch_folder(s)}/lines"
+    raw = orders_raw(s, d)
+    raw.select(F.when(F.col("seq") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(*RAW.fieldNames()))).alias("value")).write.text(path)
+    got = JsonLines(path).fetch(s, AS_OF, 4)
+    return got.rows.agg(F.count("*").alias("rows"), F.sum("seq").alias("seqs")).crossJoin(got.warnings.agg(F.count("*").alias("warnings")))
+
+
+@query
+def journal_once(s: SparkSession, d: str) -> DataFrame:
+    """Outcomes of sends, journalled one by one, read back once each, and merged into an empty ledger."""
+    from weirflow.schema import RESULT
+
+    journal = Journal(s, f"{scratch_folder(s)}/journal", RESULT)
+    for r in table(s, d, "nation").orderBy("n_nationkey").toLocalIterator():
+        journal.add({"provider": "cal", "provider_account_id": "default", "dedup_key": r.n_name, "seq": r.n_nationkey, "content_hash": "h", **outbound.outcome(422 if r.n_nationkey % 4 == 0 else 201, f"id{r.n_nationkey}")})
+    empty = s.createDataFrame([], LEDGER)
+    return ledger.merge(empty, ledger.attempts_of(journal.read()), F.lit(NOW).cast("timestamp")).select("dedup_key", "finance_status", "reason", "api_status", "finance_transaction_id", "attempts")
 
 
 @query
 def capture_stream(s: SparkSession, d: str) -> DataFrame:
     """The stream over all raw rows, in one go: its delta. Equals the batch capture against an empty state."""
-    import uuid
-
-    from weirflow.schema import RAW
-    from weirflow.sources.files import shared_dir
     from weirflow.streaming.incremental import capture_stream as run
 
-    at = f"{shared_dir(s)}/weirflow/stream-{uuid.uuid4().hex}"
+    at = scratch_folder(s)
     orders_raw(s, d).select(*RAW.fieldNames()).write.parquet(f"{at}/raw")
     run(s, f"{at}/raw", RAW, f"{at}/state", f"{at}/delta", f"{at}/checkpoint", NOW)
     return s.read.parquet(f"{at}/delta").select("seq", "dedup_key", "local_dedup_status")

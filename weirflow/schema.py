@@ -29,7 +29,7 @@ LEDGER = _struct(
     "provider string, provider_account_id string, dedup_key string, finance_status string, reason string, content_hash string, api_status int, "
     "finance_transaction_id string, sent_at timestamp, last_attempt_at timestamp, attempts int"
 )
-RESULT = _struct("provider string, provider_account_id string, dedup_key string, seq bigint, ok boolean, classification string, api_status int, finance_transaction_id string")
+RESULT = _struct("provider string, provider_account_id string, dedup_key string, seq bigint, content_hash string, ok boolean, classification string, api_status int, finance_transaction_id string, message string")
 RUN_REPORT = _struct(
     "record_seq bigint, provider string, account_id string, provider_account_id string, display_name string, started_at timestamp, finished_at timestamp, "
     "duration_ms bigint, status string, transactions_fetched bigint, transactions_skipped bigint, pending_skipped_count bigint, retry_count bigint, "

@@ -3,18 +3,38 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@dataclass
+class Fetched:
+    """Raw rows of a fetch, and its warnings, if any (a column ``warning``)."""
+
+    rows: DataFrame
+    warnings: DataFrame | None = None
+
+
 class SourceAdapter(ABC):
     """Reads raw rows (``schema.RAW``); ``seq`` must be a real key that orders an account's rows."""
 
     name = "base"
+    #: What its rows say they are from; None: nothing, so they get the name under which the adapter runs.
+    label: str | None = None
 
     @abstractmethod
     def read(self, spark: SparkSession, as_of: str, days_back: int) -> DataFrame: ...
 
+    def fetch(self, spark: SparkSession, as_of: str, days_back: int, start_index: int = 0) -> Fetched:
+        """The rows from ``start_index`` on, with warnings for what had to be left out."""
+        rows = self.read(spark, as_of, days_back)
+        return Fetched(rows.where(rows["seq"] >= start_index) if start_index else rows)
+
+    def login(self) -> bool:
+        """Before a fetch, and again where one fails for want of a login; whether an earlier session still served."""
+        return False
+
     def is_auth_error(self, error: Exception) -> bool:
         return False
 

@@ -1,19 +1,14 @@
-"""Out: exports, reports, state. State is written as a new version, then a pointer is moved to it."""
+"""Out: exports and reports."""
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
-import threading
-import uuid
-from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weirflow.functions.text import csv_line
 from weirflow.operators.reports import AUDIT_COLUMNS
@@ -53,65 +48,30 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] = AUDIT_COLUMNS) ->
     rows.select(*columns).write.mode("overwrite").options(header=True, quote='"', escape='"', nullValue="", emptyValue="").csv(path)
 
 
-def write_report(audit: DataFrame, summary: dict[str, Any], run_id: str, folder: str) -> tuple[str, str]:
-    """The audit report of a run as one JSON and one CSV file; (json path, csv path)."""
+def write_report(audit: DataFrame, summary: dict[str, Any], run_id: str, folder: str, one_file: bool = True) -> tuple[str, str]:
+    """The audit report of a run as JSON and CSV; (json path, csv path).
+
+    As one file each, rows pass the driver a partition at a time and are never held together. With ``one_file`` false the
+    executors write folders (JSON lines, CSV with headers), and the driver only the summary.
+    """
     base = f"{folder}/finance-sync-{run_id}"
-    rows = [json.loads(r.j) for r in audit.select(F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
-    write_text(f"{base}.json", json.dumps({"runId": run_id, "summary": summary, "transactions": rows}, indent=2, ensure_ascii=False))
-    lines = [",".join(AUDIT_COLUMNS), *(r.line for r in csv_rows(audit).toLocalIterator())]
-    write_text(f"{base}.csv", "\n".join(lines) + "\n")
+    as_json = audit.select(F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"}).alias("value"), csv_line([F.col(c) for c in AUDIT_COLUMNS]).alias("line"))
+    if not one_file:
+        as_json.select("value").write.mode("overwrite").text(f"{base}.json")
+        write_csv(audit, f"{base}.csv")
+        write_text(f"{base}-summary.json", json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False))
+        return f"{base}.json", f"{base}.csv"
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    parts = Path(f"{base}.json.tmp"), Path(f"{base}.csv.tmp")
+    with parts[0].open("w", encoding="utf-8") as out, parts[1].open("w", encoding="utf-8", newline="") as lines:
+        out.write(json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False)[:-2] + ',\n  "transactions": [')
+        lines.write(",".join(AUDIT_COLUMNS) + "\n")
+        n = 0
+        for r in as_json.toLocalIterator():
+            out.write(("," if n else "") + "\n" + "\n".join("    " + x for x in json.dumps(json.loads(r.value), indent=2, ensure_ascii=False).split("\n")))
+            lines.write(r.line + "\n")
+            n += 1
+        out.write("\n  ]\n}" if n else "]\n}")
+    for part, end in zip(parts, ("json", "csv"), strict=True):
+        os.replace(part, f"{base}.{end}")
     return f"{base}.json", f"{base}.csv"
-
-
-class Versioned:
-    """A table whose versions are folders; ``CURRENT`` names the one that counts. Works on any file system Spark writes to."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _fs(self, path: str) -> tuple[Any, Any]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def version(self) -> str | None:
-        fs, path = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first().value
-
-    def read(self) -> DataFrame:
-        """The current version; no rows where there is none."""
-        at = self.version()
-        return self.spark.createDataFrame([], self.schema) if at is None else self.spark.read.schema(self.schema).parquet(f"{self.root}/{at}")
-
-    def write(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
-        """A new version, readable only when whole; the version before stays for readers that have it open."""
-        at = f"v-{uuid.uuid4().hex}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.partitionBy(*partition_by).parquet(f"{self.root}/{at}")
-        fs, part = self._fs(f"{self.root}/CURRENT.tmp")
-        out = fs.create(part, True)
-        out.write(bytearray(at.encode()))
-        out.close()
-        target = self._fs(f"{self.root}/CURRENT")[1]
-        fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError(f"{self.root}: the pointer could not be moved")
-        return at
-
-
-class Busy(RuntimeError):
-    """Another run is under way."""
-
-
-_running = threading.Lock()
-
-
-@contextlib.contextmanager
-def single_flight() -> Iterator[None]:
-    """One run at a time: state is replaced as a whole. A second one is turned away, not queued."""
-    if not _running.acquire(blocking=False):
-        raise Busy("a run is already under way")
-    try:
-        yield
-    finally:
-        _running.release()
