@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.sources.store import Files, shared_dir
+
 #: A table may be broadcast only if its counted rows times their width stay below this.
 BROADCAST_BYTES = 8 << 20
 
@@ -22,59 +23,57 @@ BROADCAST_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    own = tempfile.mkdtemp(prefix="weirflow-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
+
+    The table goes at the end of the ``scratch`` that is open, if one is, else with the session.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weirflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    if _scratch:
-        _scratch[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Files(spark).delete_on_exit(path)
+    if (tables := _scratch.get()) is not None:
+        tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-#: Tables made within each open ``scratch``.
-_scratch: list[list[str]] = []
+#: Where the tables that were materialized lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Tables made within the innermost open ``scratch`` of this thread.
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables that are materialized within go at the end, except what is materialized by the function that this gives.
 
-    Results that outlive it must not read the others. Without it, tables stay until the session ends.
+    Results that outlive it must not read the others. Who writes an operator's result within it frees all that the operator
+    wrote on its way. Each thread has its own, so queries may run side by side.
     """
-    kept: list[str] = []
+    outer, own, kept = _scratch.get(), [], []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = materialize(df, name)
-        kept.append(_scratch[-1].pop())
+        kept.append(own.pop())
         return out
 
-    _scratch.append([])
+    token = _scratch.set(own)
     try:
         yield keep
     finally:
-        for path in _scratch.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if _scratch:
-            _scratch[-1] += kept
+        _scratch.reset(token)
+        for path in own:
+            Files(spark).delete(path)
+        if outer is not None:
+            outer += kept
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more; any other DataFrame is left alone."""
+    if (path := _paths.pop(df, None)) is not None:
+        Files(df.sparkSession).delete(path)
 
 
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -83,6 +82,18 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the bytes of a batch on its way to a Python worker, where the session doesn't: Spark's own bound is in rows.
+
+    A setting of the session, so it is for the program that owns it (the registered queries, the pipeline); operators never
+    change one.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, most)
+
+
 #: What modules want emptied at the end of a task.
 AFTER_TASK: list[Callable[[], None]] = []
 
@@ -90,12 +101,8 @@ AFTER_TASK: list[Callable[[], None]] = []
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, a function over a task's batches, that gives free memory back to the system at the end of the task.
 
-    Python workers live on between tasks; what their allocators keep would count against the executor's memory. Batches on
-    their way to the workers are bounded in bytes too, where the session doesn't bound them: Spark's own bound is in rows.
+    Python workers live on between tasks; what their allocators keep would count against the executor's memory.
     """
-    session = SparkSession.getActiveSession()
-    if session is not None and session.conf.get(BATCH, None) is None:
-        session.conf.set(BATCH, "4m")
 
     def wrapped(batches: Iterator) -> Iterator:
         from weirflow.llm import common  # this function is sent by value; the worker's own module has what is to be emptied
@@ -111,6 +118,13 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return wrapped
 
 
+def hash_below(share: float, *parts: Column) -> Column:
+    """True for about ``share`` of the values: their 64-bit hash is below that share of its range, however small."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*parts) < F.lit(int(share * float(1 << 63)) * 2 - (1 << 63))
+
+
 def sealed(c: Column) -> Column:
     """A key that equals itself when null, for joins and groups."""
     return F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit("")).alias("some"))

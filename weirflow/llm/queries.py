@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import table
+from weirflow.llm.common import bound_batches, table
 
 #: The rules of op7 (host, path, verdict).
 URL_RULES = [
@@ -93,8 +94,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk)}
+    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk)
+    return {f.__name__: _bounded(f) for f in own}
 
 
 #: Words of a text, as DuckDB counts them: pieces between runs of ASCII white space.
