@@ -8,6 +8,8 @@ language, labels the words; the language that labels most bytes is the text's.
 If no stretch of words favours other languages by more than one penalty over the best single language, that language labels
 every word: no path with a switch can score more. Only texts that fail this test are decoded word by word.
 
+Memory is that of a slice of texts and of a bounded number of scores, whatever the number of languages.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no span; so is every text if nothing could
 be learned; repeated rows are equal; texts of any length are labelled whole; an empty table gives an empty result; other
 columns pass through unchanged (``lang_pred``, ``score``, ``spans`` replace columns of those names).
@@ -23,12 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import released
+from weirflow.llm.common import bounded, released
 from weirflow.llm.packing import slices
 
-#: Hash buckets of byte trigrams (bits), languages at most, score of a language that a word's script rules out.
-BITS, LANGUAGES, RULED_OUT = 16, 1000, -1e4
-SLICE_BYTES = 3 << 19
+#: Hash buckets of byte trigrams (bits, at most and at least), cells of a model, score of a language that a script rules out.
+BITS, FEWEST_BITS, CELLS, RULED_OUT = 16, 8, 8 << 20, -1e4
+#: Bytes of text taken at once; scores (words times languages) held at once.
+SLICE_BYTES, SCORES = 3 << 19, 2 << 20
 
 #: Script of a character by the lead byte of its UTF-8 form, as half-open ranges of lead bytes.
 SCRIPT_RANGES = [
@@ -65,7 +68,7 @@ LETTER, SCRIPT = _tables()
 class Text:
     """The words of some texts: trigram buckets of their bytes, where words start, which text and script they are of."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, bits: int = BITS) -> None:
         # A space before each text and behind the last keeps words and trigrams within a text.
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -82,7 +85,7 @@ class Text:
         ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         code = data.astype(np.uint32)
         code = ((code[:-2] << np.uint32(16)) | (code[1:-1] << np.uint32(8)) | code[2:]) * np.uint32(2654435761)
-        self.tri = (code >> np.uint32(32 - BITS))[inside[1:-1]]  # of the letters only
+        self.tri = (code >> np.uint32(32 - bits))[inside[1:-1]]  # of the letters only
         self.sizes = ends - starts
         self.first = np.cumsum(self.sizes) - self.sizes
         gaps = np.cumsum(lengths + 1)
@@ -92,90 +95,134 @@ class Text:
         self.texts = len(texts)
 
 
-def _learned(labels: dict[str, int]):
-    width = len(SCRIPTS) + (1 << BITS)
+def _learned(languages: int, bits: int):
+    width = len(SCRIPTS) + (1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(labels), width), np.int64)
+        counts = np.zeros(languages * width, np.int32)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                text = Text(part.column(1))
-                lang = np.array([labels[x] for x in part.column(0).to_pylist()])[text.doc]
-                cells = np.repeat(lang, text.sizes) * width + len(SCRIPTS) + text.tri
-                counts += np.bincount(cells, minlength=counts.size).reshape(counts.shape)
-                counts += np.bincount(lang * width + text.script, minlength=counts.size).reshape(counts.shape)
-        lang, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[lang, cell])], ["lang", "cell", "n"])
+                text = Text(part.column(1), bits)
+                lang = part.column(0).to_numpy()[text.doc].astype(np.int64)
+                for cells in (np.repeat(lang, text.sizes) * width + len(SCRIPTS) + text.tri, lang * width + text.script):
+                    own, n = np.unique(cells, return_counts=True)
+                    counts[own] += n.astype(np.int32)
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32)), pa.array(counts[cell].astype(np.int64))], ["lang", "cell", "n"])
 
     return run
 
 
+class TooManyLanguages(ValueError):
+    """There are more languages than rows to learn from, so some can't be learned."""
+
+
 def learn(docs: DataFrame, usable: Column, sample: int = 20_000, smoothing: float = 0.5) -> dict:
     """A model from the text and lang of the ``usable`` rows with a lang.
 
-    ``sample`` bounds the rows: with more, those with the smallest hashes are taken, as many as that on average. The counts
-    are summed by the executors; the driver gets one number for each language and trigram bucket.
+    ``sample`` bounds the rows, dealt out evenly over the languages: of a language with more than its part, those rows with
+    the smallest hashes are taken, as many as that on average; equal rows count once. So a rare language is learned as well
+    as a frequent one, at any size. The counts are summed by the executors; the driver gets one number for each language and
+    trigram bucket. The buckets become fewer where there are so many languages that the model would have more than ``CELLS``.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    by = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    languages, n = sorted(by), sum(by.values())
+    by = rows.groupBy("lang").count().orderBy("lang").limit(sample + 1).collect()
+    if len(by) > sample:
+        raise TooManyLanguages(f"more than {sample} languages, and no more rows to learn from")
+    languages = [r["lang"] for r in by]
     if not languages:
         return {"languages": []}
-    labels = {x: i for i, x in enumerate(languages)}
-    share = min(1.0, sample / n)
-    taken = rows if share == 1 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = taken.where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(released(_learned(labels)), "lang int, cell int, n long")
+    part = max(1, sample // len(languages))
+    draw = F.xxhash64("doc_id", "lang", "text", F.lit("langid"))
+    below = [(i, r["lang"], min((1 << 63) - 1, int(min(1.0, part / r["count"]) * float(1 << 63)) * 2 - (1 << 63))) for i, r in enumerate(by)]
+    wanted = docs.sparkSession.createDataFrame(below, "_lang int, lang string, _below long")
+    drawn = rows.join(bounded(wanted, len(below), 64 + 4 * max(len(x) for x in languages)), "lang").withColumn("_draw", draw).where("_draw <= _below")
+    taken = drawn.groupBy("_draw").agg(F.first("_lang").alias("_lang"), F.first("text").alias("text")).select("_lang", "text")
+    bits = min(BITS, max(FEWEST_BITS, (CELLS // len(languages)).bit_length() - 1))
+    counted = taken.mapInArrow(released(_learned(len(languages), bits)), "lang int, cell int, n long")
     cells = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), len(SCRIPTS) + (1 << BITS)))
+    counts = np.zeros((len(languages), len(SCRIPTS) + (1 << bits)), np.float32)
     counts[cells.column("lang").to_numpy(), cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     scripts, tri = counts[:, : len(SCRIPTS)], counts[:, len(SCRIPTS) :]
     shares = scripts / np.maximum(1, scripts.sum(1, keepdims=True))
     allowed = shares > 0.001
     allowed[:, ~allowed.any(0)] = True
-    p = np.log((tri + smoothing) / (tri.sum(1, keepdims=True) + smoothing * tri.shape[1]))
-    return {"languages": languages, "scores": np.ascontiguousarray((p - p.mean(0)).T.astype(np.float32)), "allowed": allowed.T}
+    p = np.log((tri + np.float32(smoothing)) / (tri.sum(1, keepdims=True, dtype=np.float64) + smoothing * tri.shape[1]).astype(np.float32))
+    return {"languages": languages, "bits": bits, "scores": np.ascontiguousarray((p - p.mean(0)).T.astype(np.float32)), "allowed": allowed.T}
 
 
-def word_scores(text: Text, model: dict) -> np.ndarray:
-    """Score of each word (row) in each language (column)."""
-    if not len(text.sizes):
+def word_scores(text: Text, model: dict, a: int = 0, b: int | None = None) -> np.ndarray:
+    """Score of each word (row) from ``a`` to ``b`` in each language (column)."""
+    b = len(text.sizes) if b is None else b
+    if b <= a:
         return np.zeros((0, len(model["languages"])))
-    per = np.stack([np.add.reduceat(column[text.tri], text.first) for column in model["scores"].T], 1).astype(np.float64)
-    return np.where(model["allowed"][text.script], per, RULED_OUT)
-
-
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The labels of the best path: sum of scores less ``penalty`` for each switch; of equal choices to stay, then the lower label."""
-    n, k = scores.shape
-    back = np.zeros((n, k), np.int32)
-    best = scores[0].copy()
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        stay = best >= best[top] - penalty
-        back[t] = np.where(stay, own, top)
-        best = np.where(stay, best, best[top] - penalty) + scores[t]
-    path = np.zeros(n, np.int32)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def label(text: Text, model: dict, penalty: float) -> np.ndarray:
+    first = text.first[a:b] - text.first[a]
+    tri = text.tri[text.first[a] : text.first[b - 1] + text.sizes[b - 1]]
+    per = np.stack([np.add.reduceat(column[tri], first) for column in model["scores"].T], 1).astype(np.float64)
+    return np.where(model["allowed"][text.script[a:b]], per, RULED_OUT)
+
+
+class Scores:
+    """The scores of a text's words, a bounded stretch at a time; those of all words are kept if they are within the bound."""
+
+    def __init__(self, text: Text, model: dict) -> None:
+        self.text, self.model, self.k = text, model, len(model["languages"])
+        self.step = max(1, SCORES // self.k)
+        self.whole = word_scores(text, model) if len(text.sizes) <= self.step else None
+
+    def parts(self, a: int = 0, b: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        b = len(self.text.sizes) if b is None else b
+        for at in range(a, b, self.step):
+            end = min(at + self.step, b)
+            yield at, end, word_scores(self.text, self.model, at, end) if self.whole is None else self.whole[at:end]
+
+
+def viterbi(parts: Iterator[tuple[int, int, np.ndarray]], penalty: float) -> np.ndarray:
+    """The labels of the best path over stretches of scores: their sum less ``penalty`` for each switch; of equal choices to
+    stay, then the lower label. A bit for each word and language, and a number for each word, lead back."""
+    stays, tops = [], []
+    best = np.zeros(0)
+    for _, _, scores in parts:
+        stay, top = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int32)
+        for t, s in enumerate(scores):
+            if not len(best):
+                best = s.copy()
+                continue
+            top[t] = best.argmax()
+            least = best[top[t]] - penalty
+            stay[t] = best >= least
+            best = np.maximum(best, least) + s
+        stays.append((np.packbits(stay, axis=1), scores.shape[1]))
+        tops.append(top)
+    out: list[np.ndarray] = []
+    label = int(best.argmax()) if len(best) else 0
+    for (packed, k), top in zip(reversed(stays), reversed(tops), strict=True):
+        stay, path = np.unpackbits(packed, axis=1, count=k), np.zeros(len(top), np.int32)
+        for t in range(len(top) - 1, -1, -1):
+            path[t] = label
+            if not stay[t, label]:
+                label = int(top[t])
+        out.append(path)
+    return np.concatenate(out[::-1]) if out else np.zeros(0, np.int32)
+
+
+def label(text: Text, scores: Scores, penalty: float) -> np.ndarray:
     """The language of each word by the best path of its text."""
-    scores = word_scores(text, model)
-    sums = np.zeros((text.texts, scores.shape[1]))
-    for j in range(scores.shape[1]):
-        sums[:, j] = np.bincount(text.doc, scores[:, j], text.texts)
+    k = scores.k
+    sums = np.zeros((text.texts, k))
+    for a, b, own in scores.parts():
+        for j in range(k):
+            sums[:, j] += np.bincount(text.doc[a:b], own[:, j], text.texts)
     single = sums.argmax(1)
-    path = single[text.doc]
-    if not len(path) or scores.shape[1] == 1:
+    path = single[text.doc].astype(np.int32)
+    if not len(path) or k == 1:
         return path
-    rows = np.arange(len(path))
-    others = scores.copy()
-    others[rows, path] = -np.inf
-    gain = others.max(1) - scores[rows, path]
+    gain = np.zeros(len(path))
+    for a, b, own in scores.parts():
+        rows, at = np.arange(b - a), path[a:b]
+        others = own.copy()
+        others[rows, at] = -np.inf
+        gain[a:b] = others.max(1) - own[rows, at]
     # The largest sum of gains over a stretch of a text's words: running sum less its smallest value before, text by text.
     step = np.abs(gain).sum() + 1
     run = np.cumsum(gain) - step * text.doc
@@ -186,7 +233,7 @@ def label(text: Text, model: dict, penalty: float) -> np.ndarray:
     most[text.doc[edge]] = np.maximum.reduceat(run - np.minimum.accumulate(before), edge)
     for d in np.flatnonzero(most >= penalty):
         a, b = np.searchsorted(text.doc, [d, d + 1])
-        path[a:b] = viterbi(scores[a:b], penalty)
+        path[a:b] = viterbi(scores.parts(int(a), int(b)), penalty)
     return path
 
 
@@ -220,16 +267,17 @@ def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for part in slices(batch, at, SLICE_BYTES):
-                text = Text(part.column(at))
-                path = label(text, model, penalty)
+                text = Text(part.column(at), model["bits"])
+                scores = Scores(text, model)
+                path = label(text, scores, penalty)
                 cell = text.doc * k + path
                 letters = np.bincount(cell, text.sizes, text.texts * k).reshape(text.texts, k)
                 pred = letters.argmax(1)
-                scores = word_scores(text, model)
-                own = np.where(path == pred[text.doc], 1.0, 0.0)
                 margin = np.zeros((text.texts, k))
-                for j in range(k):
-                    margin[:, j] = np.bincount(text.doc, own * np.maximum(scores[:, j], -50), text.texts)
+                for a, b, own in scores.parts():
+                    mine = np.where(path[a:b] == pred[text.doc[a:b]], 1.0, 0.0)
+                    for j in range(k):
+                        margin[:, j] += np.bincount(text.doc[a:b], mine * np.maximum(own[:, j], -50), text.texts)
                 best = margin[np.arange(text.texts), pred]
                 margin[np.arange(text.texts), pred] = -np.inf
                 sure = 1 / (1 + np.exp(-np.clip(best - margin.max(1), -30, 30))) if k > 1 else np.ones(text.texts)
