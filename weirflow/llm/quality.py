@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import released
+from weirflow.llm.common import bounded, hash_below, released
 from weirflow.llm.packing import slices
 
 SLICE_BYTES = 2 << 20
@@ -101,13 +101,18 @@ def scores(x: np.ndarray, model: dict) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", at: float = 0.3, sample: int = 20_000) -> dict:
     """A model from the ``usable`` rows of ``labels`` (doc_id and ``label``, 0 or 1) and the texts of ``docs``.
 
-    ``sample`` bounds the labelled rows: with more, those with the smallest hashes are taken, as many as that on average. The
-    bounded labels are broadcast to the documents; the driver gets the features of these rows, not their texts.
+    ``sample`` bounds the labelled texts: with more, those with the smallest hashes are taken, as many as that on average;
+    equal ones count once, however often a label or a document is repeated. Labels are broadcast while their count shows
+    that they fit, and joined by shuffle else; the driver gets the features of the sample, not its texts.
     """
+    draw = F.lit("quality")
     rows = labels.where(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_label"))
-    n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    taken = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    once = rows.where(hash_below(min(1.0, sample / max(rows.count(), 1)), F.col("doc_id"), F.col("_label"), draw)).distinct()
+    taken = bounded(once, once.count(), 32)
+    # A doc_id may stand for many texts.
+    texts = docs.select("doc_id").join(taken, "doc_id").count()
+    drawn = docs.select("doc_id", "text").join(taken, "doc_id").where(hash_below(min(1.0, sample / max(texts, 1)), F.col("doc_id"), F.col("text"), draw))
+    joined = drawn.groupBy("doc_id", "_label", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text")).select("_label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +120,6 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
                 x = features(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["label", "x"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("_label", "text")
     found = joined.mapInArrow(released(run), "label int, x array<double>").toArrow().combine_chunks()
     order = np.lexsort([*np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES)).T, found.column("label").to_numpy()]) if found.num_rows else np.zeros(0, int)
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))[order]
