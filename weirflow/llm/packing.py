@@ -3,9 +3,13 @@
 Every task packs the documents of its own partition, in their order. A document is turned into ids; whole windows are cut
 off it at once, and the rest goes into the open window whose fill level makes the sum of squared counts of partially filled
 windows, over the levels, smallest (a new window is level 0; of equal levels the fullest). The counts are kept in one array
-indexed by level. At most ``OPEN`` windows are open: where a new one would be too many, the rest is cut to fill the level
-with the most windows, and what is left is placed anew. When the partition ends, what the open windows hold is laid end to
-end, cut at the window size; the last, unfilled window is cut into lengths that are powers of two, which need no padding.
+indexed by level. A document that fits a window is placed whole. At most ``OPEN`` windows are open: where a new one would be
+too many, the fullest is closed as it is, if its gap is at most ``GAP`` of the window; only where none is that full (documents
+that leave gaps which none fills) is the document cut to fill the fullest that it can.
+
+When the partition ends, the documents in open windows are placed once more, the longest first, each where it fits tightest.
+Windows with a gap of at most ``GAP`` are closed as they are. What the others hold is laid end to end, cut at the window size;
+the last, unfilled window is cut into lengths that are powers of two, which need no padding.
 
 Memory is that of a slice of texts and of the open windows. Nothing is shuffled; a lost task is simply run again, and its
 sequence ids are its own (partition number in the high bits).
@@ -16,6 +20,7 @@ length are cut; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import os
 import unicodedata
 import zlib
@@ -29,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from weirflow.llm.common import released
 
-#: Windows open at once, bytes of text taken at once, stems a task remembers.
-OPEN, SLICE_BYTES, REMEMBERED = 64, 16 << 20, 150_000
+#: Windows open at once, share of a window that may be padding, bytes of text taken at once, stems a task remembers.
+OPEN, GAP, SLICE_BYTES, REMEMBERED = 1024, 1 / 16, 6 << 20, 100_000
 SPLIT, TAIL = "<|endoftext|>", ".,!?;:|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,6 +49,8 @@ def _gather(store: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Words:
     """Ids of texts for a tokenizer that never joins what white space parts, and parts a letter from the punctuation behind it.
 
+    Whether the tokenizer does so is tried on loading; one that doesn't is asked for each text as a whole.
+
     A text is its words; a word is a stem and the punctuation behind it. Distinct stems are encoded once a slice, frequent
     ones once a task. Stems of lower-case letters in normal form, on which the tokenizer's rules do nothing, are encoded
     without the rules.
@@ -54,15 +61,45 @@ class Words:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = not self._as_expected()
         self.rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.no_rules = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.index: dict[str, int] = {}
+        if self.plain:
+            return
         self.split_id = self.tokenizer.token_to_id(SPLIT)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.index: dict[str, int] = {}
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    #: A text in whose ids each rule shows that the splitting here rests on.
+    PROBE = "It's  THE <|endoftext|> Día—99 naïve,words...\tstr.aße ﬁne (x)|y; x\u0301 don't! '' 1,000.5 ɐ <| e:t |> İ\n\n ß. "
+
+    def _as_expected(self) -> bool:
+        """Whether this tokenizer's ids are those of its words, on a text that has what could join or part them otherwise."""
+        if self.tokenizer.token_to_id(SPLIT) is None or not any(w.endswith("</w>") for w in self.tokenizer.get_vocab()):
+            return False
+        words = self.PROBE.split()
+        apart = [i for w in words for i in self._ids(w)]
+        tails = [i for w in words for part in self._parted(w) for i in self._ids(part)]
+        upper = [i for w in words for i in self._ids(w.lower() if w.isascii() and "<" not in w else w)]
+        return self._ids(self.PROBE) == apart == tails == upper
+
+    @staticmethod
+    def _parted(word: str) -> list[str]:
+        stem = word.rstrip(TAIL)
+        return [stem, word[len(stem) :]] if stem and stem != word and (stem[-1].isascii() and stem[-1].isalpha()) else [word]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text as it is, for a tokenizer whose words can't be told apart here."""
+        for t in texts.fill_null("").to_pylist():
+            ids = np.array(self._ids(t), np.uint32)
+            yield ids, np.array([len(ids)])
+
     @staticmethod
     def _bare(stem: str) -> bool:
         return stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and unicodedata.is_normalized("NFC", stem)) and stem == stem.lower()
@@ -107,6 +144,9 @@ class Words:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of the texts, one after the other, and how many each has, some texts at a time."""
+        if self.plain:
+            yield from self._encoded(texts)
+            return
         parts = pc.ascii_split_whitespace(texts.fill_null(""))
         flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
         keep = pc.not_equal(flat, "")
@@ -148,8 +188,9 @@ class Words:
 class SquaresPacker:
     """Online packing of pieces into windows of ``size`` ids; ``done`` collects (sequence, pieces) of closed windows."""
 
-    def __init__(self, size: int, first_sequence: int, open_windows: int = OPEN) -> None:
+    def __init__(self, size: int, first_sequence: int, open_windows: int = OPEN, gap: float = GAP) -> None:
         self.size, self.next, self.most = size, first_sequence, open_windows
+        self.full = size - int(size * gap)  # a window filled so far may be closed
         self.counts = np.zeros(size + 1, np.int64)  # counts[h]: open windows filled up to h
         self.levels: dict[int, list[list]] = {}
         self.open = 0
@@ -174,6 +215,9 @@ class SquaresPacker:
             self.counts[level] += 1
             self.levels.setdefault(level, []).append(pieces)
 
+    def _fullest(self) -> int:
+        return int(self.size - np.argmax(self.counts[self.size :: -1] > 0))
+
     def best_level(self, n: int) -> int:
         """The fill level that a piece of ``n`` ids goes to."""
         there = np.flatnonzero(self.counts[: self.size - n + 1])
@@ -191,18 +235,28 @@ class SquaresPacker:
         while len(ids):
             level, n = self.best_level(len(ids)), len(ids)
             if level == 0 and self.open >= self.most:
-                level = int(self.size - np.argmax(self.counts[self.size :: -1]))  # most windows; of equal levels the fullest
-                n = min(n, self.size - level)
+                fullest = self._fullest()
+                if fullest >= self.full:
+                    self.open -= 1
+                    self._close(self._take(fullest))
+                else:
+                    level, n = fullest, min(n, self.size - fullest)
             pieces = self._take(level)
             pieces.append((doc, start, ids[:n]))
             self._put(level + n, pieces)
             start, ids = start + n, ids[n:]
 
     def finish(self) -> None:
-        """Lay the open windows' pieces end to end; cut the last window at powers of two."""
-        rest = [p for level in sorted(self.levels, reverse=True) for window in self.levels[level] for p in window]
+        """Close all windows: see the module."""
+        pieces = [p for level in sorted(self.levels, reverse=True) for window in self.levels[level] for p in window]
         self.levels, self.open = {}, 0
         self.counts[:] = 0
+        rest: list = []
+        for level, window in sorted(tightest(pieces, self.size), key=lambda w: -w[0]):
+            if level >= self.full:
+                self._close(window)
+            else:
+                rest += window
         left = sum(len(p[2]) for p in rest)
         window, room = [], 0
         for doc, start, ids in rest:
@@ -228,6 +282,25 @@ class SquaresPacker:
         return rows
 
 
+def tightest(pieces: list, size: int) -> list[tuple[int, list]]:
+    """(filled, pieces) of windows: each piece, the longest first, goes where it leaves the least room, whole."""
+    windows: list[tuple[int, list]] = []
+    room: list[tuple[int, int]] = []  # (room, window), ascending
+    for p in sorted(pieces, key=lambda p: -len(p[2])):
+        n = len(p[2])
+        at = bisect.bisect_left(room, (n, -1))
+        if at < len(room):
+            free, w = room.pop(at)
+        else:
+            free, w = size, len(windows)
+            windows.append((0, []))
+        windows[w][1].append(p)
+        windows[w] = windows[w][0] + n, windows[w][1]
+        if free > n:
+            bisect.insort(room, (free - n, w))
+    return windows
+
+
 def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` of about ``size`` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
