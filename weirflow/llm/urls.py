@@ -1,13 +1,15 @@
 """URL filter: a blocked Bloom filter of the listed canonical URLs, and an exact hash join for what passes it.
 
 A listed URL is a rule (host, path, verdict). It fits a URL if the URL's host is the rule's or ends in "." + the rule's, and
-the URL's path starts with the rule's. A URL is expanded to the keys a fitting rule can have (each suffix of its host at a
-dot, with each prefix of its path as long as some listed path); the filter drops the keys that are surely not listed, the
-join with the list drops its false positives, and the longest rule decides; of two as long, that with the longer host.
-A URL that no rule fits gets ``otherwise``.
-
-Defined cases: a null URL, or one without "://", has host and path "" and no rule; repeated rows are each judged; an empty
-table gives an empty result, an empty list fits nothing; other columns are ignored.
+the URL's path starts with the rule's. A URL is expanded to the keys a fitting rule can have: the ends of its host with as
+many labels as some listed host, each with the beginnings of its path as long as some listed path. So their number depends on
+the list, not on how long a URL is. They are made and hashed in the JVM; the filter drops the keys that are surely not listed,
+the join with the list drops its false positives, and the longest rule decides; of two as long, that with the longer host. A
+URL that no rule fits gets ``otherwise``.
+
+Defined cases: a null URL, or one without "://", has host and path "" and no rule; repeated rows are each judged; a URL of any
+length is judged; a rule without a host fits nothing; an empty table gives an empty result, an empty list fits nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,10 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import BROADCAST_BYTES, bounded, released
@@ -38,19 +38,17 @@ def parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": F.coalesce(F.translate(host, upper, lower), F.lit("")), "path": F.coalesce(path, F.lit(""))})
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
-    """The (host, path) pairs that a rule fitting this URL can have."""
-    if not host:
-        return []
-    suffixes, at = [host], host.find(".")
-    while at >= 0:
-        suffixes.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    return [(s, path[:n]) for s in suffixes if s for n in lengths if n <= len(path)]
+def labels_of(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def _hash(host: str, path: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{host}\x00{path}".encode())
+def keys_of(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """The keys (h, p, x) that a rule fitting this URL can have, by label counts and path lengths of the list; x is their hash."""
+    ends = F.array(*[F.when(labels_of(host) >= n, F.substring_index(host, ".", -n)) for n in labels]).cast("array<string>")
+    heads = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]).cast("array<string>")
+    pairs = F.flatten(F.transform(F.array_compact(ends), lambda h: F.transform(F.array_compact(heads), lambda p: F.struct(h.alias("h"), p.alias("p"), F.xxhash64(h, p).alias("x")))))
+    return F.filter(pairs, lambda k: k["h"] != "")
 
 
 def _probes(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,56 +75,53 @@ def maybe_listed(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((table[block[:, None], word] & mask) == mask).all(1)
 
 
-def _list_filter(rules: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The filter of the list and the lengths its paths have. Tasks send one partial filter each, never keys."""
-    n = rules.count()
+def _list_filter(rules: DataFrame, n: int) -> np.ndarray:
+    """The filter of the list's ``n`` rules. Tasks send one partial filter each, never keys."""
     blocks = int(min(max(1, -(-n * 16 // BLOCK_BITS)), BROADCAST_BYTES * 8 // BLOCK_BITS))
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((blocks, WORDS), np.uint64)
-        for pdf in batches:
-            if len(pdf):
-                block, word, mask = _probes(np.array([_hash(h, p) for h, p in zip(pdf.host, pdf.path, strict=True)], np.uint64), blocks)
-                for i in range(PROBES):
-                    np.bitwise_or.at(table, (block, word[:, i]), mask[:, i])
+        for batch in batches:
+            block, word, mask = _probes(batch.column(0).to_numpy().view(np.uint64), blocks)
+            for i in range(PROBES):
+                np.bitwise_or.at(table, (block, word[:, i]), mask[:, i])
         used = np.flatnonzero(table.any(1))
-        yield pd.DataFrame({"block": used.astype(np.int64)} | {f"w{i}": table[used, i].view(np.int64) for i in range(WORDS)})
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[used, i].view(np.int64)) for i in range(WORDS)]], ["block", *[f"w{i}" for i in range(WORDS)]])
 
-    filled = rules.select("host", "path").mapInPandas(part, "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
-    rows = filled.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]).toPandas()
+    filled = rules.select(F.xxhash64("host", "path")).mapInArrow(released(part), "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
+    rows = filled.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]).toArrow()
     table = np.zeros((blocks, WORDS), np.uint64)
-    if len(rows):
-        table[rows.block.to_numpy()] = rows[[f"w{i}" for i in range(WORDS)]].to_numpy(np.int64).view(np.uint64)
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    return table, lengths
+    if rows.num_rows:
+        table[rows.column("block").to_numpy()] = np.stack([rows.column(f"w{i}").to_numpy() for i in range(WORDS)], 1).view(np.uint64)
+    return table
+
+
+def _passing(keys: pa.ListArray, table: np.ndarray) -> pa.ListArray:
+    """Of each row's keys, those that may be listed, without their hashes."""
+    values, at = keys.values, keys.offsets.to_numpy()
+    listed = maybe_listed(table, values.field("x").to_numpy(zero_copy_only=False).view(np.uint64)) if len(values) else np.zeros(0, bool)
+    before = np.append(0, np.cumsum(listed))
+    kept = pa.StructArray.from_arrays([values.field(c).filter(pa.array(listed)) for c in ("h", "p")], ["h", "p"])
+    return pa.ListArray.from_arrays(pa.array((before[at] - before[at[0]]).astype(np.int32)), kept.slice(int(before[at[0]])))
 
 
 def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
     """(page_id, url, host, path, rule, verdict) of every page; ``rules`` has host, path, verdict and no row twice."""
     spark: SparkSession = pages.sparkSession
-    rules = rules.select("host", "path", "verdict")
-    n, width = rules.agg(F.count("*"), F.coalesce(F.max(F.length("host") + F.length("path")), F.lit(0))).first()
-    table, lengths = _list_filter(rules)
-    sent = spark.sparkContext.broadcast((table, lengths))
+    rules = rules.select("host", "path", "verdict").where("host != '' and path is not null")
+    shape = rules.agg(F.count("*"), F.coalesce(F.max(F.length("host") + F.length("path")), F.lit(0)), F.array_sort(F.collect_set(labels_of(F.col("host")))), F.array_sort(F.collect_set(F.length("path")))).first()
+    n, width, labels, lengths = shape
+    sent = spark.sparkContext.broadcast(_list_filter(rules, n))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lengths = sent.value
         for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            keys = [keys_of(h, p, lengths) for h, p in zip(hosts, paths, strict=True)]
-            flat = [k for ks in keys for k in ks]
-            listed = maybe_listed(table, np.array([_hash(*k) for k in flat], np.uint64)) if flat else np.zeros(0, bool)
-            out, at = [], 0
-            for ks in keys:
-                out.append([{"h": k[0], "p": k[1]} for k, x in zip(ks, listed[at : at + len(ks)], strict=True) if x])
-                at += len(ks)
-            kind = pa.list_(pa.struct([("h", pa.string()), ("p", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _passing(batch.columns[-1], sent.value)], [*batch.schema.names[:-1], "hits"])
 
     # Equal rows are judged once and counted, so that a page that makes up much of the table is one row from here on.
     once = parts(pages.select("page_id", "url").groupBy("page_id", "url").agg(F.count("*").alias("times")))
+    expanded = once.withColumn("keys", keys_of(F.col("host"), F.col("path"), labels, lengths))
     schema = "page_id {}, url string, times long, host string, path string, hits array<struct<h: string, p: string>>"
-    passed = once.mapInArrow(released(hits), schema.format(pages.schema["page_id"].dataType.simpleString()))
+    passed = expanded.mapInArrow(released(hits), schema.format(pages.schema["page_id"].dataType.simpleString()))
     listed = bounded(rules.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("hn"), F.concat("host", "path").alias("rule"), "verdict").alias("found")), n, width * 8 + 64)
     best = (
         passed.select("page_id", "url", "times", "host", "path", F.explode_outer("hits").alias("key"))
