@@ -5,7 +5,8 @@ into posting lists (term -> candidates with a weight that is not 0), and each qu
 posting weights into a dense array of scores, a row a query. A partition selection keeps the k best of the block, merged
 with those of the task's earlier blocks; a ranking per query merges the tasks.
 
-Queries are a stated set; they are sent in groups of at most ``QUERY_BYTES``, each group against all rows.
+Queries are a stated set, searched in blocks: the queries fall into blocks of about ``QUERY_BYTES``, the candidates into
+blocks of about ``BLOCK_BYTES``, and each pair of blocks is a task's unit of work. Nothing comes to the driver but counts.
 
 Defined cases: vectors that are null, or hold null or a non-finite component, take no part; a missing component (shorter
 vector) counts as 0; a query is never its own candidate (same vec_id), nor are rows with a null vec_id anything; ties go to
@@ -17,17 +18,14 @@ the first by content); scores are exact: where 64-bit sums could overflow, Pytho
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import released
-
-#: Bytes of queries sent at once, and scores held at once in a task.
-QUERY_BYTES, SCORES = 4 << 20, 4 << 20
+#: Bytes of a block of queries and of candidates, as 8-byte numbers, and scores held at once in a task.
+QUERY_BYTES, BLOCK_BYTES, SCORES = 4 << 20, 16 << 20, 2 << 20
 LIMIT = (1 << 63) - 1
 
 
@@ -75,23 +73,28 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, k: int, scale: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
-        step = max(1, SCORES // max(1, len(query_ids)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                ids, block = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), scale)
-                scores = _scores(queries, block)
-                for q in range(len(query_ids)):
-                    row, names = scores[q], ids
-                    if (own := ids == query_ids[q]).any():
-                        row, names = row[~own], ids[~own]
-                    row, names = _best(row, names, k)
-                    best[q] = _best(np.concatenate([best[q][0], row]), np.concatenate([best[q][1], names]), k)
-        rows = [(int(query_ids[q]), int(v), max(-LIMIT - 1, min(LIMIT, int(s)))) for q, (ss, vs) in enumerate(best) for s, v in zip(ss, vs, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+def _pair(k: int, scale: int):
+    """The k best of a block of candidates for each query of a block of queries."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        asks = rows.column("asks").to_numpy()
+        sides = [rows.filter(pa.array(m)).combine_chunks() for m in (asks, ~asks)]
+        (query_ids, ids), (asked, vectors) = [t.column("vec_id").to_numpy() for t in sides], [t.column("embedding").combine_chunks() for t in sides]
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(ids) and len(query_ids):
+            block = _matrix(vectors, scale)
+            step = max(1, SCORES // len(ids))
+            for at in range(0, len(query_ids), step):
+                scores = _scores(_matrix(asked.slice(at, step), scale), block)
+                for own, row in zip(query_ids[at : at + step], scores, strict=True):
+                    other = ids != own
+                    best, names = _best(row[other], ids[other], k)
+                    out[0].append(np.full(len(best), own))
+                    out[1].append(names)
+                    out[2].append(np.array([max(-LIMIT - 1, min(LIMIT, int(x))) for x in best], np.int64))
+        none = np.zeros(0, np.int64)
+        return pa.table({c: np.concatenate([none, *v]) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     return run
 
@@ -100,16 +103,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     """(query_id, rank, vec_id, score): the k best of all rows for every query row."""
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("_asks"))
     queries = rows.where("_asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    groups = max(1, math.ceil(n * (width + 2) * 8 / QUERY_BYTES))
-    parts = []
-    for g in range(groups):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toArrow().combine_chunks()
-        ids = own.column("vec_id").to_numpy()
-        asked = _matrix(own.column("embedding").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64())), scale)
-        parts.append(rows.select("vec_id", "embedding").mapInArrow(released(_search(ids, asked, k, scale)), "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    size = F.coalesce(F.sum(8 * (F.size("embedding") + 2)), F.lit(0))
+    asked, held = (max(1, math.ceil(f.agg(size).first()[0] / most)) for f, most in ((queries, QUERY_BYTES), (rows, BLOCK_BYTES)))
+    # Candidates are dealt by their place in the input, so that repeated rows spread as all others do.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(held)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = rows.select("vec_id", "embedding", F.lit(False).alias("asks"), place.alias("_c")).withColumn("_q", every(asked))
+    sent = queries.select("vec_id", "embedding", F.lit(True).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int").alias("_q")).withColumn("_c", every(held))
+    found = candidates.unionByName(sent).groupBy("_q", "_c").applyInArrow(_pair(k, scale), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
