@@ -132,12 +132,13 @@ def test_langid(docs):
 
 def test_urls(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("a.com", "/x", "block")], "host string, path string, verdict string")
-    pages = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http://B.A.com/xyz?q"), (4, "http://B.A.com/xyz?q"), (None, "http://a.com"), (5, "http://ba.com/x"), (6, "x" * 100_000 + "://a.com/x#f"), (7, "http://a.com?://b/")], "page_id long, url string")
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http://B.A.com/xyz?q"), (4, "http://B.A.com/xyz?q"), (None, "http://a.com"), (5, "http://ba.com/x"), (6, "x" * 100_000 + "://a.com/x#f"), (7, "http://a.com?://b/"), (8, "http://" + "a." * 500_000 + "com/" + "x" * 500_000)], "page_id long, url string")
     for table in (pages, pages.withColumns({"h": F.lit(1), "found": F.lit(2), "times": F.lit(3)}), pages.limit(0)):
         rows = urls.judge(table, rules).collect()
         assert len(rows) == table.count()
         if rows:
-            got = sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in rows)
+            assert [(len(r.host), len(r.path), r.rule) for r in rows if r.page_id == 8] == [(1_000_003, 500_001, "a.com/x")]
+            got = sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in rows if r.page_id != 8)
             assert got == [
                 (0, "a.com", "", None, "allow"),
                 (1, "", "", None, "allow"),
