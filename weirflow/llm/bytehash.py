@@ -15,6 +15,8 @@ from weirflow.llm.common import AFTER_TASK
 U = np.uint64
 #: Seeded, so that every machine and run has the same: values of bytes, and an odd factor with its inverse.
 VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Values for a second hash, which doesn't fail where the first does.
+OTHER = np.random.default_rng(20240602).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 FACTOR = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -57,10 +59,10 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Sums:
     """Running sums over ``raw``: hashes of stretches in a few operations each."""
 
-    def __init__(self, raw: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, values: np.ndarray = VALUES) -> None:
         self.sums = np.empty(len(raw) + 1, U)
         self.sums[0] = 0
-        np.cumsum(VALUES[raw] * powers(FACTOR, len(raw)), out=self.sums[1:])
+        np.cumsum(values[raw] * powers(FACTOR, len(raw)), out=self.sums[1:])
         self.back = powers(INVERSE, len(raw) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -8,13 +8,17 @@ many small ones:
    under its anchor, the smallest hash of its ``GRAM``-byte strings. Consecutive windows with the same place of the anchor make a
    fragment, in which no window repeats. Equal windows have equal anchors, so they are always filed together.
 2. Fragments are counted by (anchor, content), over all blocks. A fragment whose anchor no other has repeats nothing. Of equal
-   fragments, which would be equal entries of a suffix array, all but the first are covered whole; the first stands for all.
+   fragments (by 136 bits of three hashes), which would be equal entries of a suffix array, all but the first are covered
+   whole; the first stands for all.
 3. Where an anchor has several fragments, their bytes meet in one task: an enhanced suffix array over them, its common-prefix
    intervals, and of these the maximal repeats with all occurrences. All but each repeat's first occurrence are covered.
-4. An anchor with more than ``HOT`` distinct fragments would be too much for one task: its windows are filed singly, by their
-   own hash, one for each block, and all but the first are covered.
+4. Suffixes that share ``least`` bytes share the hash of their first ``least`` bytes, so a suffix array falls into parts by
+   this hash, and no interval crosses them. An anchor with more suffixes than are sorted at once is taken in such parts; one
+   with more than ``HOT`` distinct fragments is dealt over 2, 4, 8, ... tasks by it, each getting the fragments that have a
+   suffix there. So every repeat is found by the same comparison of bytes, however common.
 
-Tasks hold a block, or the fragments filed under a share of the anchors, both of bounded size.
+Tasks hold a block, or the fragments of one bucket of anchors, both of bounded size; a task that gets several buckets takes
+one after the other.
 
 Defined cases: a null text is empty, an empty or short text loses nothing; equal rows lose all but the first (from ``least``
 bytes on); an empty table gives an empty result; other columns pass through ``strip`` unchanged.
@@ -34,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.bytehash import U, Sums, flat, mixed
+from weirflow.llm.bytehash import OTHER, U, Sums, flat, mixed
 from weirflow.llm.common import materialize, released, scratch
 from weirflow.llm.packing import slices
 from weirflow.llm.suffixes import maximal_repeats
 
 #: Bytes of the strings of which the one with the smallest hash is an anchor.
 GRAM = 32
-#: Bytes of text in a block, about; fragments counted in one task, about; fragments of an anchor that one task takes.
-BLOCK_BYTES, TASK_FRAGMENTS, HOT = 1 << 19, 1_000_000, 1000
+#: Bytes of text in a block, about; fragments in a bucket, about; fragments of an anchor that one task takes; tasks at most.
+BLOCK_BYTES, TASK_FRAGMENTS, HOT, MOST_TASKS = 1 << 19, 1_000_000, 20_000, 1 << 15
 #: Suffixes sorted at once.
 SUFFIXES = 60_000
 
@@ -89,7 +93,7 @@ class Block:
         n = len(self.raw) - least + 1
         if n <= 0:
             self.starts = self.windows = self.row = np.zeros(0, np.int64)
-            self.anchor = self.content = np.zeros(0, U)
+            self.anchor = self.content = self.second = np.zeros(0, U)
             return
         grams = mixed(self.sums.windows(GRAM))
         # Of equal hashes (by their upper bits) the leftmost: the lower bits give way to the place.
@@ -106,13 +110,15 @@ class Block:
         stop = np.minimum(stop, self.offsets[row[first] + 1] - least + 1)
         self.starts, self.windows, self.row = first, stop - first, row[first]
         self.anchor = grams[place[first]]
-        self.content = mixed(self.sums.of(first, stop + least - 1) + U(0xD6E8FEB86659FD93) * self.windows.astype(U))
+        end = stop + least - 1
+        self.content = mixed(self.sums.of(first, end) + U(0xD6E8FEB86659FD93) * self.windows.astype(U))
+        self.second = mixed(Sums(self.raw, OTHER).of(first, end))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The first of each set of equal fragments, and the later ones."""
-        order = np.lexsort((self.starts, self.content, self.anchor))
-        a, c = self.anchor[order], self.content[order]
-        later = np.append(False, (a[1:] == a[:-1]) & (c[1:] == c[:-1])) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((self.starts, self.second, self.content, self.anchor))
+        a, c, d = self.anchor[order], self.content[order], self.second[order]
+        later = np.append(False, (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])) if len(order) else np.zeros(0, bool)
         return np.sort(order[~later]), np.sort(order[later])
 
     def dealt(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,9 +168,11 @@ def _covered(row: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 
 # Counting fragments ---------------------------------------------------------------------------------------------------
 
-#: Bytes of a counted fragment: 5 of its anchor, 7 of its content, 4 of its doc_id's distance from the block's first.
-WIDTH = 16
-ALONE, FIRST, LATER, SORTED, SINGLY = range(5)
+#: Bytes of a counted fragment: 5 of its anchor, 8 and 4 of its content, 4 of its doc_id's distance from the block's first.
+WIDTH = 21
+#: What is told of a fragment: it is there once; it is the first of equal ones, under an anchor without others; a later one;
+#: or it is to be sorted, with those of its anchor dealt over 2 ** (told - SORTED) tasks.
+ALONE, FIRST, LATER, SORTED = range(4)
 
 
 def _short(values: np.ndarray, n: int) -> np.ndarray:
@@ -186,25 +194,40 @@ def _requests(least: int, buckets: int):
                 rows = []
                 for bucket, own in block.dealt(buckets):
                     away = (block.ids[block.row[own]] - base).astype(U)
-                    rows.append((bucket, number, base, np.hstack([_short(block.anchor[own], 5), _short(block.content[own], 7), _short(away, 4)]).tobytes()))
+                    rows.append((bucket, number, base, np.hstack([_short(block.anchor[own], 5), _short(block.content[own], 8), _short(block.second[own], 4), _short(away, 4)]).tobytes()))
                 kinds = [("bucket", pa.int32()), ("block", pa.int64()), ("base", pa.int64()), ("data", pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[tuple]]:
+    """The rows of each run of equal buckets, one bucket at a time; tasks that get several have them sorted by bucket."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[0][column] != row[column]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def by_task(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` by bucket: a task a bucket up to ``MOST_TASKS`` tasks, more buckets to a task, one after the other, beyond."""
+    tasks = min(buckets, MOST_TASKS)
+    dealt = rows.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int"))
+    return dealt if tasks == buckets else dealt.sortWithinPartitions("bucket")
+
+
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is to be done with each fragment of each request, in the order of the request: a byte each, compressed."""
-    asked: list[tuple[int, int, int, bytes]] = []
-    for batch in batches:
-        asked += zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True)
-    # A task may get several buckets.
-    for bucket in sorted({r[0] for r in asked}):
-        own = [r for r in asked if r[0] == bucket]
+    for own in by_bucket(batches):
         data = np.frombuffer(b"".join(r[3] for r in own), np.uint8).reshape(-1, WIDTH)
         size = [len(r[3]) // WIDTH for r in own]
-        anchor, content = _long(data[:, :5]), _long(data[:, 5:12])
-        place = np.repeat(np.array([r[2] for r in own], np.int64), size) + _long(data[:, 12:]).astype(np.int64)
+        anchor, content, second = _long(data[:, :5]), _long(data[:, 5:13]), _long(data[:, 13:17])
+        place = np.repeat(np.array([r[2] for r in own], np.int64), size) + _long(data[:, 17:]).astype(np.int64)
         block = np.repeat(np.array([r[1] for r in own], np.int64), size)
         # Only fragments whose anchor is there again are worth more than a look.
         order = np.argsort(anchor, kind="stable")
@@ -213,24 +236,25 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new) - 1
         many = np.bincount(group)[group] > 1
         order, group = order[many], group[many]
-        inner = np.lexsort((block[order], place[order], content[order], group))
+        inner = np.lexsort((block[order], place[order], second[order], content[order], group))
         order, group = order[inner], group[inner]
-        c = content[order]
-        lead = np.append(True, (group[1:] != group[:-1]) | (c[1:] != c[:-1])) if len(order) else np.zeros(0, bool)
+        c, d = content[order], second[order]
+        lead = np.append(True, (group[1:] != group[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])) if len(order) else np.zeros(0, bool)
         kinds = np.bincount(group[lead], minlength=int(group[-1]) + 1 if len(group) else 0)[group]
+        spread = np.ceil(np.log2(np.maximum(1, -(-kinds // HOT)))).astype(np.int64)
         told = np.zeros(len(anchor), np.uint8)
-        told[order] = np.where(~lead, LATER, np.where(kinds == 1, FIRST, np.where(kinds <= HOT, SORTED, SINGLY)))
+        told[order] = np.where(~lead, LATER, np.where(kinds == 1, FIRST, SORTED + spread))
         cuts = np.append(0, np.cumsum(size))
-        out = [(bucket, r[1], zstandard.compress(told[a:b].tobytes(), 3)) for r, a, b in zip(own, cuts[:-1], cuts[1:], strict=True)]
+        out = [(own[0][0], r[1], zstandard.compress(told[a:b].tobytes(), 3)) for r, a, b in zip(own, cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "block", "told"])
 
 
 # Repeats --------------------------------------------------------------------------------------------------------------
 
-#: A fragment on its way to the suffix array (its bytes follow all of these), and a window filed singly.
-FRAGMENT = np.dtype([("anchor", "<u8"), ("place", "<i8"), ("block", "<i8"), ("row", "<u4"), ("start", "<u4"), ("length", "<u4")])
-WINDOW = np.dtype([("hash", "<u8"), ("place", "<i8"), ("block", "<i8"), ("row", "<u4"), ("start", "<u4")])
-RANGES, TEXTS, WINDOWS = range(3)
+#: A fragment on its way to the suffix array (its bytes follow all of these). Only its windows whose hash is ``part`` modulo
+#: 2 ** ``spread`` count there.
+FRAGMENT = np.dtype([("anchor", "<u8"), ("place", "<i8"), ("block", "<i8"), ("row", "<u4"), ("start", "<u4"), ("length", "<u4"), ("part", "<u4"), ("spread", "u1")])
+RANGES, TEXTS = range(2)
 SENT = "kind int, bucket int, block long, data binary"
 
 
@@ -240,7 +264,7 @@ def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _decisions(least: int, buckets: int):
-    """From (block, data, told) rows of ``SENT``: ranges that are covered for sure, fragments and windows to be compared."""
+    """From (block, data, told) rows of ``SENT``: ranges that are covered for sure, and fragments to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,35 +279,19 @@ def _decisions(least: int, buckets: int):
                 later = np.flatnonzero(what == LATER)
                 ranges = [_covered(block.row[later], at[later], block.windows[later] + least - 1)]
                 rows = []
-                own = np.flatnonzero(what == SORTED)
+                own, part = _parts(block, np.flatnonzero(what >= SORTED), what, least)
                 if len(own):
                     head = np.zeros(len(own), FRAGMENT)
                     head["anchor"], head["place"], head["block"] = block.anchor[own], block.ids[block.row[own]], number
                     head["row"], head["start"], head["length"] = block.row[own], at[own], block.windows[own] + least - 1
-                    bucket = (mixed(head["anchor"]) % U(buckets)).astype(np.int64)
+                    head["part"], head["spread"] = part, what[own] - SORTED
+                    bucket = (mixed(head["anchor"] + U(0x9E3779B97F4A7C15) * part.astype(U)) % U(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                         some = order[a:b]
                         bytes_ = [block.raw[block.starts[own[i]] : block.starts[own[i]] + int(head["length"][i])] for i in some]
                         rows.append((TEXTS, int(bucket[some[0]]), 0, len(some).to_bytes(4, "little") + head[some].tobytes() + np.concatenate(bytes_).tobytes()))
-                own = np.flatnonzero(what == SINGLY)
-                if len(own):
-                    n = block.windows[own]
-                    start = np.repeat(block.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    h = mixed(block.sums.of(start, start + least))
-                    order = np.lexsort((start, h))
-                    again = np.append(False, h[order][1:] == h[order][:-1])
-                    row = np.repeat(block.row[own], n)
-                    ranges.append(_covered(row[order[again]], (start - block.offsets[row])[order[again]], np.full(again.sum(), least)))
-                    once = order[~again]
-                    head = np.zeros(len(once), WINDOW)
-                    head["hash"], head["place"], head["block"] = h[once], block.ids[row[once]], number
-                    head["row"], head["start"] = row[once], (start - block.offsets[row])[once]
-                    bucket = (head["hash"] % U(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-                    rows += [(WINDOWS, int(bucket[order[a]]), 0, head[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 sure = _merged(np.concatenate(ranges))
                 if len(sure):
                     rows.append((RANGES, 0, number, sure.tobytes()))
@@ -300,64 +308,79 @@ def _by_block(block: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, int,
         yield RANGES, 0, int(block[order[a]]), _merged(ranges[order[a:b]]).tobytes()
 
 
-def fragment_repeats(head: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(block, RANGE) of all occurrences but the first of the maximal repeats of some fragments (FRAGMENT and their bytes)."""
-    offsets = np.append(0, np.cumsum(head["length"].astype(np.int64)))
+def _parts(block: Block, own: np.ndarray, what: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, part) of the fragments ``own`` with each part in which they have a window; part 0 of those that aren't spread."""
+    spread = what[own].astype(np.int64) - SORTED
+    one, more = own[spread == 0], own[spread > 0]
+    if not len(more):
+        return one, np.zeros(len(one), np.int64)
+    n = block.windows[more]
+    start = np.repeat(block.starts[more] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    of = np.repeat(np.arange(len(more)), n)
+    part = (mixed(block.sums.of(start, start + least)) & ((U(1) << spread[spread > 0].astype(U)) - U(1))[of]).astype(np.int64)
+    pairs = np.unique(of * (1 << 32) + part)
+    return np.concatenate([one, more[pairs >> 32]]), np.concatenate([np.zeros(len(one), np.int64), pairs & ((1 << 32) - 1)])
+
+
+def fragment_repeats(head: np.ndarray, data: np.ndarray, least: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(block, RANGE) of all occurrences but the first of the maximal repeats of some fragments (FRAGMENT and their bytes), about ``most`` suffixes at a time."""
+    most = SUFFIXES if most is None else most
+    size = head["length"].astype(np.int64)
+    offsets = np.append(0, np.cumsum(size))
     rank = np.empty(len(head), np.int64)
     rank[np.lexsort((head["start"], head["row"], head["block"], head["place"]))] = np.arange(len(head))
-    which, at, length = [], [], []
-    for n, strings, positions in maximal_repeats(data, offsets, least):
-        rest = np.arange(len(strings)) != np.argmin(rank[strings] * (1 << 20) + positions)
-        which.append(strings[rest])
-        at.append(positions[rest])
-        length.append(np.full(len(strings) - 1, n))
-    if not which:
-        return np.zeros(0, np.int64), np.zeros(0, RANGE)
-    string = np.concatenate(which)
-    out = np.zeros(len(string), RANGE)
-    out["row"], out["start"], out["length"] = head["row"][string], head["start"][string] + np.concatenate(at), np.concatenate(length)
-    return head["block"][string], out
+    n = size - least + 1
+    string = np.repeat(np.arange(len(head)), n)
+    position = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    parts = max(1, -(-len(string) // most))
+    chunk = np.zeros(len(string), np.int64)
+    if parts > 1 or head["spread"].any():
+        h = mixed(Sums(data).of(offsets[string] + position, offsets[string] + position + least))
+        here = (h & ((U(1) << head["spread"].astype(U)) - U(1))[string]) == head["part"][string]
+        chunk = np.where(here, ((h >> U(32)) % U(parts)).astype(np.int64), -1)
+    for x in range(parts):
+        own = np.flatnonzero(chunk == x) if parts > 1 or head["spread"].any() else slice(None)
+        which, at, length = [], [], []
+        for m, strings, positions in maximal_repeats(data, offsets, least, (string[own], position[own])):
+            rest = np.arange(len(strings)) != np.argmin(rank[strings] * (1 << 20) + positions)
+            which.append(strings[rest])
+            at.append(positions[rest])
+            length.append(np.full(len(strings) - 1, m))
+        if which:
+            found = np.concatenate(which)
+            out = np.zeros(len(found), RANGE)
+            out["row"], out["start"], out["length"] = head["row"][found], head["start"][found] + np.concatenate(at), np.concatenate(length)
+            yield head["block"][found], out
 
 
 def _compared(least: int):
-    """From the fragments and windows of a bucket, the ranges they cover, by block."""
+    """From the fragments of a bucket, the ranges they cover, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, texts, windows = [], [], []
-        for batch in batches:
-            for kind, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if kind == WINDOWS:
-                    windows.append(np.frombuffer(data, WINDOW))
-                else:
-                    n = int.from_bytes(data[:4], "little")
-                    heads.append(np.frombuffer(data, FRAGMENT, n, 4))
-                    texts.append(np.frombuffer(data, np.uint8, offset=4 + n * FRAGMENT.itemsize))
-        if heads:
+        for rows in by_bucket(batches, 1):
+            heads, texts = [], []
+            for row in rows:
+                n = int.from_bytes(row[3][:4], "little")
+                heads.append(np.frombuffer(row[3], FRAGMENT, n, 4))
+                texts.append(np.frombuffer(row[3], np.uint8, offset=4 + n * FRAGMENT.itemsize))
+            del rows
             head, text = np.concatenate(heads), np.concatenate(texts)
+            del heads, texts
             offsets = np.append(0, np.cumsum(head["length"].astype(np.int64)))
-            order = np.argsort(head["anchor"], kind="stable")
-            a = head["anchor"][order]
+            order = np.lexsort((head["part"], head["anchor"]))
+            a, part = head["anchor"][order], head["part"][order]
             work = np.cumsum(head["length"][order].astype(np.int64) - least + 1)
-            # Whole anchors at a time, as many as make a suffix array of bounded size.
-            ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a))
-            chunk = work[ends - 1] // SUFFIXES
+            # Whole anchors (or their parts) at a time, as many as make a suffix array of bounded size; a larger one by itself.
+            ends = np.append(np.flatnonzero((a[1:] != a[:-1]) | (part[1:] != part[:-1])) + 1, len(a))
+            own_work = np.diff(np.append(0, work[ends - 1]))
+            chunk = work[ends - 1] // SUFFIXES + np.cumsum(own_work > SUFFIXES) + np.append(0, np.cumsum(own_work > SUFFIXES)[:-1])
             cuts = np.append(0, ends[np.append(np.flatnonzero(np.diff(chunk)), len(ends) - 1)])
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 own = order[x:y]
                 size = head["length"][own].astype(np.int64)
                 data = text[np.repeat(offsets[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                found = list(_by_block(*fragment_repeats(head[own], data, least)))
-                if found:
-                    yield _sent(found)
-        if windows:
-            w = np.concatenate(windows)
-            w = w[np.lexsort((w["start"], w["row"], w["block"], w["place"], w["hash"]))]
-            w = w[np.append(False, w["hash"][1:] == w["hash"][:-1])]
-            out = np.zeros(len(w), RANGE)
-            out["row"], out["start"], out["length"] = w["row"], w["start"], least
-            found = list(_by_block(w["block"].copy(), out))
-            if found:
-                yield _sent(found)
+                for found in fragment_repeats(head[own], data, least):
+                    yield _sent(list(_by_block(*found)))
 
     return run
 
@@ -410,10 +433,10 @@ def strip(docs: DataFrame, least: int = 100, texts: bool = True) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 30 / TASK_FRAGMENTS))
     with scratch(spark) as keep:
         asked = blocks.mapInArrow(released(_requests(least, buckets)), "bucket int, block long, base long, data binary")
-        told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(released(_answers), "bucket int, block long, told binary"), "answers")
+        told = materialize(by_task(asked, buckets).mapInArrow(released(_answers), "bucket int, block long, told binary"), "answers")
         answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
         decided = materialize(blocks.join(answers, "block", "left").select("block", "data", "told").mapInArrow(released(_decisions(least, buckets)), SENT), "decisions")
-        compared = decided.where(F.col("kind") != RANGES).repartitionById(buckets, F.col("bucket")).mapInArrow(released(_compared(least)), SENT)
+        compared = by_task(decided.where(F.col("kind") != RANGES), buckets).mapInArrow(released(_compared(least)), SENT)
         ranges = keep(decided.where(F.col("kind") == RANGES).unionByName(compared).select("block", "data"), "ranges")
     found = ranges.groupBy("block").agg(F.collect_list("data").alias("found"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if texts or f.name == "doc_id")

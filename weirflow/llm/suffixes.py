@@ -13,12 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 
 
-def enhanced_suffix_array(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, position, common prefix with the suffix before) of the sorted suffixes of data[offsets[i] : offsets[i + 1]]."""
+def enhanced_suffix_array(data: np.ndarray, offsets: np.ndarray, least: int, suffixes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, position, common prefix with the suffix before) of the sorted suffixes of data[offsets[i] : offsets[i + 1]].
+
+    Of all suffixes of at least ``least`` bytes, or of those given as (string, position).
+    """
     size = np.diff(offsets)
-    count = np.maximum(size - least + 1, 0)
-    string = np.repeat(np.arange(len(size)), count)
-    position = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    if suffixes is None:
+        count = np.maximum(size - least + 1, 0)
+        string = np.repeat(np.arange(len(size)), count)
+        position = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    else:
+        string, position = suffixes
     width = int(size.max(initial=0))
     if not len(string):
         return string, position, np.zeros(0, np.int64)
@@ -55,9 +61,9 @@ def intervals(prefix: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
                 stack.append((now, left))
 
 
-def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, strings, positions) of each maximal repeat of at least ``least`` bytes, with all its occurrences."""
-    string, position, prefix = enhanced_suffix_array(data, offsets, least)
+def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, suffixes: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, strings, positions) of each maximal repeat of at least ``least`` bytes, with all its occurrences (among ``suffixes``, if given)."""
+    string, position, prefix = enhanced_suffix_array(data, offsets, least, suffixes)
     # The byte before each suffix; a string's beginning is like nothing else.
     before = np.where(position > 0, data[np.maximum(offsets[string] + position - 1, 0)].astype(np.int64), -1 - np.arange(len(string)))
     changes = np.cumsum(np.append(False, before[1:] != before[:-1])) if len(string) else np.zeros(0, np.int64)
