@@ -336,10 +336,11 @@ def brute_strip(rows, least):
     return out
 
 
-@pytest.mark.parametrize(("block", "hot"), [(2 << 20, 1000), (3000, 1000), (3000, 1)])
-def test_passages(spark, monkeypatch, block, hot):
-    monkeypatch.setattr(passages, "BLOCK_BYTES", block)
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize(("block", "hot", "suffixes", "tasks"), [(2 << 20, 1000, 60_000, 99), (3000, 1000, 500, 99), (3000, 1, 60_000, 2), (3000, 2, 50, 3)])
+def test_passages(spark, monkeypatch, block, hot, suffixes, tasks):
+    """Also where anchors are dealt over tasks, suffixes taken in parts, and buckets one after the other."""
+    for name, value in (("BLOCK_BYTES", block), ("HOT", hot), ("SUFFIXES", suffixes), ("MOST_TASKS", tasks), ("TASK_FRAGMENTS", 40 if tasks < 9 else 1_000_000)):
+        monkeypatch.setattr(passages, name, value)
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("ab cé") for _ in range(n))
     shared = [text(n) for n in (60, 100, 150, 400)]
