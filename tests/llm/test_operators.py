@@ -95,37 +95,81 @@ def test_mixture_comes_near_its_targets(spark, documents):
 # Fingerprints
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def digests_of(t):
+    return set(fingerprints.digests(pa.array([t]))[0].tolist())
+
+
 @needs_tables
-@pytest.mark.parametrize("rows", [12_000, 23])
-def test_fingerprints(spark, documents, monkeypatch, rows):
-    monkeypatch.setattr(fingerprints, "PARTITION_ROWS", rows)
+@pytest.mark.parametrize(("size", "most"), [(32 << 20, 99), (20_000, 99), (3_000, 5)])
+def test_fingerprints(spark, documents, monkeypatch, size, most):
+    monkeypatch.setattr(fingerprints, "PARTITION_BYTES", size)
+    monkeypatch.setattr(fingerprints, "MOST_PARTS", most)
     got = {r.doc_id: r for r in fingerprints.compare(documents).collect()}
     text = texts_of(documents)
     order = sorted(text, reverse=True)
     after = {a: b for a, b in zip(order, [*order[1:], order[0]], strict=True)}
-
-    def digests(t):
-        keys, _ = fingerprints.digests(pa.array([t]))
-        return set(keys.tolist())
-
-    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i in order:
         new = fingerprints.edited_text(text[i], text[after[i]])
         n = len(text[i])
         assert new == text[i][: n - n // 3] + text[after[i]][: n // 3]
-        r, own = got[i], digests(text[i])
+        r, own, edited = got[i], digests_of(text[i]), digests_of(new)
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(new.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(jaccard(own, digests(new))) and r.near_next == pytest.approx(jaccard(own, digests(text[after[i]])))
+        assert r.near_edited == pytest.approx(jaccard(own, edited)) and r.near_next == pytest.approx(jaccard(own, digests_of(text[after[i]])))
+        turned = lambda side: {x & (1 << 64) - 1 for x in side}
+        assert turned(r.gone) == own - edited and turned(r.come) == edited - own
     same = Counter((text[i], got[i].fingerprint) for i in order)
     assert len({t for t, _ in same}) == len(same)
+    # Fingerprints alone tell as much.
+    for i in order[:60]:
+        near, gone, come = fingerprints.differences(got[i].fingerprint, got[i].edited_fingerprint)
+        assert near == pytest.approx(got[i].near_edited) and len(gone) == len(got[i].gone) and len(come) == len(got[i].come)
+        assert fingerprints.differences(got[i].fingerprint, got[after[i]].fingerprint)[0] == pytest.approx(got[i].near_next)
+
+
+def test_fingerprints_of_repeated_rows(spark, monkeypatch, tmp_path):
+    """Rows that share a doc_id, equal ones too, are spread over partitions, and each has a next."""
+    monkeypatch.setattr(fingerprints, "PARTITION_BYTES", 2000)
+    rows = [(7, "one two. three four. five")] * 300 + [(7, f"text {i}. more words here. and more") for i in range(40)] + [(3, "small. one."), (9, "big. one."), (None, "none. at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs.write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    ordered, parts = fingerprints.with_next(docs)
+    assert parts.value.parts.max() > 1 and ordered.where("not _last").groupBy("_part").count().agg(F.max("count")).first()[0] < 150
+    got = fingerprints.compare(docs).collect()
+    assert len(got) == len(rows) and sum(r.near_next == 1.0 for r in got) == 299
+    # The order the plain way: doc_id descending, hash ascending, nulls last.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.col("doc_id").desc_nulls_last(), "h").collect()
+    texts = [r.text for r in keyed]
+    want = Counter((r.doc_id, hashlib.sha256(fingerprints.edited_text(t, f).encode()).hexdigest()) for r, t, f in zip(keyed, texts, [*texts[1:], texts[0]], strict=True))
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.tuples(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60))), max_size=6), st.integers(0, 1 << 30))
-def test_peeling(pairs, seed):
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 90)), st.sets(st.integers(0, 90))), min_size=1, max_size=6), st.integers(0, 1 << 30), st.integers(0, 3))
+def test_peeling(pairs, seed, retries):
     spread = lambda s: bytehash.mixed(np.array(sorted(s), np.uint64) + np.uint64(seed))
-    side = lambda k: (np.concatenate([np.zeros(0, np.uint64), *[spread(p[k]) for p in pairs]]), np.array([len(p[k]) for p in pairs], np.int64))
-    assert fingerprints.likeness(side(0), side(1)).tolist() == [len(a & b) / len(a | b) if a | b else 1.0 for a, b in pairs]
+    side = lambda k: fingerprints.Version(np.concatenate([np.zeros(0, np.uint64), *[spread(p[k]) for p in pairs]]), np.array([len(p[k]) for p in pairs], np.int64))
+    kept = fingerprints.RETRIES
+    fingerprints.RETRIES = retries
+    try:
+        near, gone, come = fingerprints.compare_versions(side(0), side(1))
+    finally:
+        fingerprints.RETRIES = kept
+    assert near.tolist() == pytest.approx([jaccard(a, b) for a, b in pairs])
+    assert [set(x.tolist()) for x in gone] == [set(spread(a - b).tolist()) for a, b in pairs] and [set(x.tolist()) for x in come] == [set(spread(b - a).tolist()) for a, b in pairs]
+    for t in side(0).texts():
+        assert fingerprints.differences(t, t)[0] == 1.0
+    near, gone, _ = fingerprints.differences(side(0).texts()[0], side(1).texts()[0])
+    assert near == pytest.approx(jaccard(*pairs[0])) and set(gone) == set(spread(pairs[0][0] - pairs[0][1]).tolist())
+
+
+def test_damaged_fingerprints_are_told():
+    text = fingerprints.Version(np.arange(1, 40, dtype=np.uint64) * np.uint64(977), np.array([39])).texts()[0]
+    assert fingerprints.differences(text, text[:-80]) is None
 
 
 # Near duplicates
