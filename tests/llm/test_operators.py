@@ -212,10 +212,14 @@ def edited_copies(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize(("frequent", "nodes", "seed"), [(50, 256, 1), (2, 3, 2), (5, 10, 3)])
-def test_neardup(spark, monkeypatch, frequent, nodes, seed):
+@pytest.mark.parametrize(("frequent", "nodes", "seed", "classes", "tasks"), [(50, 256, 1, (256, 16_384), 99), (2, 3, 2, (2, 4), 99), (5, 10, 3, (1, 2), 2), (99, 2, 4, (3, 9), 3)])
+def test_neardup(spark, monkeypatch, frequent, nodes, seed, classes, tasks):
+    """Whatever the classes of tokens and the sizes of blocks; also where a task takes several buckets."""
     monkeypatch.setattr(neardup, "FREQUENT", frequent)
     monkeypatch.setattr(neardup, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(neardup, "CLASSES", classes)
+    monkeypatch.setattr(neardup, "TASK_TOKENS", 2_000_000 if tasks > 9 else 900)
+    monkeypatch.setattr(passages, "MOST_TASKS", tasks)
     rows = edited_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == brute_components(dict(rows))
@@ -242,18 +246,51 @@ def test_prefixes_find_every_link():
         sketch = [s[: int(neardup.sketch_size(np.int64(len(s))))] for s in (x, y)]
         tokens = np.union1d(*sketch)
         alone = rng.random() * 0.5
-        times = {int(t): (int(rng.integers(2, 9)), int(rng.random() < 0.5)) for t in tokens}
+        times = {int(t): int(rng.choice([2, 9, 200, 300, 9_000, 20_000, 90_000])) for t in tokens}
         shared = set(np.intersect1d(*sketch).tolist())
         keys = []
         for s, full in zip(sketch, (x, y), strict=True):
             own = [t for t in s.tolist() if t in shared or rng.random() > alone]
             e = np.zeros(len(own), neardup.ENTRY)
             e["token"] = np.array(own, np.uint64).view(np.int64)
-            e["times"], e["frequent"] = [times[t][0] for t in own], [times[t][1] for t in own]
+            e["times"] = [times[t] for t in own]
             keys.append(set(neardup.combinations(len(full), e).tolist()))
         assert keys[0] & keys[1]
 
 
+def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
+    """With numbers of 3 bits nearly every number is shared; the components are the same."""
+    node_of, sketched = neardup.node_of, neardup._sketched
+
+    def few(batches):
+        for b in sketched(batches):
+            yield b.set_column(3, "node", pa.array([x if x is None else x & 7 for x in b.column(3).to_pylist()], pa.int64()))
+
+    monkeypatch.setattr(neardup, "_sketched", few)
+    monkeypatch.setattr(neardup, "node_of", lambda tokens: (node_of(tokens)[0] & 7, node_of(tokens)[1]))
+    rows = edited_copies(5, 60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(dict(rows))
+
+
+def test_work_of_neardup_with_common_tokens(spark):
+    """Shingles in many documents, each document made mostly of them, and no links: few pairs are compared."""
+    rng = random.Random(6)
+    common = [[f"c{j}w{i}" for i in range(9)] for j in range(400)]
+    rows = [(i, " ".join(w for j in rng.sample(range(400), 12) for w in common[j])) for i in range(1500)]
+    sketched, _ = neardup.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    e, keys = np.zeros(0, neardup.ENTRY), Counter()
+    sets = [np.frombuffer(r.sketch, np.int64) for r in sketched.collect()]
+    times = Counter(t for s in sets for t in s.tolist())
+    for s in sets:
+        own = [t for t in s.tolist() if times[t] > 1]
+        e = np.zeros(len(own), neardup.ENTRY)
+        e["token"], e["times"] = own, [times[t] * 400 for t in own]  # as in a corpus 400 times as large
+        keys.update(neardup.combinations(12 * 9 - 4, e).tolist())
+    # Single tokens would be in some 45 of 1500 documents each; three together hardly ever are.
+    assert np.mean([c for c in keys.values()]) < 3
+
+
 # Sharding
 
 
