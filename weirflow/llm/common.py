@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import contextvars
 import ctypes
 import gc
+import shutil
+import tempfile
 import uuid
 import weakref
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +99,22 @@ def bound_batches(spark: SparkSession, most: str = "4m") -> None:
         spark.conf.set(BATCH, most)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application: they needn't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="weirflow-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+
+
+_shipped: set[str] = set()
 #: What modules want emptied at the end of a task.
 AFTER_TASK: list[Callable[[], None]] = []
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import bound_batches, table
+from weirflow.llm.common import bound_batches, ship, table
 
 #: The rules of op7 (host, path, verdict).
 URL_RULES = [
@@ -98,6 +98,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bound_batches(spark)
+        ship(spark)
         return f(spark, sf_dir)
 
     return run
