@@ -226,4 +226,14 @@ ORACLES = {
     "valid_rows": "select count(*) filter (where o_orderkey % 9 <> 0) as rows, sum(o_orderkey) filter (where o_orderkey % 9 <> 0)::bigint as seqs, count(*) filter (where o_orderkey % 9 = 0) as warnings from orders",
     "journal_once": """select n_name as dedup_key, case when n_nationkey % 4 = 0 then 'failed' else 'sent' end as finance_status, case when n_nationkey % 4 = 0 then 'api_validation_failed' else 'already_sent_successfully' end as reason,
         case when n_nationkey % 4 = 0 then 422 else 201 end as api_status, case when n_nationkey % 4 <> 0 then 'id' || n_nationkey end as finance_transaction_id, 1 as attempts from nation""",
+    "table_source": f"with {_RAW} select seq, ts_raw as transaction_ts_raw from raw where {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d')",
+    "export_roundtrip": f"with {_CLASSIFIED} select provider, provider_account_id, '2026-01-02' as export_date, count(*) as rows, count(distinct dedup_key) as keys from classified where kind <> 'unchanged' group by 1, 2",
+    "audit_report": f"""with {_FINISHED} select finance_status as "financeStatus", reason, count(*) as rows, min(dedup_key) as first_key from finished group by 1, 2""",
+    "account_sanitize": """select lower(n_name) as provider, n_nationkey::varchar as account, n_nationkey % 3 <> 0 as enabled, n_nationkey = 5 as is_default, case when n_nationkey % 2 = 1 then n_nationkey end as days_back, n_name as username_env, false as leaks from nation""",
+    "account_load": "select r_regionkey as seq, 'cal' as provider, r_name as provider_account_id, 'CAL (' || r_name || ')' as display_name, true as enabled, r_regionkey = 2 as is_default, r_regionkey + 1 as days_back from region",
+    "send_all_or_stop": f"""with {_TXN}, t as (select count(*) as total, count(*) filter (where status = 'completed' and charge_amount > 0) as qualifying from txn where seq % 100 = 0)
+        select total, qualifying, 0 as dry_sent, qualifying as sent, least(qualifying, 5) as calls, qualifying >= 5 as stopped from t""",
+    "sync_not_attempted": """with g(gate) as (values ('run_mode_fetch_only'), ('finance_disabled'), ('missing_api_url'), ('missing_api_key'), ('fetch_failed'))
+        select gate, false as executed, gate as reason, case when gate <> 'run_mode_fetch_only' then n end as not_attempted, gate <> 'run_mode_fetch_only' as reported from g, (select count(*) as n from orders where o_orderkey % 100 = 0)""",
+    "one_run_at_a_time": "select * from (values ('a', true, false), ('b', true, true), ('a', false, true)) v(root, during, ran)",
 }

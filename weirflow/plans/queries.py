@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Callable
@@ -16,8 +17,9 @@ from weirflow.operators import accounts, cdc, ledger, normalize, outbound, repor
 from weirflow.plans import pipeline
 from weirflow.schema import LEDGER, RAW, SEEN
 from weirflow.sources.registry import Fetched, Registry, SourceAdapter
-from weirflow.sources.store import Checkpoints, Files, Journal, Versioned, shared_dir
-from weirflow.sources.tables import orders_raw, table
+from weirflow.sources.sinks import export_json, write_report
+from weirflow.sources.store import Busy, Checkpoints, Files, Journal, Versioned, shared_dir, single_flight
+from weirflow.sources.tables import TableSource, orders_raw, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -762,6 +764,98 @@ def journal_once(s: SparkSession, d: str) -> DataFrame:
     return ledger.merge(empty, ledger.attempts_of(journal.read()), F.lit(NOW).cast("timestamp")).select("dedup_key", "finance_status", "reason", "api_status", "finance_transaction_id", "attempts")
 
 
+@query
+def table_source(s: SparkSession, d: str) -> DataFrame:
+    """The rows of an adapter within the look-back."""
+    return TableSource(d).read(s, AS_OF, 700).select("seq", "transaction_ts_raw")
+
+
+@query
+def export_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """The delta as JSON under provider, account and day, written twice and read back."""
+    root = f"{scratch_folder(s)}/out"
+    delta = _exported(s, d)
+    export_json(delta.limit(1), root, "2026-01-02")
+    export_json(delta, root, "2026-01-02")
+    return s.read.json(root).groupBy("provider", "provider_account_id", F.col("export_date").cast("string").alias("export_date")).agg(F.count("*").alias("rows"), F.countDistinct("dedup_key").alias("keys"))
+
+
+@query
+def audit_report(s: SparkSession, d: str) -> DataFrame:
+    """The audit report written by the executors, its JSON read back."""
+    path, _ = write_report(ledger.audit(_finished(s, d), "run-1", NOW), {}, "run-1", scratch_folder(s), one_file=False)
+    return s.read.json(path).groupBy("financeStatus", "reason").agg(F.count("*").alias("rows"), F.min("dedupKey").alias("first_key"))
+
+
+def local_folder() -> str:
+    """A fresh folder of the driver's; reports are for a person at the driver."""
+    import atexit
+    import shutil
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="weirflow-report-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+@query
+def account_sanitize(s: SparkSession, d: str) -> DataFrame:
+    """Stored form of account descriptors full of secrets, one for each nation."""
+    listed = [
+        {"provider": r.n_name, "accountId": f" {r.n_nationkey} ", "isDefault": r.n_nationkey in (5, 9), "password": "secret", "daysBack": r.n_nationkey if r.n_nationkey % 2 else 1.5, "enabled": r.n_nationkey % 3 != 0, "credentials": {"username": "secret", "usernameEnv": r.n_name}}
+        for r in table(s, d, "nation").orderBy("n_nationkey").toLocalIterator()
+    ]
+    kept = [(a["provider"], a["providerAccountId"], a["enabled"], a["default"], a.get("daysBack"), a["credentials"]["usernameEnv"], "secret" in json.dumps(a)) for a in accounts.stored_accounts(listed)]
+    return s.createDataFrame(kept, "provider string, account string, enabled boolean, is_default boolean, days_back bigint, username_env string, leaks boolean")
+
+
+@query
+def account_load(s: SparkSession, d: str) -> DataFrame:
+    """Descriptors from the environment, in normal form."""
+    from weirflow.sources.files import account_frame, load_accounts
+
+    listed = [{"provider": "CAL", "providerAccountId": r.r_name, "default": r.r_regionkey == 2, "daysBack": r.r_regionkey + 1} for r in table(s, d, "region").orderBy("r_regionkey").toLocalIterator()]
+    return accounts.normalize_accounts(account_frame(s, load_accounts(None, {"SOURCE_ACCOUNTS": json.dumps({"accounts": listed})})))
+
+
+@query
+def send_all_or_stop(s: SparkSession, d: str) -> DataFrame:
+    """A dry run, a run that sends all, and one that the 5th answer stops."""
+    rows = _txn(s, d).where("seq % 100 = 0")
+    dry, sent = pipeline.run_export(rows), pipeline.run_export(rows, lambda p: (201, None), dry_run=False)
+    calls: list[int] = []
+    try:
+        pipeline.run_export(rows, lambda p: (calls.append(1), (500 if len(calls) == 5 else 201, None))[1], dry_run=False)
+        stopped = False
+    except outbound.SendError:
+        stopped = True
+    return s.createDataFrame([(dry["total"], dry["qualifying"], dry["sent"], sent["sent"], len(calls), stopped)], "total bigint, qualifying bigint, dry_sent bigint, sent bigint, calls bigint, stopped boolean")
+
+
+@query
+def sync_not_attempted(s: SparkSession, d: str) -> DataFrame:
+    """A sync behind each gate: nothing is sent; a fetch-only run hasn't even a report."""
+    rows, folder = _classified(s, d).where("seq % 100 = 0"), scratch_folder(s)
+    out = []
+    for gate in (ledger.FETCH_ONLY, *ledger.GATES):
+        got = pipeline.sync(rows, f"{folder}/state", local_folder(), "r", NOW, lambda p: (201, None), gate)
+        out.append((gate, got["executed"], got["reason"], got["counts"] and got["counts"]["not_attempted"], got["report"] is not None))
+    return s.createDataFrame(out, "gate string, executed boolean, reason string, not_attempted bigint, reported boolean")
+
+
+@query
+def one_run_at_a_time(s: SparkSession, d: str) -> DataFrame:
+    """A second run on the same state is turned away, one on another state or after the first isn't."""
+    folder, got = scratch_folder(s), []
+    for second, during in (("a", True), ("b", True), ("a", False)):
+        try:
+            with single_flight(s, f"{folder}/a") if during else contextlib.nullcontext(), single_flight(s, f"{folder}/{second}"):
+                got.append((second, during, True))
+        except Busy:
+            got.append((second, during, False))
+    return s.createDataFrame(got, "root string, during boolean, ran boolean")
+
+
 @query
 def capture_stream(s: SparkSession, d: str) -> DataFrame:
     """The stream over all raw rows, in one go: its delta. Equals the batch capture against an empty state."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.text import csv_line
 from weirflow.operators.reports import AUDIT_COLUMNS
+from weirflow.sources.store import Files
 
 
 def write_text(path: str | Path, text: str) -> None:
@@ -52,14 +53,14 @@ def write_report(audit: DataFrame, summary: dict[str, Any], run_id: str, folder:
     """The audit report of a run as JSON and CSV; (json path, csv path).
 
     As one file each, rows pass the driver a partition at a time and are never held together. With ``one_file`` false the
-    executors write folders (JSON lines, CSV with headers), and the driver only the summary.
+    executors write folders (JSON lines, CSV with headers) on any file system, and the driver only the summary.
     """
     base = f"{folder}/finance-sync-{run_id}"
     as_json = audit.select(F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"}).alias("value"), csv_line([F.col(c) for c in AUDIT_COLUMNS]).alias("line"))
     if not one_file:
         as_json.select("value").write.mode("overwrite").text(f"{base}.json")
         write_csv(audit, f"{base}.csv")
-        write_text(f"{base}-summary.json", json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False))
+        Files(audit.sparkSession).create(f"{base}-summary.json", json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False), replace=True)
         return f"{base}.json", f"{base}.csv"
     Path(folder).mkdir(parents=True, exist_ok=True)
     parts = Path(f"{base}.json.tmp"), Path(f"{base}.csv.tmp")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.functions.text import parse_date
 from weirflow.operators.normalize import look_back
 from weirflow.sources.registry import SourceAdapter, registry
 
@@ -16,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_raw(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
     """Orders as raw rows: coarse dates and amounts, so that rows repeat as they do in statements.
 
-    The join keeps every order; Spark broadcasts the customers while they are small.
+    ``since``: a day before which no row is wanted; the scan gets it as a filter on its own column (a row's date is never
+    after its order's). The join keeps every order; Spark broadcasts the customers while they are small.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    scan = table(spark, sf_dir, "orders")
+    orders = (scan if since is None else scan.where(F.col("o_orderdate") >= F.lit(since).cast(scan.schema["o_orderdate"].dataType))).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (F.col("o_orderkey") % 7 + 1).cast("int"))
     coarse = (F.floor(F.col("o_totalprice") / 100000) * 100000 + F.lit(97.3)).cast("decimal(18,2)")
@@ -50,9 +55,8 @@ class TableSource(SourceAdapter):
         self.sf_dir = sf_dir
 
     def read(self, spark: SparkSession, as_of: str, days_back: int) -> DataFrame:
-        from weirflow.functions.text import parse_date
-
-        raw = orders_raw(spark, self.sf_dir).withColumn("_date", parse_date(F.col("transaction_ts_raw")))
+        since = (date.fromisoformat(as_of) - timedelta(days=days_back)).isoformat()
+        raw = orders_raw(spark, self.sf_dir, since).withColumn("_date", parse_date(F.col("transaction_ts_raw")))
         return look_back(raw, as_of, days_back, "_date").drop("_date")
 
 
