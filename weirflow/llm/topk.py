@@ -6,7 +6,8 @@ posting weights into a dense array of scores, a row a query. A partition selecti
 with those of the task's earlier blocks; a ranking per query merges the tasks.
 
 Queries are a stated set, searched in blocks: the queries fall into blocks of about ``QUERY_BYTES``, the candidates into
-blocks of about ``BLOCK_BYTES``, and each pair of blocks is a task's unit of work. Nothing comes to the driver but counts.
+blocks of about ``BLOCK_BYTES`` (smaller ones where that would leave tasks without work), and each pair of blocks is a task's
+unit of work. Nothing comes to the driver but counts.
 
 Defined cases: vectors that are null, or hold null or a non-finite component, take no part; a missing component (shorter
 vector) counts as 0; a query is never its own candidate (same vec_id), nor are rows with a null vec_id anything; ties go to
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a block of queries and of candidates, as 8-byte numbers, and scores held at once in a task.
-QUERY_BYTES, BLOCK_BYTES, SCORES = 4 << 20, 16 << 20, 2 << 20
+#: Bytes of a block of queries and of candidates, as 8-byte numbers; what a block is not divided below to employ more tasks; scores held at once in a task.
+QUERY_BYTES, BLOCK_BYTES, LEAST_BYTES, SCORES = 16 << 20, 16 << 20, 1 << 20, 2 << 20
 LIMIT = (1 << 63) - 1
 
 
@@ -84,11 +85,12 @@ def _pair(k: int, scale: int):
         out: list[list[np.ndarray]] = [[], [], []]
         if len(ids) and len(query_ids):
             block = _matrix(vectors, scale)
+            among = np.isin(query_ids, ids)
             step = max(1, SCORES // len(ids))
             for at in range(0, len(query_ids), step):
                 scores = _scores(_matrix(asked.slice(at, step), scale), block)
-                for own, row in zip(query_ids[at : at + step], scores, strict=True):
-                    other = ids != own
+                for own, here, row in zip(query_ids[at : at + step], among[at : at + step], scores, strict=True):
+                    other = ids != own if here else slice(None)
                     best, names = _best(row[other], ids[other], k)
                     out[0].append(np.full(len(best), own))
                     out[1].append(names)
@@ -104,7 +106,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("_asks"))
     queries = rows.where("_asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     size = F.coalesce(F.sum(8 * (F.size("embedding") + 2)), F.lit(0))
-    asked, held = (max(1, math.ceil(f.agg(size).first()[0] / most)) for f, most in ((queries, QUERY_BYTES), (rows, BLOCK_BYTES)))
+    asked = max(1, math.ceil(queries.agg(size).first()[0] / QUERY_BYTES))
+    whole, tasks = rows.agg(size).first()[0], int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = max(1, math.ceil(whole / BLOCK_BYTES), min(tasks, math.ceil(whole / LEAST_BYTES)))
     # Candidates are dealt by their place in the input, so that repeated rows spread as all others do.
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(held)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
