@@ -206,7 +206,7 @@ ORACLES = {
     "capture_stream": f"with {_KEYED} select seq, dedup_key, 'new' as local_dedup_status from keyed",
     "capture_final": f"with {_FINAL} select seq, dedup_key, local_dedup_status from classified",
     "capture_pending": "select count(*) filter (where o_orderkey % 13 = 0) as pending_skipped from orders",
-    "run_accounts": """select * exclude (step) from (values ('cal', 1, 'Cal', 'success', 0), ('other', 2, 'Other', 'partial', 1), ('broken', 0, 'Broken', 'failed', 0)) v(provider, step, display_name, status, skipped),
+    "run_accounts": """select * exclude (step) replace (skipped::bigint as skipped) from (values ('cal', 1, 'Cal', 'success', 0), ('other', 2, 'Other', 'partial', 1), ('broken', 0, 'Broken', 'failed', 0)) v(provider, step, display_name, status, skipped),
         lateral (select 'default' as provider_account_id, count(*) filter (where v.step > 0 and o_orderkey % greatest(v.step, 1) = 0 and o_orderkey % 13 <> 0) as transactions_fetched,
             count(*) filter (where v.step > 0 and o_orderkey % greatest(v.step, 1) = 0 and o_orderkey % 13 = 0) as pending_skipped from orders) c, lateral (select c.transactions_fetched as created, c.transactions_fetched as exported, c.transactions_fetched as considered) z""",
     "run_considered": f"""with {_HASHED}, own as (select *, count(*) over (partition by p, fp) as c from (
@@ -221,7 +221,7 @@ ORACLES = {
     "ledger_load": "select 'cal' as provider, c_custkey::varchar as provider_account_id, 'k' || c_custkey as dedup_key, 'sent' as finance_status, 'h' || c_custkey as content_hash, 201 as api_status, '2026-01-02 03:04:05' as sent_at, 2 as attempts from customer where c_custkey % 4 <> 0",
     "state_versions": f"with {_SEEN} select provider, provider_account_id, dedup_key, content_hash, '2025-12-01 00:00:00' as last_seen_at from seen",
     "ledger_versions": f"with {_LEDGER} select provider, provider_account_id, dedup_key, finance_status, api_status, finance_transaction_id, 1 as attempts from ledger",
-    "checkpoint_roundtrip": "select a as account, case when a <> 'ASIA' then r_regionkey + 1 end as next_index, case when a <> 'ASIA' then 'w' || r_regionkey end as warnings from (values ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('default')) v(a) left join region on r_name = a",
+    "checkpoint_roundtrip": "select a as account, case when a <> 'ASIA' then r_regionkey + 1 end::bigint as next_index, case when a <> 'ASIA' then 'w' || r_regionkey end as warnings from (values ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('default')) v(a) left join region on r_name = a",
     "json_scan": f"with {_TXN} select seq, merchant_name, amount, status from txn where seq % 50 = 0",
     "valid_rows": "select count(*) filter (where o_orderkey % 9 <> 0) as rows, sum(o_orderkey) filter (where o_orderkey % 9 <> 0)::bigint as seqs, count(*) filter (where o_orderkey % 9 = 0) as warnings from orders",
     "journal_once": """select n_name as dedup_key, case when n_nationkey % 4 = 0 then 'failed' else 'sent' end as finance_status, case when n_nationkey % 4 = 0 then 'api_validation_failed' else 'already_sent_successfully' end as reason,
@@ -229,10 +229,10 @@ ORACLES = {
     "table_source": f"with {_RAW} select seq, ts_raw as transaction_ts_raw from raw where {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d')",
     "export_roundtrip": f"with {_CLASSIFIED} select provider, provider_account_id, '2026-01-02' as export_date, count(*) as rows, count(distinct dedup_key) as keys from classified where kind <> 'unchanged' group by 1, 2",
     "audit_report": f"""with {_FINISHED} select finance_status as "financeStatus", reason, count(*) as rows, min(dedup_key) as first_key from finished group by 1, 2""",
-    "account_sanitize": """select lower(n_name) as provider, n_nationkey::varchar as account, n_nationkey % 3 <> 0 as enabled, n_nationkey = 5 as is_default, case when n_nationkey % 2 = 1 then n_nationkey end as days_back, n_name as username_env, false as leaks from nation""",
-    "account_load": "select r_regionkey as seq, 'cal' as provider, r_name as provider_account_id, 'CAL (' || r_name || ')' as display_name, true as enabled, r_regionkey = 2 as is_default, r_regionkey + 1 as days_back from region",
+    "account_sanitize": """select lower(n_name) as provider, n_nationkey::varchar as account, n_nationkey % 3 <> 0 as enabled, n_nationkey = 5 as is_default, case when n_nationkey % 2 = 1 then n_nationkey end::bigint as days_back, n_name as username_env, false as leaks from nation""",
+    "account_load": "select r_regionkey::bigint as seq, 'cal' as provider, r_name as provider_account_id, 'CAL (' || r_name || ')' as display_name, true as enabled, r_regionkey = 2 as is_default, r_regionkey + 1 as days_back from region",
     "send_all_or_stop": f"""with {_TXN}, t as (select count(*) as total, count(*) filter (where status = 'completed' and charge_amount > 0) as qualifying from txn where seq % 100 = 0)
-        select total, qualifying, 0 as dry_sent, qualifying as sent, least(qualifying, 5) as calls, qualifying >= 5 as stopped from t""",
+        select total, qualifying, 0::bigint as dry_sent, qualifying as sent, least(qualifying, 5) as calls, qualifying >= 5 as stopped from t""",
     "sync_not_attempted": """with g(gate) as (values ('run_mode_fetch_only'), ('finance_disabled'), ('missing_api_url'), ('missing_api_key'), ('fetch_failed'))
         select gate, false as executed, gate as reason, case when gate <> 'run_mode_fetch_only' then n end as not_attempted, gate <> 'run_mode_fetch_only' as reported from g, (select count(*) as n from orders where o_orderkey % 100 = 0)""",
     "one_run_at_a_time": "select * from (values ('a', true, false), ('b', true, true), ('a', false, true)) v(root, during, ran)",
