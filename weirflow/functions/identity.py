@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 def number_text(x: Column) -> Column:
     """A double as the shortest text that reads back the same, without exponent from 1e-6 up to 1e21 (the rule of ECMAScript).
 
-    Digits are those of the JVM: before JDK 19 a rare value gets one more than it needs.
+    A value of at most two decimals is its decimal text: of 15 digits or fewer only one text reads back as a double. Digits of
+    others are those of the JVM: before JDK 19 a rare one gets one more than it needs.
     """
+    cents = x.cast("double").try_cast("decimal(15,2)")
+    money = F.rtrim(F.rtrim(cents.cast("string"), F.lit("0")), F.lit("."))
     plain = F.when(F.abs(x) < 1, x.cast("string").try_cast("decimal(38,30)").cast("string")).otherwise(x.cast("string").try_cast("decimal(38,16)").cast("string"))
     plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
     wide = F.regexp_replace(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
@@ -19,6 +22,7 @@ def number_text(x: Column) -> Column:
         .when(x == F.lit(float("inf")), F.lit("Infinity"))
         .when(x == F.lit(float("-inf")), F.lit("-Infinity"))
         .when(x == 0, F.lit("0"))
+        .when(cents.cast("double") == x, money)
         .when((F.abs(x) >= 1e21) | (F.abs(x) < 1e-6), wide)
         .otherwise(plain)
     )
