@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from weirflow.llm.common import released
 
 #: Windows open at once, share of a window that may be padding, bytes of text taken at once, stems a task remembers.
-OPEN, GAP, SLICE_BYTES, REMEMBERED = 1024, 1 / 16, 6 << 20, 100_000
+OPEN, GAP, SLICE_BYTES, REMEMBERED = 1024, 1 / 16, 10 << 20, 150_000
 SPLIT, TAIL = "<|endoftext|>", ".,!?;:|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -102,11 +102,14 @@ class Words:
 
     @staticmethod
     def _bare(stem: str) -> bool:
-        return stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and unicodedata.is_normalized("NFC", stem)) and stem == stem.lower()
+        return stem.isalpha() and max(stem) < "\u0250" and unicodedata.is_normalized("NFC", stem) and stem == stem.lower()
 
-    def _fresh(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the stems, one after the other, and how many each has."""
-        bare = np.fromiter(map(self._bare, stems), bool, len(stems))
+        stems = names.to_pylist()
+        bare = pc.match_substring_regex(names, "^[a-z]+$").to_numpy(zero_copy_only=False).copy()
+        wide = np.flatnonzero(~pc.string_is_ascii(names).to_numpy(zero_copy_only=False))
+        bare[wide] = [self._bare(stems[i]) for i in wide.tolist()]
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         order = np.concatenate([np.flatnonzero(bare), np.flatnonzero(~bare)])
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.no_rules
@@ -137,10 +140,15 @@ class Words:
         lower = pc.if_else(pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<"))), pc.ascii_lower(words), words)
         stem = pc.utf8_rtrim(lower, TAIL)
         cut = pc.match_substring_regex(stem, "[A-Za-zß-öø-ÿ]$")
-        sizes = pc.binary_length(stem).to_numpy()
-        plain = [w[n:] for w, n in zip(lower.cast(pa.binary()).to_pylist(), sizes.tolist(), strict=True)]
-        tail = pa.array(plain, pa.binary()).cast(pa.string())
-        return pc.if_else(cut, stem, lower), pc.if_else(cut, tail, "")
+        # Few words have a tail that is cut off.
+        n, whole = (pc.binary_length(x).to_numpy() for x in (stem, lower))
+        with_tail = np.flatnonzero(cut.to_numpy(zero_copy_only=False) & (n < whole))
+        some = pa.array(with_tail)
+        tails = [w[k:] for w, k in zip(lower.take(some).cast(pa.binary()).to_pylist(), n[with_tail].tolist(), strict=True)]
+        at = np.full(len(n), len(tails))
+        at[with_tail] = np.arange(len(tails))
+        tail = pa.array([*tails, b""], pa.binary()).cast(pa.string()).take(pa.array(at))
+        return pc.if_else(cut, stem, lower), tail
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of the texts, one after the other, and how many each has, some texts at a time."""
@@ -159,7 +167,7 @@ class Words:
         at = np.fromiter(map(self.index.get, names, [-1] * len(names)), np.int64, len(names))
         new = np.flatnonzero(at < 0)
         # The remembered stems are first in the store, the fresh ones behind them.
-        ids, lengths = self._fresh([names[i] for i in new])
+        ids, lengths = self._fresh(units.dictionary.take(pa.array(new)))
         store, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
         at[new] = len(self.lengths) + np.arange(len(new))
         starts = np.cumsum(sizes) - sizes
