@@ -433,6 +433,20 @@ def test_passages(spark, monkeypatch, block, hot, suffixes, tasks):
     assert got == brute_strip(rows, 100)
 
 
+def test_passages_of_rows_that_share_a_doc_id(spark):
+    """Earlier is what was read first; of equal rows one is left whole."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(150)
+    texts = [shared + text(40), text(60) + shared, "", text(300)] + [text(10) + shared[:120]] * 3
+    docs = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").coalesce(1)
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.strip(docs, 100, texts=False).collect()]
+    want = brute_strip(list(enumerate(texts)), 100)
+    assert sorted(got) == sorted(want.values())
+    many = spark.createDataFrame([(7, text(400))], "doc_id long, text string").crossJoin(spark.range(30)).drop("id").repartition(3)
+    assert sorted(r.n_removed for r in passages.strip(many, 100, texts=False).collect()) == [0] + [400] * 29
+
+
 @needs_tables
 def test_passages_of_documents(documents):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.strip(documents, 100, texts=False).collect()}
