@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from weirflow.llm.common import released
 
 #: Windows open at once, share of a window that may be padding, bytes of text taken at once, stems a task remembers.
-OPEN, GAP, SLICE_BYTES, REMEMBERED = 1024, 1 / 16, 10 << 20, 150_000
+OPEN, GAP, SLICE_BYTES, REMEMBERED = 1024, 1 / 16, 5 << 20, 100_000
 SPLIT, TAIL = "<|endoftext|>", ".,!?;:|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
