@@ -132,13 +132,18 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         for clear in common.AFTER_TASK:
             clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        common.trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Give the memory that allocators keep, but nothing uses, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hash_below(share: float, *parts: Column) -> Column:
     """True for about ``share`` of the values: their 64-bit hash is below that share of its range, however small."""
     if share >= 1:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weirflow.llm.common import released
+from weirflow.llm.common import released, trim
 
 #: Windows open at once, share of a window that may be padding, bytes of text taken at once, stems a task remembers.
 OPEN, GAP, SLICE_BYTES, REMEMBERED = 1024, 1 / 16, 6 << 20, 100_000
@@ -335,14 +335,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) -> DataFrame:
-    """A row for each piece of each document: see ``PIECES``. ``tokenizer``: path of its file on every machine."""
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, slice_bytes: int = SLICE_BYTES, spare: bool = False) -> DataFrame:
+    """A row for each piece of each document: see ``PIECES``. ``tokenizer``: path of its file on every machine.
+
+    ``slice_bytes`` of text are taken at once: fewer need less memory and more time, as a slice's stems are encoded once.
+    With ``spare``, free memory is given back after each slice, not only at the end of the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer)
         packer = SquaresPacker(size, TaskContext.get().partitionId() << 33)
-        for batch in gathered(batches):
-            for part in slices(batch, 1):
+        for batch in gathered(batches, slice_bytes):
+            for part in slices(batch, 1, slice_bytes):
                 names = iter(part.column(0).to_pylist())
                 for ids, lengths in words.encode(part.column(1)):
                     at = 0
@@ -350,6 +354,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) ->
                         packer.place((next(names), n + 1), 0, np.append(ids[at : at + n], np.uint32(end_id)))
                         at += n
                     yield _rows(packer.drain())
+                if spare:
+                    trim()
         packer.finish()
         yield _rows(packer.drain())
 
