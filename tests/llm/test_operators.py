@@ -12,6 +12,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -46,7 +47,7 @@ def test_sql(spark, name):
     for t in ("documents", "pages", "embeddings"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     ours, theirs = queries.queries()[name](spark, str(DATA)).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
-    rows = lambda f: sorted(repr([None if v is None or v != v else float(v) if isinstance(v, (int, float)) else v for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    rows = lambda f: sorted(repr([None if v is None or pd.isna(v) else float(v) if isinstance(v, (int, float)) else v for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
 
 

@@ -94,6 +94,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +113,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk)
+    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk, op12_licenses)
     return {f.__name__: _bounded(f) for f in own}
 
 
@@ -153,5 +161,36 @@ ORACLE_SQL = {
 }
 
 
+def _license_sql() -> str:
+    from weirflow.llm.licenses import BETWEEN, NOTICES, PHRASES
+
+    given = ", ".join(f"({t}, '{label}', '{text}', {t < len(PHRASES)})" for t, (label, text) in enumerate([*PHRASES, *NOTICES]))
+    ws = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BETWEEN}'), lambda x: x <> '')"
+    return f"""
+        with given(t, label, text, whole) as (values {given}),
+        template as (select t, label, whole, {ws} as ws from given),
+        sized as (select *, case when len(ws) >= 4 then 4 else 2 end as size from template),
+        placed as (select *, unnest(range(len(ws) - size + 1)) as q from sized),
+        grams as (select t, label, whole, size, len(ws) - size + 1 as n_grams, q, array_to_string(ws[q + 1:q + size], ' ') as gram from placed),
+        docs as (select row_number() over () as r, doc_id, {ws} as ws from documents),
+        starts as (select r, ws, size, unnest(range(greatest(len(ws) - size + 1, 0))) as p from docs, (values (2), (4)) s(size)),
+        hits as (select r, t, label, whole, n_grams, q, p - q as d from (select r, size, p, array_to_string(ws[p + 1:p + size], ' ') as gram from starts) join grams using (size, gram)),
+        diagonals as (select distinct r, t, whole, d from hits),
+        cut as (select *, case when whole or coalesce(d - lag(d) over (partition by r, t order by d) > 3, true) then 1 else 0 end as apart from diagonals),
+        runs as (select r, t, d, sum(apart) over (partition by r, t order by d rows unbounded preceding) as span from cut),
+        spans as (select r, t, label, whole, min(d) as d, count(distinct q)::double / n_grams as covered from hits join runs using (r, t, d) group by r, t, label, whole, n_grams, span),
+        good as (select *, whole and covered = 1 as place from spans where covered = 1 or not whole),
+        found as (
+            select r, count(*) filter (place) as n_base, min(d) filter (place) as first_word, max(d) filter (place) as last_word,
+                list_sort(list_distinct(list(label) filter (place))) as base_labels, list_sort(list_distinct(list(label) filter (place or covered >= 0.6))) as labels, max(covered) as score
+            from good group by r)
+        select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+            coalesce(array_to_string(base_labels, ','), '') as base_labels, coalesce(array_to_string(labels, ','), '') as labels, coalesce(score, 0)::double as score
+        from docs left join found using (r)"""
+
+
+ORACLE_SQL["op12_licenses"] = _license_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
