@@ -44,7 +44,7 @@ def texts_of(frame):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     ours, theirs = queries.queries()[name](spark, str(DATA)).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
     rows = lambda f: sorted(repr([None if v is None or pd.isna(v) else float(v) if isinstance(v, (int, float)) else v for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))

@@ -102,6 +102,15 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.trie import prefix_trie, rebuild, turns_of
+
+    conv = F.col("conv_id")
+    borrowed = F.crc32(conv.cast("string").cast("binary")) % 4
+    turns, convs = rebuild(turns_of(table(spark, sf_dir, "conversations")), conv - conv % 20, borrowed, 3)
+    return prefix_trie(turns, ["phase", "turn"], convs).drop("fp")
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk, op12_licenses)
+    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk, op12_licenses, op13_trie)
     return {f.__name__: _bounded(f) for f in own}
 
 
@@ -148,6 +157,31 @@ ORACLE_SQL = {
             (select h || p from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1) as rule,
             coalesce((select v from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1), 'allow') as verdict
         from q""",
+    "op13_trie": r"""
+        with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        own as (
+            select conv_id, digest, words, row_number() over (partition by conv_id order by turn nulls first, digest) - 1 as i
+            from (select conv_id, turn, sha256(length(role)::varchar || ':' || role || text) as digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as words from turns)),
+        conv as (
+            select conv_id, conv_id - conv_id % 20 as base, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 4 as h
+            from (select distinct conv_id from turns)),
+        rebuilt as (
+            select conv.conv_id, 0 as phase, i, digest, words from conv join own on own.conv_id = base where i < h
+            union all select conv_id, 1 as phase, i, digest, words from conv join own using (conv_id) where i >= h),
+        paths as (
+            select conv_id, 0 as depth, '' as path, 0 as words from conv
+            union all select conv_id, row_number() over w, string_agg('/' || digest, '') over w, words from rebuilt window w as (partition by conv_id order by phase, i)),
+        nodes as (select depth, path, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words, left(path, greatest(length(path) - 65, 0)) as parent from paths group by depth, path),
+        ends as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from (select conv_id, arg_max(path, depth) as path from paths group by conv_id) group by path),
+        children as (select parent as path, count(*) as n_children from nodes where depth > 0 group by parent),
+        valued as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (path)),
+        subtrees as (
+            select paths.path, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * valued.words) as saved_tokens
+            from valued join paths on paths.conv_id = valued.conv_id and paths.depth <= valued.depth group by paths.path)
+        select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, n.n_children::bigint as n_children, n_leaves::bigint as n_leaves,
+            saved_tokens::bigint as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+        from valued n left join nodes p on n.depth > 0 and p.path = n.parent left join ends e on e.path = n.path join subtrees s on s.path = n.path""",
     "op10_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
