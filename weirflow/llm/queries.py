@@ -94,6 +94,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.collocations import mine
+
+    return mine(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, share=50)
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.licenses import scan
 
@@ -122,7 +128,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk, op12_licenses, op13_trie)
+    own = (op1_mixing, op2_fingerprints, op3_neardup, op4_sharding, op5_quality, op6_packing, op7_urls, op8_passages, op9_langid, op10_topk, op11_collocations, op12_licenses, op13_trie)
     return {f.__name__: _bounded(f) for f in own}
 
 
@@ -157,6 +163,24 @@ ORACLE_SQL = {
             (select h || p from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1) as rule,
             coalesce((select v from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1), 'allow') as verdict
         from q""",
+    "op11_collocations": r"""
+        with texts as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from texts),
+        worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+        starts as (select lang, ws, size, unnest(range(1, greatest(len(ws) - size + 2, 1))) as i from worded, (values (1), (2), (3)) s(size)),
+        counted as (select lang, size, array_to_string(ws[i:i + size - 1], ' ') as phrase, count(*) as f from starts group by all),
+        totals as (select lang, sum(f) as n from counted where size = 1 group by lang),
+        candidates as (select lang, size, phrase, string_split(phrase, ' ') as ws, f as a from counted where size > 1 and f >= 10),
+        cuts as (select *, unnest(range(1, size)) as k from candidates),
+        scored as (
+            select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
+            from cuts c join counted l on l.lang = c.lang and l.phrase = array_to_string(ws[1:k], ' ') join counted r on r.lang = c.lang and r.phrase = array_to_string(ws[k + 1:], ' ')),
+        best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        longer as (
+            select lang, phrase, max(a) as longer from (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase from candidates where size = 3) group by all),
+        kept as (select best.* from best left join longer using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked join totals using (lang) where rank <= 2000""",
     "op13_trie": r"""
         with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
         own as (
