@@ -36,21 +36,30 @@ def occurrence_keys(txn: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFr
     return _with_hashes(txn).withColumn("dedup_key", _nth_key(n))
 
 
-def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | None = None, order: tuple[str, ...] = ("seq",), full_fetch: bool = False) -> DataFrame:
+def stored_fingerprint(stored: DataFrame) -> Column:
+    """The fingerprint of stored rows: a column of theirs, or the key without its number."""
+    return F.col("fingerprint") if "fingerprint" in stored.columns else F.substring_index("dedup_key", "|#", 1).alias("fingerprint")
+
+
+def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | None = None, order: tuple[str, ...] = ("seq",), full_fetch: bool = False, buckets: int | None = None) -> DataFrame:
     """``occurrence_keys`` and ``against_seen`` in one shuffle of the rows; with ``ledger``, its entry in ``ledger_entry`` too.
 
     State and ledger rows go through the rows' own shuffle, by (account, fingerprint), and meet them in a window over the
     whole key, which that partitioning serves. A join would need one by all its keys, so a second shuffle. Work stays in
     proportion to the rows, however many share a fingerprint. Numbered keys can't repeat, so there is no search for repeats.
+
+    Where state and ledger lie in ``buckets`` of (account, fingerprint) (``sources.buckets``), only the run's rows are
+    shuffled, into as many parts; state rows stay where they are.
     """
     rows = _with_hashes(txn).withColumn("_side", F.lit(0))
+    if buckets:
+        rows = rows.repartition(buckets, *ACCOUNT, "fingerprint")
     names = rows.columns
-    prefix = F.substring_index("dedup_key", "|#", 1).alias("fingerprint")
     wants_seen = seen is not None and not full_fetch
     if wants_seen:
-        rows = rows.unionByName(seen.select(*ACCOUNT, prefix, F.col("dedup_key").alias("_stored_key"), F.struct("content_hash").alias("_seen"), F.lit(1).alias("_side")), allowMissingColumns=True)
+        rows = rows.unionByName(seen.select(*ACCOUNT, stored_fingerprint(seen), F.col("dedup_key").alias("_stored_key"), F.struct("content_hash").alias("_seen"), F.lit(1).alias("_side")), allowMissingColumns=True)
     if ledger is not None:
-        rows = rows.unionByName(ledger.select(*ACCOUNT, prefix, F.col("dedup_key").alias("_stored_key"), ledger_entry().alias("_entry"), F.lit(1).alias("_side")), allowMissingColumns=True)
+        rows = rows.unionByName(ledger.select(*ACCOUNT, stored_fingerprint(ledger), F.col("dedup_key").alias("_stored_key"), ledger_entry().alias("_entry"), F.lit(1).alias("_side")), allowMissingColumns=True)
     n = F.row_number().over(Window.partitionBy(*ACCOUNT, "fingerprint").orderBy("_side", *order))
     key = _nth_key(n)
     if "_stored_key" in rows.columns:
@@ -126,20 +135,23 @@ def run_status(error: Column, warnings: Column) -> Column:
 
 
 def upsert_seen(seen: DataFrame, delta: DataFrame, now: Column) -> DataFrame:
-    """The state after a run that exported ``delta``: one full outer join.
+    """The state after a run that exported ``delta``, with its fingerprints: old and new rows of a key meet in one aggregation.
 
     A new key has no updated_at; a changed hash sets it; the same hash, or none stored before, keeps it. Keys that the run
-    didn't export stay as they are.
+    didn't export stay as they are. Grouped by fingerprint and key, so state in buckets isn't shuffled.
     """
-    # One row a key: a later row of the run wins.
-    last = delta.groupBy(*KEY).agg(F.max_by("content_hash", "seq").alias("_new")).withColumn("_in", F.lit(True))
-    joined = seen.withColumn("_old", F.lit(True)).join(last, KEY, "full_outer")
-    changed = F.col("_in") & F.col("_old") & F.col("content_hash").isNotNull() & (F.col("content_hash") != F.col("_new"))
-    return joined.select(
+    old = seen.select(*KEY, stored_fingerprint(seen), F.struct("content_hash", "last_seen_at", "updated_at").alias("_old"), F.lit(None).cast("struct<seq: bigint, hash: string>").alias("_new"))
+    new = delta.select(*KEY, stored_fingerprint(delta), F.lit(None).cast(old.schema["_old"].dataType).alias("_old"), F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("content_hash").alias("hash")).alias("_new"))
+    # One row a key: a later row of the run wins. The shuffled rows come first: the union takes its partitioning from there.
+    met = new.unionByName(old).groupBy(*KEY, "fingerprint").agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    fresh = F.col("_new").isNotNull()
+    changed = fresh & F.col("_old.content_hash").isNotNull() & (F.col("_old.content_hash") != F.col("_new.hash"))
+    return met.select(
         *KEY,
-        F.when(F.col("_in"), F.col("_new")).otherwise(F.col("content_hash")).alias("content_hash"),
-        F.when(F.col("_in"), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-        F.when(changed, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(fresh, F.col("_new.hash")).otherwise(F.col("_old.content_hash")).alias("content_hash"),
+        F.when(fresh, now).otherwise(F.col("_old.last_seen_at")).alias("last_seen_at"),
+        F.when(changed, now).otherwise(F.col("_old.updated_at")).alias("updated_at"),
+        "fingerprint",
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.identity import content_hash
-from weirflow.operators.cdc import KEY, ledger_entry
+from weirflow.operators.cdc import KEY, ledger_entry, stored_fingerprint
 from weirflow.operators.outbound import positive
 
 #: Reasons for which a whole run sends nothing, in the order in which they are asked.
@@ -76,29 +76,34 @@ def with_results(decided: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def merge(ledger: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
-    """The ledger after a run: one full outer join with its attempts.
+    """The ledger after a run, with its fingerprints: entries and attempts of a key meet in one aggregation, by which a ledger
+    in buckets isn't shuffled.
 
     A success stores hash, status and id; a failure stores its reason and keeps what was known; a failure after a success
-    only moves the time and number of attempts. Entries without an attempt stay.
+    only moves the time and number of attempts. Entries without an attempt stay. Of several attempts at a key a success counts.
     """
-    tried = finished.where(F.col("finance_status").isin("sent", "failed")).select(
-        *KEY, (F.col("finance_status") == "sent").alias("_ok"), F.col("reason").alias("_reason"), F.col("content_hash").alias("_hash"), F.col("api_status").alias("_status"), F.col("finance_transaction_id").alias("_id")
-    )
-    j = ledger.join(tried, KEY, "full_outer")
-    won = F.coalesce((F.col("finance_status") == "sent") & F.col("sent_at").isNotNull(), F.lit(False))
-    attempt, ok = F.col("_ok").isNotNull(), F.coalesce(F.col("_ok"), F.lit(False))
+    known = ["finance_status", "reason", "content_hash", "api_status", "finance_transaction_id", "sent_at", "last_attempt_at", "attempts"]
+    attempt_type = "struct<ok: boolean, reason: string, hash: string, status: int, id: string>"
+    old = ledger.select(*KEY, stored_fingerprint(ledger), F.struct(*known).alias("_was"), F.lit(None).cast(attempt_type).alias("_tried"))
+    tried = F.struct((F.col("finance_status") == "sent").alias("ok"), "reason", F.col("content_hash").alias("hash"), F.col("api_status").cast("int").alias("status"), F.col("finance_transaction_id").alias("id"))
+    new = finished.where(F.col("finance_status").isin("sent", "failed")).select(*KEY, stored_fingerprint(finished), F.lit(None).cast(old.schema["_was"].dataType).alias("_was"), tried.alias("_tried"))
+    j = new.unionByName(old).groupBy(*KEY, "fingerprint").agg(F.max("_was").alias("_was"), F.max("_tried").alias("_tried"))
+    was, got = (lambda c: F.col(f"_was.{c}")), (lambda c: F.col(f"_tried.{c}"))
+    won = F.coalesce((was("finance_status") == "sent") & was("sent_at").isNotNull(), F.lit(False))
+    attempt, ok = F.col("_tried").isNotNull(), F.coalesce(got("ok"), F.lit(False))
     fresh_failure = attempt & ~ok & ~won
     pick = lambda old, success, failure: F.when(ok, success).when(fresh_failure, failure).otherwise(old)
     return j.select(
         *KEY,
-        pick(F.col("finance_status"), F.lit("sent"), F.lit("failed")).alias("finance_status"),
-        pick(F.col("reason"), F.lit(SENT), F.col("_reason")).alias("reason"),
-        pick(F.col("content_hash"), F.col("_hash"), F.col("content_hash")).alias("content_hash"),
-        pick(F.col("api_status"), F.col("_status"), F.col("_status")).alias("api_status"),
-        pick(F.col("finance_transaction_id"), F.col("_id"), F.col("finance_transaction_id")).alias("finance_transaction_id"),
-        F.when(ok, now).otherwise(F.col("sent_at")).alias("sent_at"),
-        F.when(attempt, now).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"),
-        F.when(attempt, F.coalesce("attempts", F.lit(0)) + 1).otherwise(F.col("attempts")).alias("attempts"),
+        pick(was("finance_status"), F.lit("sent"), F.lit("failed")).alias("finance_status"),
+        pick(was("reason"), F.lit(SENT), got("reason")).alias("reason"),
+        pick(was("content_hash"), got("hash"), was("content_hash")).alias("content_hash"),
+        pick(was("api_status"), got("status"), got("status")).alias("api_status"),
+        pick(was("finance_transaction_id"), got("id"), was("finance_transaction_id")).alias("finance_transaction_id"),
+        F.when(ok, now).otherwise(was("sent_at")).alias("sent_at"),
+        F.when(attempt, now).otherwise(was("last_attempt_at")).alias("last_attempt_at"),
+        F.when(attempt, F.coalesce(was("attempts"), F.lit(0)) + 1).otherwise(was("attempts")).alias("attempts"),
+        "fingerprint",
     )
 
 

@@ -19,9 +19,10 @@ from weirflow.operators import accounts as accounts_ops
 from weirflow.operators import cdc, ledger, normalize, outbound
 from weirflow.operators.reports import run_summary
 from weirflow.schema import LEDGER, RAW, RESULT, SEEN
+from weirflow.sources.buckets import Bucketed
 from weirflow.sources.registry import Registry, SourceAdapter
 from weirflow.sources.sinks import export_json, write_report
-from weirflow.sources.store import Checkpoints, Journal, Versioned, single_flight
+from weirflow.sources.store import Checkpoints, Journal, single_flight
 
 #: What a run does with an event: its kind and what it says. Errors of a listener never break a run.
 Listener = Callable[[str, dict[str, Any]], None]
@@ -181,14 +182,15 @@ def run_accounts(
                 if one.adapter is not None:
                     one.adapter.close()
             done.append(one)
-        state = Versioned(spark, f"{state_root}/seen", SEEN)
+        state = Bucketed(spark, f"{state_root}/seen", SEEN)
         considered = None
         fine = [x for x in done if x.report["status"] != "failed"]
         if fine:
             txn = normalize.union_accounts([x.rows(spark) for x in fine])
-            seen = state.read()
+            # Only buckets that the run's rows touch are read, and of the state no row is shuffled.
+            seen = state.read(state.touched(txn))
             # Read by the export, the counters and the state: computed once, a row a transaction.
-            considered = cdc.keyed_against(txn, seen, ledger_rows, ("segment", "seq"), full_fetch).persist()
+            considered = cdc.keyed_against(txn, seen, ledger_rows, ("segment", "seq"), full_fetch, state.buckets).persist()
             counts = {(r.provider, r.provider_account_id): r.asDict() for r in cdc.counters(considered).collect()}
             for x in fine:
                 x.report |= {c: counts.get((x.stamped, x.id), {}).get(c, 0) for c in COUNTS}
@@ -200,7 +202,7 @@ def run_accounts(
                 x.report["export_path"] = f"{export_root}/provider={x.stamped}/provider_account_id={x.id}/export_date={as_of}" if export_root and x.report["exported"] else None
                 tell("export", x.who() | {"exported": x.report["exported"], "file_path": x.report["export_path"]})
             if not full_fetch:
-                state.write(cdc.upsert_seen(seen, delta, F.lit(now).cast("timestamp")))
+                state.merge(delta, lambda old, new: cdc.upsert_seen(old, new, F.lit(now).cast("timestamp")))
             for x in fine:
                 tell("account-done", x.who() | {"status": x.report["status"]})
         rows = spark.createDataFrame([(x.report["status"], int(x.report["exported"]), int(x.report["considered"])) for x in done], "status string, exported bigint, considered bigint")
@@ -209,6 +211,7 @@ def run_accounts(
         if considered is not None:
             result.considered = _kept(considered, checkpoints)
             considered.unpersist()
+        state.close()
         for x in fine:
             checkpoints.clear(x.provider, x.id)
         return result
@@ -239,9 +242,9 @@ def run_export(txn: DataFrame, sender: outbound.Sender | None = None, dry_run: b
     return planned | {"dry_run": False, "sent": planned["qualifying"]}
 
 
-def open_ledger(spark: SparkSession, state_root: str, now: str) -> tuple[Versioned, DataFrame]:
+def open_ledger(spark: SparkSession, state_root: str, now: str) -> tuple[Bucketed, DataFrame]:
     """The ledger, with what runs that were cut off have sent; their journals go once the ledger has them."""
-    book = Versioned(spark, f"{state_root}/ledger", LEDGER)
+    book = Bucketed(spark, f"{state_root}/ledger", LEDGER)
     for journal in Journal.leftovers(spark, f"{state_root}/journal", RESULT):
         if journal.name not in book.notes().get("journals", []):
             _record(book, journal, now)
@@ -249,9 +252,9 @@ def open_ledger(spark: SparkSession, state_root: str, now: str) -> tuple[Version
     return book, book.read()
 
 
-def _record(book: Versioned, journal: Journal, now: str) -> None:
+def _record(book: Bucketed, journal: Journal, now: str) -> None:
     told = [*book.notes().get("journals", []), journal.name][-20:]
-    book.write(ledger.merge(book.read(), ledger.attempts_of(journal.read()), F.lit(now).cast("timestamp")), {"journals": told})
+    book.merge(ledger.attempts_of(journal.read()), lambda old, new: ledger.merge(old, new, F.lit(now).cast("timestamp")), {"journals": told})
 
 
 def sync(

@@ -16,6 +16,7 @@ from weirflow.functions.retry import wait_ms
 from weirflow.operators import accounts, cdc, ledger, normalize, outbound, reports
 from weirflow.plans import pipeline
 from weirflow.schema import LEDGER, RAW, SEEN
+from weirflow.sources.buckets import Bucketed
 from weirflow.sources.registry import Fetched, Registry, SourceAdapter
 from weirflow.sources.sinks import export_json, write_report
 from weirflow.sources.store import Busy, Checkpoints, Files, Journal, Versioned, shared_dir, single_flight
@@ -84,7 +85,8 @@ def _seen(s: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return cdc.keyed_against(_txn(s, d), _seen(s, d))
+    state = _in_buckets(s, d, "seen")
+    return cdc.keyed_against(_txn(s, d), state.read(), buckets=state.buckets)
 
 
 @fixture
@@ -105,9 +107,22 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+_buckets: dict[tuple[str, str, str], Bucketed] = {}
+
+
+def _in_buckets(s: SparkSession, d: str, name: str) -> Bucketed:
+    """The state or the ledger in buckets, written once."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _buckets:
+        held = Bucketed(s, f"{scratch_folder(s)}/{name}", SEEN if name == "seen" else LEDGER)
+        held.write((_seen if name == "seen" else _ledger)(s, d))
+        _buckets[key] = held
+    return _buckets[key]
+
+
 def _decided(s: SparkSession, d: str) -> DataFrame:
-    book = _ledger(s, d)
-    return ledger.decide(cdc.keyed_against(_txn(s, d), _seen(s, d), book), book)
+    state, book = _in_buckets(s, d, "seen"), _in_buckets(s, d, "ledger").read()
+    return ledger.decide(cdc.keyed_against(_txn(s, d), state.read(), book, buckets=state.buckets), book)
 
 
 @fixture
@@ -326,7 +341,9 @@ def _exported(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def seen_upsert(s: SparkSession, d: str) -> DataFrame:
-    after = cdc.upsert_seen(_seen(s, d), _exported(s, d), F.lit(NOW).cast("timestamp"))
+    """State that lies in buckets, and a run's delta: only the delta is shuffled."""
+    state = _in_buckets(s, d, "seen")
+    after = cdc.upsert_seen(state.read(), state.aligned(_exported(s, d)), F.lit(NOW).cast("timestamp"))
     return after.select(*cdc.KEY, "content_hash", _stamp("last_seen_at"), _stamp("updated_at"))
 
 
@@ -402,7 +419,8 @@ def ledger_decide(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ledger_merge(s: SparkSession, d: str) -> DataFrame:
-    after = ledger.merge(_ledger(s, d), _finished(s, d), F.lit(NOW).cast("timestamp"))
+    book = _in_buckets(s, d, "ledger")
+    after = ledger.merge(book.read(), book.aligned(_finished(s, d)), F.lit(NOW).cast("timestamp"))
     return after.select(*cdc.KEY, "finance_status", "reason", "content_hash", "api_status", "finance_transaction_id", _stamp("sent_at"), _stamp("last_attempt_at"), "attempts")
 
 
@@ -701,17 +719,20 @@ def ledger_load(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def state_versions(s: SparkSession, d: str) -> DataFrame:
-    """State written twice and read again: the second version, merged from the first."""
-    state = Versioned(s, f"{scratch_folder(s)}/seen", SEEN)
+    """State in buckets, written and then merged into, bucket by bucket, and read again."""
+    state = Bucketed(s, f"{scratch_folder(s)}/seen", SEEN)
     state.write(_seen(s, d).where("content_hash is not null"))
-    state.write(state.read().unionByName(_seen(s, d).where("content_hash is null")))
+    state.merge(_seen(s, d).where("content_hash is null"), lambda old, new: old.unionByName(new))
     return state.read().select(*cdc.KEY, "content_hash", _stamp("last_seen_at"))
 
 
 @query
 def ledger_versions(s: SparkSession, d: str) -> DataFrame:
-    book = Versioned(s, f"{scratch_folder(s)}/ledger", LEDGER)
-    book.write(_ledger(s, d))
+    """The ledger in one piece, as earlier releases wrote it, put into buckets by its next write."""
+    path = f"{scratch_folder(s)}/ledger"
+    Versioned(s, path, LEDGER).write(_ledger(s, d).where("finance_status = 'sent'"))
+    book = Bucketed(s, path, LEDGER)
+    book.merge(_ledger(s, d).where("finance_status <> 'sent'"), lambda old, new: old.unionByName(new))
     return book.read().select(*cdc.KEY, "finance_status", "api_status", "finance_transaction_id", "attempts")
 
 

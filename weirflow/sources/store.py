@@ -120,10 +120,11 @@ class Versioned:
 
     def read(self) -> DataFrame:
         now = self.current()
-        self.base, folder = now["number"], now["folder"]
-        if folder is None:
+        self.base = now["number"]
+        folders = sorted(now["folders"].values()) if "folders" in now else [now["folder"]] if now["folder"] else []
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{f}" for f in folders])
 
     def write(self, rows: DataFrame, notes: dict[str, Any] | None = None) -> str:
         """A new version, its notes added to those before; older versions than the last ``keep`` go.

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from weirflow.operators import cdc
 from weirflow.operators.normalize import PROVIDER, normalize, split_pending
 from weirflow.schema import SEEN
-from weirflow.sources.store import Files, Versioned
+from weirflow.sources.buckets import Bucketed
+from weirflow.sources.store import Files
 
 
 def capture_stream(spark: SparkSession, source: str, schema: T.StructType, state_root: str, delta_path: str, checkpoint: str, now: str, provider: str = PROVIDER) -> int:
@@ -25,7 +26,7 @@ def capture_stream(spark: SparkSession, source: str, schema: T.StructType, state
     again after that is known from the note, and left alone: its delta is there already. One that is run again before, from
     the same state, writes the same delta over. So each change is put out once, wherever a run was cut off.
     """
-    state = Versioned(spark, f"{state_root}/seen", SEEN)
+    state = Bucketed(spark, f"{state_root}/seen", SEEN)
     batches = []
 
     def one(raw: DataFrame, batch: int) -> None:
@@ -33,15 +34,15 @@ def capture_stream(spark: SparkSession, source: str, schema: T.StructType, state
         stream = f"stream-{json.loads(Files(spark).read(f'{checkpoint}/metadata') or '{}').get('id')}"
         if state.notes().get(stream, -1) >= batch:
             return
-        seen = state.read()
         final, _ = split_pending(raw)
-        classified = cdc.keyed_against(normalize(final, provider), seen).persist()
+        classified = cdc.keyed_against(normalize(final, provider), state.read(), buckets=state.buckets).persist()
         try:
             delta = cdc.exported(classified)
             delta.write.mode("overwrite").parquet(f"{delta_path}/batch={batch}")
-            state.write(cdc.upsert_seen(seen, delta, F.lit(now).cast("timestamp")), {stream: batch})
+            state.merge(delta, lambda old, new: cdc.upsert_seen(old, new, F.lit(now).cast("timestamp")), {stream: batch})
         finally:
             classified.unpersist()
+            state.close()
         batches.append(batch)
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
