@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.identity import classify, content_hash, fingerprint, local_tag
+from weirflow.sources.store import written
 
 #: State never crosses accounts, so every join and window has the account in its key.
 ACCOUNT = ["provider", "provider_account_id"]
@@ -25,15 +26,68 @@ def _nth_key(n: Column) -> Column:
     return F.when(n == 1, F.col("fingerprint")).otherwise(F.concat(F.col("fingerprint"), F.lit("|#"), n.cast("string")))
 
 
-def occurrence_keys(txn: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+PRINT = [*ACCOUNT, "fingerprint"]
+#: Rows that share a fingerprint from which they are numbered by ranges; of how many rows one is looked at to find such
+#: fingerprints; most ranges of one; bytes of keys and bounds that may be broadcast; bytes that a row has at least.
+HOT_ROWS, LOOKED_AT, RANGES, BROADCAST, ROW_BYTES = 1_000_000, 1_000, 256, 8 << 20, 16
+
+
+def occurrence_keys(txn: DataFrame, order: tuple[str, ...] = ("seq",), hot: int = HOT_ROWS) -> DataFrame:
     """dedup_key: the fingerprint for its first row in the account, fingerprint|#n for the n-th; with fingerprint and content_hash.
 
     Both hashes are computed once, before the shuffle; it is by (account, fingerprint), so a busy account spreads over all
-    tasks. Rows that share a fingerprint are numbered by ``order``, which must be a real key of the input; the numbering
-    streams over a sorted run that may spill, whatever its length.
+    tasks. Rows that share a fingerprint are numbered by ``order``, which must be a real key of the input, its last column a number. Where
+    about ``hot`` rows or more share one, they are cut into ranges of ``order``, numbered within each, and moved on by what the
+    ranges before hold, so that they spread over tasks too.
     """
-    n = F.row_number().over(Window.partitionBy(*ACCOUNT, "fingerprint").orderBy(*order))
-    return _with_hashes(txn).withColumn("dedup_key", _nth_key(n))
+    rows = _with_hashes(txn)
+    n = F.row_number().over(Window.partitionBy(*PRINT).orderBy(*order))
+    bounds = hot_bounds(rows, order, hot)
+    if bounds is None:
+        return rows.withColumn("dedup_key", _nth_key(n))
+    cold = rows.join(_small(bounds).select(*PRINT), PRINT, "left_anti").withColumn("dedup_key", _nth_key(n))
+    return cold.unionByName(_numbered_by_ranges(rows, bounds, order))
+
+
+def hot_bounds(rows: DataFrame, order: tuple[str, ...], hot: int) -> DataFrame | None:
+    """(account, fingerprint, bounds) of the fingerprints that about ``hot`` rows or more share, where to cut ``order``'s last
+    column; None where there is none.
+
+    A sample by hash finds them; it decides how rows are numbered, not which numbers they get. Input that is too small to
+    hold so many rows isn't looked at.
+    """
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < hot * ROW_BYTES:
+        return None
+    share = min(LOOKED_AT, max(1, hot // 100))
+    seen = rows.where(F.pmod(F.xxhash64(*order), F.lit(share)) == 0) if share > 1 else rows
+    fractions = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    found = seen.groupBy(*PRINT).agg(F.count("*").alias("n"), F.percentile_approx(F.col(order[-1]).cast("double"), fractions, F.lit(10_000)).alias("bounds")).where(F.col("n") >= hot / share / 2)
+    # As many ranges as there are times a tenth of ``hot``.
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES * hot / 10 / share) / F.col("n"))).cast("int")
+    found = found.select(*PRINT, F.array_distinct(F.filter("bounds", lambda b, i: (i + 1) % step == 0)).alias("bounds"))
+    found = written(found, "hot")
+    return None if found.isEmpty() else found
+
+
+def _small(bounds: DataFrame) -> DataFrame:
+    return F.broadcast(bounds) if bounds.count() * RANGES * 8 <= BROADCAST else bounds
+
+
+def _numbered_by_ranges(rows: DataFrame, bounds: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The rows of hot fingerprints with their dedup_key."""
+    last = F.col(order[-1]).cast("double")
+    cut = rows.join(_small(bounds), PRINT).withColumn("_range", F.size(F.filter("bounds", lambda b: b < last))).drop("bounds")
+    cell = [*PRINT, *order[:-1], "_range"]
+    counts = cut.groupBy(*cell).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*PRINT).orderBy(*order[:-1], "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*cell, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    n = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cell]
+    # A row a range: as small as the bounds.
+    starts = F.broadcast(starts) if bounds.count() * RANGES * 64 <= BROADCAST else starts
+    joined = cut.withColumn("_n", n).alias("r").join(starts.alias("s"), same, "left")
+    numbered = joined.withColumn("_number", F.col("_n") + F.col("_start")).select("r.*", "_number").drop("_n", "_range")
+    return numbered.withColumn("dedup_key", _nth_key(F.col("_number"))).drop("_number")
 
 
 def stored_fingerprint(stored: DataFrame) -> Column:
@@ -41,7 +95,7 @@ def stored_fingerprint(stored: DataFrame) -> Column:
     return F.col("fingerprint") if "fingerprint" in stored.columns else F.substring_index("dedup_key", "|#", 1).alias("fingerprint")
 
 
-def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | None = None, order: tuple[str, ...] = ("seq",), full_fetch: bool = False, buckets: int | None = None) -> DataFrame:
+def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | None = None, order: tuple[str, ...] = ("seq",), full_fetch: bool = False, buckets: int | None = None, hot: int = HOT_ROWS) -> DataFrame:
     """``occurrence_keys`` and ``against_seen`` in one shuffle of the rows; with ``ledger``, its entry in ``ledger_entry`` too.
 
     State and ledger rows go through the rows' own shuffle, by (account, fingerprint), and meet them in a window over the
@@ -49,9 +103,29 @@ def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | No
     proportion to the rows, however many share a fingerprint. Numbered keys can't repeat, so there is no search for repeats.
 
     Where state and ledger lie in ``buckets`` of (account, fingerprint) (``sources.buckets``), only the run's rows are
-    shuffled, into as many parts; state rows stay where they are.
+    shuffled, into as many parts; state rows stay where they are. Rows of hot fingerprints (``occurrence_keys``) are numbered by ranges and
+    joined by their whole keys.
     """
-    rows = _with_hashes(txn).withColumn("_side", F.lit(0))
+    hashed_rows = _with_hashes(txn)
+    bounds = hot_bounds(hashed_rows, order, hot)
+    if bounds is None:
+        return _keyed_against(hashed_rows, seen, ledger, order, full_fetch, buckets)
+    few = _small(bounds).select(*PRINT)
+    part = lambda df, how: None if df is None else df.select("*", *([] if "fingerprint" in df.columns else [stored_fingerprint(df)])).join(few, PRINT, how)
+    cold = _keyed_against(part(hashed_rows, "left_anti"), part(seen, "left_anti"), part(ledger, "left_anti"), order, full_fetch, buckets)
+    warm = _numbered_by_ranges(hashed_rows, bounds, order)
+    known = seen is not None and not full_fetch
+    if known:
+        warm = warm.join(part(seen, "left_semi").select(*KEY, F.struct("content_hash").alias("_seen")), KEY, "left")
+    if ledger is not None:
+        warm = warm.join(part(ledger, "left_semi").select(*KEY, ledger_entry().alias("ledger_entry")), KEY, "left")
+    kind = classify(F.col("_seen").isNotNull(), F.col("_seen.content_hash"), F.col("content_hash")) if known else F.lit("created")
+    warm = warm.withColumn("kind", kind).withColumn("local_dedup_status", local_tag(F.col("kind"), F.lit(False)))
+    return cold.unionByName(warm.select(cold.columns))
+
+
+def _keyed_against(hashed_rows: DataFrame, seen: DataFrame | None, ledger: DataFrame | None, order: tuple[str, ...], full_fetch: bool, buckets: int | None) -> DataFrame:
+    rows = hashed_rows.withColumn("_side", F.lit(0))
     if buckets:
         rows = rows.repartition(buckets, *ACCOUNT, "fingerprint")
     names = rows.columns
@@ -77,9 +151,10 @@ def keyed_against(txn: DataFrame, seen: DataFrame | None, ledger: DataFrame | No
 
 
 def ledger_entry() -> Column:
-    """What a decision needs of a ledger row: whether it was sent, and with which content."""
+    """What a decision needs of a ledger row: whether it was sent, with which content, and whether a send of it is in doubt."""
     sent = F.coalesce(F.col("finance_status") == "sent", F.lit(False)) & F.col("sent_at").isNotNull()
-    return F.struct(sent.alias("sent"), F.col("content_hash").alias("content_hash"))
+    in_doubt = ~sent & F.coalesce(F.col("reason") == "outcome_unknown", F.lit(False))
+    return F.struct(sent.alias("sent"), F.col("content_hash").alias("content_hash"), in_doubt.alias("in_doubt"))
 
 
 def repeats_in_run(keyed: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:

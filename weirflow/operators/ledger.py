@@ -2,7 +2,8 @@
 
 Decided once, where nothing observable settles it: gates are asked in the order of ``GATES``; row rules in the order not
 completed, no positive charge, duplicate, sent with other content, sent, send; a sent entry without a hash counts as not
-changed; all rules see the ledger as it was at the run's start.
+changed; all rules see the ledger as it was at the run's start. A row of which a run was cut off while sending it is held back
+until the system was asked for it by its external id.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from weirflow.operators.outbound import positive
 GATES = ["finance_disabled", "missing_api_url", "missing_api_key", "fetch_failed"]
 FETCH_ONLY = "run_mode_fetch_only"
 SENT = "already_sent_successfully"
+#: Why a row is held back whose earlier send may or may not have been made.
+DOUBTED = "earlier_send_in_doubt"
 
 
 def run_gate(enabled: bool, api_url: str | None, api_key: str | None, fetch_succeeded: bool) -> str | None:
@@ -61,6 +64,7 @@ def decide(considered: DataFrame, ledger: DataFrame, gate: str | None = None) ->
         .when(F.col("_again"), "duplicate_in_current_batch")
         .when(sent & stored_hash.isNotNull() & (stored_hash != F.col("content_hash")), "already_sent_content_changed")
         .when(sent, SENT)
+        .when(F.coalesce(F.col("_entry.in_doubt"), F.lit(False)), DOUBTED)
     )
     decision = F.when(F.col("reason").isNull(), "send").when(F.col("reason") == SENT, "already_sent").otherwise("skipped")
     return joined.withColumn("reason", reason).withColumn("decision", decision).drop("_again", "_entry")
@@ -107,6 +111,11 @@ def merge(ledger: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def in_doubt() -> Column:
+    """Entries whose last send may or may not have been made."""
+    return ledger_entry()["in_doubt"]
+
+
 def attempts_of(results: DataFrame) -> DataFrame:
     """Results of sends (``schema.RESULT``) in the form ``merge`` takes."""
     status = F.when(F.col("ok"), "sent").otherwise("failed")

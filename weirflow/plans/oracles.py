@@ -44,6 +44,14 @@ _HASHED = f"""{_TXN}, hashed as (
     from txn)"""
 
 
+#: Every customer's account descriptor, as it is stored.
+_DESCRIBED = """described as (
+    select c_nationkey, c_custkey as seq, case when bad then 'cal' else lower(c_mktsegment) end as provider, case when bad then 'default' else c_custkey::varchar end as account, case when bad then '' else c_name end as display_name,
+        bad or c_custkey % 3 <> 0 as enabled, not bad and c_custkey % 7 = 3 as marked, case when not bad and c_custkey % 4 in (2, 3) then c_custkey % 400 end as days_back,
+        case when not bad then 'USER_' || c_nationkey end as username_env, case when not bad then 'PASS_' || (c_custkey % 5) end as password_env
+    from (select *, c_custkey % 11 = 0 as bad from customer))"""
+
+
 def _occurrence(source: str) -> str:
     return f"(select *, fp || case when n = 1 then '' else '|#' || n end as dedup_key from (select *, row_number() over (partition by provider, provider_account_id, fp order by seq) as n from {source}))"
 
@@ -221,19 +229,38 @@ ORACLES = {
     "ledger_load": "select 'cal' as provider, c_custkey::varchar as provider_account_id, 'k' || c_custkey as dedup_key, 'sent' as finance_status, 'h' || c_custkey as content_hash, 201 as api_status, '2026-01-02 03:04:05' as sent_at, 2 as attempts from customer where c_custkey % 4 <> 0",
     "state_versions": f"with {_SEEN} select provider, provider_account_id, dedup_key, content_hash, '2025-12-01 00:00:00' as last_seen_at from seen",
     "ledger_versions": f"with {_LEDGER} select provider, provider_account_id, dedup_key, finance_status, api_status, finance_transaction_id, 1 as attempts from ledger",
-    "checkpoint_roundtrip": "select a as account, case when a <> 'ASIA' then r_regionkey + 1 end::bigint as next_index, case when a <> 'ASIA' then 'w' || r_regionkey end as warnings from (values ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('default')) v(a) left join region on r_name = a",
-    "json_scan": f"with {_TXN} select seq, merchant_name, amount, status from txn where seq % 50 = 0",
-    "valid_rows": "select count(*) filter (where o_orderkey % 9 <> 0) as rows, sum(o_orderkey) filter (where o_orderkey % 9 <> 0)::bigint as seqs, count(*) filter (where o_orderkey % 9 = 0) as warnings from orders",
-    "journal_once": """select n_name as dedup_key, case when n_nationkey % 4 = 0 then 'failed' else 'sent' end as finance_status, case when n_nationkey % 4 = 0 then 'api_validation_failed' else 'already_sent_successfully' end as reason,
-        case when n_nationkey % 4 = 0 then 422 else 201 end as api_status, case when n_nationkey % 4 <> 0 then 'id' || n_nationkey end as finance_transaction_id, 1 as attempts from nation""",
     "table_source": f"with {_RAW} select seq, ts_raw as transaction_ts_raw from raw where {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d')",
     "export_roundtrip": f"with {_CLASSIFIED} select provider, provider_account_id, '2026-01-02' as export_date, count(*) as rows, count(distinct dedup_key) as keys from classified where kind <> 'unchanged' group by 1, 2",
     "audit_report": f"""with {_FINISHED} select finance_status as "financeStatus", reason, count(*) as rows, min(dedup_key) as first_key from finished group by 1, 2""",
-    "account_sanitize": """select lower(n_name) as provider, n_nationkey::varchar as account, n_nationkey % 3 <> 0 as enabled, n_nationkey = 5 as is_default, case when n_nationkey % 2 = 1 then n_nationkey end::bigint as days_back, n_name as username_env, false as leaks from nation""",
-    "account_load": "select r_regionkey::bigint as seq, 'cal' as provider, r_name as provider_account_id, 'CAL (' || r_name || ')' as display_name, true as enabled, r_regionkey = 2 as is_default, r_regionkey + 1 as days_back from region",
-    "send_all_or_stop": f"""with {_TXN}, t as (select count(*) as total, count(*) filter (where status = 'completed' and charge_amount > 0) as qualifying from txn where seq % 100 = 0)
+    "checkpoint_roundtrip": f"with {_RAW} select provider_account_id as account, (max(seq) + 1)::bigint as next_index, count(*) as rows, sum(seq)::bigint as seqs, 'up to ' || max(seq) as warnings from raw where provider_account_id <> 'acct_2' group by 1",
+    "json_scan": f"with {_TXN} select seq, merchant_name, amount, status from txn",
+    "valid_rows": f"""with {_RAW}, r as (select seq, seq % 9 = 0 as bad, {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d') as recent from raw)
+        select count(*) filter (where recent and not bad) as rows, sum(seq) filter (where recent and not bad)::bigint as seqs, count(*) filter (where bad) as warnings from r""",
+    "journal_once": """select s_name as dedup_key, case when s_suppkey % 4 = 0 then 'failed' else 'sent' end as finance_status, case when s_suppkey % 4 = 0 then 'api_validation_failed' else 'already_sent_successfully' end as reason,
+        case when s_suppkey % 4 = 0 then 422 else 201 end as api_status, case when s_suppkey % 4 <> 0 then 'id' || s_suppkey end as finance_transaction_id, 1 as attempts from supplier""",
+    "account_sanitize": f"""with {_DESCRIBED}
+        select c_nationkey, seq, provider, account as provider_account_id, display_name, enabled, row_number() over (partition by c_nationkey order by marked desc, seq) = 1 as is_default, days_back::bigint as days_back,
+            null::varchar as credential_key, username_env, password_env, false as leaks from described""",
+    "credentials_resolve": f"""with {_DESCRIBED}
+        select seq, case when seq % 6 = 0 then 'own' || seq else coalesce(u.n_name, '') end as username, coalesce(lower(p.n_name), '') as password
+        from described left join nation u on username_env = 'USER_' || u.n_nationkey and u.n_nationkey <> 4 left join nation p on password_env = 'PASS_' || p.n_nationkey and p.n_nationkey <> 4""",
+    "account_load": f"""with {_DESCRIBED}, listed as (select * from described where seq % 10 not in (0, 2))
+        select seq * 10 as seq, provider, account as provider_account_id, case when display_name = '' then 'CAL (default)' else display_name end as display_name, enabled, marked as is_default, days_back::int as days_back from listed
+        union all select seq * 10 + 1, 'max', 'second', 'MAX (second)', true, seq % 2 = 0, null from listed""",
+    "settings_roundtrip": f"""with {_DESCRIBED}, b as (select *, seq % 10 in (0, 1, 2) as bare, seq % 10 not in (0, 2) as listed, not marked and seq % 2 = 0 as second, seq % 500 - 50 as days from described)
+        select seq::varchar as name, case when seq % 10 = 2 then 9 when not bare and days between 1 and 365 then days end::int as days_back, not bare and seq % 3 = 0 as finance_enabled,
+            case when bare then '' else 'https://x/' || seq end as api_url, 'finance-default' as finance_credential_key, case when listed then 2 else 0 end as accounts,
+            case when listed then case when second then 'second' else account end end as default_account, case when listed and not second then username_env end as username_env, false as leaks from b""",
+    "registry_resolve": "select c_custkey, case when lower(c_mktsegment) in ('building', 'machinery', 'tables') then lower(c_mktsegment) end as source from customer",
+    "post_requests": f"""with {_KEYED} select seq, 'expense' as type, charge_amount as amount, transaction_date as date, merchant_name as description, account_id as payment_source_name, currency,
+        case when amount > 0 then amount else charge_amount end as original_amount, dedup_key as external_id from keyed where status = 'completed' and charge_amount > 0""",
+    "post_messages": """with b as (select doc_id, replace(replace(replace(coalesce(text, ''), 'token', '[REDACTED]'), 'the', '[REDACTED]'), 'que', '[REDACTED]') as shown from documents),
+        c as (select *, case when length(shown) <= 200 then shown else left(shown, 200) || '…[truncated]' end as short from b)
+        select doc_id, case when doc_id % 5 = 0 then 'Finance request failed: ' || shown else 'HTTP ' || case when doc_id % 5 = 1 then 422 else 500 end || case when short = '' then '' else ' — ' || short end end as message from c""",
+    "one_run_at_a_time": """with q as (select c_name as dedup_key, row_number() over (order by c_custkey) as n, count(*) over () // 2 as half from customer where c_acctbal > 0)
+        select dedup_key, 'sent' as finance_status, case when n <= half then 'first' else 'second' end as sent_by from q""",
+    "send_all_or_stop": f"""with {_TXN}, t as (select count(*) as total, count(*) filter (where status = 'completed' and charge_amount > 0) as qualifying from txn)
         select total, qualifying, 0::bigint as dry_sent, qualifying as sent, least(qualifying, 5) as calls, qualifying >= 5 as stopped from t""",
     "sync_not_attempted": """with g(gate) as (values ('run_mode_fetch_only'), ('finance_disabled'), ('missing_api_url'), ('missing_api_key'), ('fetch_failed'))
-        select gate, false as executed, gate as reason, case when gate <> 'run_mode_fetch_only' then n end as not_attempted, gate <> 'run_mode_fetch_only' as reported from g, (select count(*) as n from orders where o_orderkey % 100 = 0)""",
-    "one_run_at_a_time": "select * from (values ('a', true, false), ('b', true, true), ('a', false, true)) v(root, during, ran)",
+        select gate, false as executed, gate as reason, case when gate <> 'run_mode_fetch_only' then n end as not_attempted, gate <> 'run_mode_fetch_only' as reported from g, (select count(*) as n from orders)""",
 }

@@ -20,12 +20,15 @@ from weirflow.operators import cdc, ledger, normalize, outbound
 from weirflow.operators.reports import run_summary
 from weirflow.schema import LEDGER, RAW, RESULT, SEEN
 from weirflow.sources.buckets import Bucketed
+from weirflow.sources.lease import LEASE, Lease, single_flight
 from weirflow.sources.registry import Registry, SourceAdapter
 from weirflow.sources.sinks import export_json, write_report
-from weirflow.sources.store import Checkpoints, Journal, single_flight
+from weirflow.sources.store import Checkpoints, Journal
 
 #: What a run does with an event: its kind and what it says. Errors of a listener never break a run.
 Listener = Callable[[str, dict[str, Any]], None]
+#: Asks the finance system for what was sent under an external id (``outbound.settled``).
+Find = Callable[[str], tuple[int, str | None] | None]
 
 
 @dataclass
@@ -152,6 +155,7 @@ def run_accounts(
     listener: Listener | None = None,
     ledger_rows: DataFrame | None = None,
     delay_ms: float = 2000,
+    lease: float = LEASE,
 ) -> RunResult:
     """Fetch all accounts, export what is new or changed, then move the state on, in this order: a crash between the two exports
     a delta again, and never loses one.
@@ -161,7 +165,7 @@ def run_accounts(
     cached, for the sync that may follow; who is done with it unpersists it.
     """
     tell = _teller(listener)
-    with single_flight(spark, state_root):
+    with single_flight(spark, state_root, lease) as held, contextlib.closing(Bucketed(spark, f"{state_root}/seen", SEEN, lease=held)) as state:
         checkpoints = Checkpoints(spark, f"{state_root}/checkpoints")
         done: list[_Account] = []
         for a in accounts:
@@ -182,7 +186,6 @@ def run_accounts(
                 if one.adapter is not None:
                     one.adapter.close()
             done.append(one)
-        state = Bucketed(spark, f"{state_root}/seen", SEEN)
         considered = None
         fine = [x for x in done if x.report["status"] != "failed"]
         if fine:
@@ -211,7 +214,6 @@ def run_accounts(
         if considered is not None:
             result.considered = _kept(considered, checkpoints)
             considered.unpersist()
-        state.close()
         for x in fine:
             checkpoints.clear(x.provider, x.id)
         return result
@@ -242,19 +244,38 @@ def run_export(txn: DataFrame, sender: outbound.Sender | None = None, dry_run: b
     return planned | {"dry_run": False, "sent": planned["qualifying"]}
 
 
-def open_ledger(spark: SparkSession, state_root: str, now: str) -> tuple[Bucketed, DataFrame]:
-    """The ledger, with what runs that were cut off have sent; their journals go once the ledger has them."""
-    book = Bucketed(spark, f"{state_root}/ledger", LEDGER)
+def open_ledger(spark: SparkSession, state_root: str, now: str, find: Find | None = None, lease: Lease | None = None) -> tuple[Bucketed, DataFrame]:
+    """The ledger, with what runs that were cut off have sent; their journals go once the ledger has them.
+
+    Such a run may have been cut off within a send. What came of it is asked of the system by external id (``find``), now or
+    in a later run; until then the row is in the ledger as in doubt, and isn't sent.
+    """
+    book = Bucketed(spark, f"{state_root}/ledger", LEDGER, lease=lease)
     for journal in Journal.leftovers(spark, f"{state_root}/journal", RESULT):
         if journal.name not in book.notes().get("journals", []):
-            _record(book, journal, now)
+            doubted = journal.in_doubt()
+            _record(book, journal.name, journal.read(), now)
+            if doubted is not None:
+                _record(book, f"{journal.name}-doubt", _results(spark, [outbound.settled(doubted, find)]), now)
         journal.drop()
-    return book, book.read()
+    entries = book.read()
+    if find is not None:
+        # At most one a run that was cut off.
+        open_ = [outbound.settled(r.asDict() | {"seq": None}, find) for r in entries.where(ledger.in_doubt()).select(*cdc.KEY, "content_hash").toLocalIterator()]
+        known = [r for r in open_ if r["classification"] != outbound.IN_DOUBT]
+        if known:
+            _record(book, None, _results(spark, known), now)
+            entries = book.read()
+    return book, entries
+
+
+def _results(spark: SparkSession, rows: list[dict[str, Any]]) -> DataFrame:
+    return spark.createDataFrame([tuple(r[c] for c in RESULT.fieldNames()) for r in rows], RESULT)
 
 
-def _record(book: Bucketed, journal: Journal, now: str) -> None:
-    told = [*book.notes().get("journals", []), journal.name][-20:]
-    book.merge(ledger.attempts_of(journal.read()), lambda old, new: ledger.merge(old, new, F.lit(now).cast("timestamp")), {"journals": told})
+def _record(book: Bucketed, journal: str | None, results: DataFrame, now: str) -> None:
+    notes = {"journals": [*book.notes().get("journals", []), journal][-20:]} if journal else None
+    book.merge(ledger.attempts_of(results), lambda old, new: ledger.merge(old, new, F.lit(now).cast("timestamp")), notes)
 
 
 def sync(
@@ -268,11 +289,14 @@ def sync(
     on_event: Listener | None = None,
     one_file: bool = True,
     entries_of: int | None = None,
+    lease: float = LEASE,
 ) -> dict[str, Any]:
     """Send what the ledger doesn't have yet, record it, and write the audit report.
 
-    Each outcome is in the journal before the next send, and the journal is merged into the ledger at the end, or by the next
-    run if this one is cut off: it then sends none of them again. ``entries_of``: the ledger version that the rows' own
+    What is about to be sent is in the journal before the first of it is, and each outcome before the next send; the journal is
+    merged into the ledger at the end, or by the next run if this one is cut off: it then sends none of them again, and the one
+    that may have been under way only after a check by its external id (the sender's ``find``). A run that another has taken
+    over from sends nothing more and raises ``Fenced``. ``entries_of``: the ledger version that the rows' own
     ``ledger_entry`` is of; while it is the last, the rows needn't be joined with the ledger again.
     """
     spark = considered.sparkSession
@@ -280,15 +304,15 @@ def sync(
     if gate == ledger.FETCH_ONLY:
         tell("finance-not-attempted", {"reason": gate})
         return {"executed": False, "reason": gate, "counts": None, "report": None}
-    with single_flight(spark, f"{state_root}/sync"):
-        book, before = open_ledger(spark, state_root, now)
+    with single_flight(spark, f"{state_root}/sync", lease) as held:
+        book, before = open_ledger(spark, state_root, now, getattr(sender, "find", None), held)
         current = entries_of is not None and entries_of == book.current()["number"]
         decided = ledger.decide(considered if current else considered.drop("ledger_entry"), before, gate).persist()
-        journal = Journal(spark, f"{state_root}/journal", RESULT)
+        journal = Journal(spark, f"{state_root}/journal", RESULT, lease=held)
         try:
             if gate is None:
                 tell("finance-start", {"considered": decided.count()})
-                outbound.send_each(decided.where("decision = 'send'"), sender, journal.add, lambda n: tell("finance-progress", {"sent": n}))
+                outbound.send_each(decided.where("decision = 'send'"), sender, journal.add, lambda n: tell("finance-progress", {"sent": n}), journal.intend, journal.check)
                 finished = ledger.with_results(decided, journal.read()).persist()
             else:
                 tell("finance-not-attempted", {"reason": gate})
@@ -296,8 +320,8 @@ def sync(
             counts = ledger.sync_counts(finished).first().asDict()
             paths = write_report(ledger.audit(finished, run_id, now).orderBy("dedupKey"), counts, run_id, report_folder, one_file)
             if journal.n:
-                _record(book, journal, now)
-                journal.drop()
+                _record(book, journal.name, journal.read(), now)
+            journal.drop()
             finished.unpersist()
             tell("finance-done", counts)
             return {"executed": gate is None, "reason": gate, "ok": gate is None and counts["failed"] == 0, "counts": counts, "report": paths}
@@ -306,6 +330,7 @@ def sync(
             raise
         finally:
             decided.unpersist()
+            book.close()
 
 
 def run_all(
@@ -343,8 +368,9 @@ def run_all(
     picked = [{"provider": a["provider"], "provider_account_id": a["providerAccountId"], "display_name": a.get("displayName"), "days_back": a.get("daysBack")} for a in chosen]
     entries, version = None, None
     if finance_mode == "sync":
-        book, entries = open_ledger(spark, state_root, now)
-        version = book.current()["number"]
+        # Only read: what earlier runs left behind is merged under the sync's own lease.
+        book = Bucketed(spark, f"{state_root}/ledger", LEDGER)
+        entries, version = book.read(), book.base
     result = run_accounts(spark, picked, sources, state_root, export_root, as_of, now, days_back=days, listener=listener, ledger_rows=entries, **options)
     statuses = spark.createDataFrame([(a["status"],) for a in result.accounts], "status string")
     fetched = ledger.fetch_succeeded(statuses).first().fetch_succeeded
@@ -355,6 +381,9 @@ def run_all(
         synced = sync(considered, state_root, report_folder, run_id, now, sender, gate, listener, entries_of=version)
     except Exception as error:  # noqa: BLE001 - a sync never aborts the run
         synced = {"executed": True, "ok": False, "error": str(error)}
+    finally:
+        if entries is not None:
+            book.close()
     return {"ok": True, "mode": "default" if mode == "default" else "all", "finance_mode": finance_mode, "days_back": days, "summary": result.summary, "accounts": result.accounts, "finance": synced}
 
 

@@ -15,11 +15,11 @@ from weirflow.functions import http, identity, text
 from weirflow.functions.retry import wait_ms
 from weirflow.operators import accounts, cdc, ledger, normalize, outbound, reports
 from weirflow.plans import pipeline
-from weirflow.schema import LEDGER, RAW, SEEN
+from weirflow.schema import LEDGER, RAW, SEEN, with_defaults
 from weirflow.sources.buckets import Bucketed
 from weirflow.sources.registry import Fetched, Registry, SourceAdapter
 from weirflow.sources.sinks import export_json, write_report
-from weirflow.sources.store import Busy, Checkpoints, Files, Journal, Versioned, shared_dir, single_flight
+from weirflow.sources.store import Checkpoints, Fenced, Files, Journal, Versioned, shared_dir
 from weirflow.sources.tables import TableSource, orders_raw, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -738,39 +738,46 @@ def ledger_versions(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def checkpoint_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """Checkpoints of some accounts, saved and loaded; one is cleared, one was never there."""
+    """Each account's rows written down as a first segment of a fetch, with where to go on; loaded and read again. One account is cleared."""
     kept = Checkpoints(s, f"{scratch_folder(s)}/checkpoints")
-    for r in table(s, d, "region").select("r_regionkey", "r_name").toLocalIterator():
-        kept.save("cal", r.r_name, r.r_regionkey + 1, [], [f"w{r.r_regionkey}"])
-    kept.clear("cal", "ASIA")
-    rows = []
-    for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "default"):
-        found = kept.load("cal", name)
-        rows.append((name, found and found["next_index"], found and ";".join(found["warnings"])))
-    return s.createDataFrame(rows, "account string, next_index bigint, warnings string")
+    raw, rows = orders_raw(s, d), []
+    names = [r[0] for r in raw.select("provider_account_id").distinct().orderBy("provider_account_id").limit(100).collect()]
+    for name in names:
+        folder = kept.rows_path()
+        raw.where(F.col("provider_account_id") == name).select("seq", "amount_raw").write.parquet(folder)
+        last = s.read.parquet(folder).agg(F.max("seq")).first()[0]
+        kept.save("cal", name, last + 1, [folder], [f"up to {last}"])
+    kept.clear("cal", "acct_2")
+    parts = []
+    for name in names:
+        if (found := kept.load("cal", name)) is not None:
+            segment = s.read.parquet(*found["rows"])
+            parts.append(segment.agg(F.lit(name).alias("account"), F.lit(found["next_index"]).cast("long").alias("next_index"), F.count("*").alias("rows"), F.sum("seq").alias("seqs"), F.lit(";".join(found["warnings"])).alias("warnings")))
+    return normalize.union_accounts(parts)
 
 
 @query
 def json_scan(s: SparkSession, d: str) -> DataFrame:
-    """An array of transactions in a file of JSON."""
+    """All transactions in files that hold an array each, of a thousand or less."""
     from weirflow.sources.files import load_transactions
 
-    path = f"{scratch_folder(s)}/t.json"
-    rows = _txn(s, d).where("seq % 50 = 0").select("seq", "merchant_name", "amount", "status")
-    Files(s).create(path, "[" + ",\n".join(json.dumps(r.asDict()) for r in rows.toLocalIterator()) + "]")
+    path = f"{scratch_folder(s)}/arrays"
+    rows = _txn(s, d).select("seq", F.struct("seq", "merchant_name", "amount", "status").alias("t"))
+    rows.groupBy(F.expr("seq div 1000").alias("file")).agg(F.to_json(F.collect_list("t"), {"pretty": "true"}).alias("value")).write.partitionBy("file").text(path)
     return load_transactions(s, path).select("seq", "merchant_name", "amount", "status")
 
 
 @query
 def valid_rows(s: SparkSession, d: str) -> DataFrame:
-    """A scan of JSON lines of which one in nine is broken: rows and warnings."""
+    """A scan of JSON lines of which one in nine is broken: rows within the look-back, and warnings."""
     from weirflow.sources.files import JsonLines
 
     path = f"{scratch_folder(s)}/lines"
     raw = orders_raw(s, d)
     raw.select(F.when(F.col("seq") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(*RAW.fieldNames()))).alias("value")).write.text(path)
-    got = JsonLines(path).fetch(s, AS_OF, 4)
-    return got.rows.agg(F.count("*").alias("rows"), F.sum("seq").alias("seqs")).crossJoin(got.warnings.agg(F.count("*").alias("warnings")))
+    got = JsonLines(path).fetch(s, AS_OF, 700)
+    both = got.rows.select("seq", F.lit(0).alias("bad")).unionByName(got.warnings.select(F.lit(None).cast("long").alias("seq"), F.lit(1).alias("bad")))
+    return both.agg(F.count("seq").alias("rows"), F.sum("seq").alias("seqs"), F.count_if(F.col("bad") == 1).alias("warnings"))
 
 
 @query
@@ -779,8 +786,8 @@ def journal_once(s: SparkSession, d: str) -> DataFrame:
     from weirflow.schema import RESULT
 
     journal = Journal(s, f"{scratch_folder(s)}/journal", RESULT)
-    for r in table(s, d, "nation").orderBy("n_nationkey").toLocalIterator():
-        journal.add({"provider": "cal", "provider_account_id": "default", "dedup_key": r.n_name, "seq": r.n_nationkey, "content_hash": "h", **outbound.outcome(422 if r.n_nationkey % 4 == 0 else 201, f"id{r.n_nationkey}")})
+    for r in table(s, d, "supplier").select("s_name", "s_suppkey").orderBy("s_suppkey").toLocalIterator():
+        journal.add({"provider": "cal", "provider_account_id": "default", "dedup_key": r.s_name, "seq": r.s_suppkey, "content_hash": "h", **outbound.outcome(422 if r.s_suppkey % 4 == 0 else 201, f"id{r.s_suppkey}")})
     empty = s.createDataFrame([], LEDGER)
     return ledger.merge(empty, ledger.attempts_of(journal.read()), F.lit(NOW).cast("timestamp")).select("dedup_key", "finance_status", "reason", "api_status", "finance_transaction_id", "attempts")
 
@@ -808,41 +815,100 @@ def audit_report(s: SparkSession, d: str) -> DataFrame:
     return s.read.json(path).groupBy("financeStatus", "reason").agg(F.count("*").alias("rows"), F.min("dedupKey").alias("first_key"))
 
 
-def local_folder() -> str:
-    """A fresh folder of the driver's; reports are for a person at the driver."""
-    import atexit
-    import shutil
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="weirflow-report-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
+def _descriptor() -> Column:
+    """Each customer's account descriptor, full of secrets, as JSON text; one in eleven can't be read."""
+    key = F.col("c_custkey")
+    day = F.when(key % 4 == 0, F.lit("1.5")).when(key % 4 == 1, F.lit('"7"')).otherwise((key % 400).cast("string"))
+    said = F.concat(
+        F.lit('{"provider": "'), F.col("c_mktsegment"), F.lit('", "accountId": " '), key.cast("string"), F.lit(' ", "displayName": "'), F.col("c_name"),
+        F.lit('", "isDefault": '), (key % 7 == 3).cast("string"), F.lit(', "enabled": '), F.when(key % 3 == 0, F.lit("false")).when(key % 3 == 1, F.lit('"false"')).otherwise(F.lit("true")),
+        F.lit(', "daysBack": '), day, F.lit(', "password": "secret", "credentials": {"username": "secret", "usernameEnv": "'), F.concat(F.lit("USER_"), F.col("c_nationkey").cast("string")),
+        F.lit('"}, "passwordEnv": " PASS_'), (key % 5).cast("string"), F.lit(' "}'),
+    )
+    return F.when(key % 11 == 0, F.lit("{broken")).otherwise(said)
 
 
 @query
 def account_sanitize(s: SparkSession, d: str) -> DataFrame:
-    """Stored form of account descriptors full of secrets, one for each nation."""
-    listed = [
-        {"provider": r.n_name, "accountId": f" {r.n_nationkey} ", "isDefault": r.n_nationkey in (5, 9), "password": "secret", "daysBack": r.n_nationkey if r.n_nationkey % 2 else 1.5, "enabled": r.n_nationkey % 3 != 0, "credentials": {"username": "secret", "usernameEnv": r.n_name}}
-        for r in table(s, d, "nation").orderBy("n_nationkey").toLocalIterator()
-    ]
-    kept = [(a["provider"], a["providerAccountId"], a["enabled"], a["default"], a.get("daysBack"), a["credentials"]["usernameEnv"], "secret" in json.dumps(a)) for a in accounts.stored_accounts(listed)]
-    return s.createDataFrame(kept, "provider string, account string, enabled boolean, is_default boolean, days_back bigint, username_env string, leaks boolean")
+    """The stored form of every customer's descriptor, one default a nation."""
+    rows = table(s, d, "customer").select("c_nationkey", F.col("c_custkey").alias("seq"), _descriptor().alias("data"))
+    stored = accounts.stored_table(rows, ("c_nationkey",))
+    return stored.withColumn("leaks", F.to_json(F.struct("*")).contains("secret"))
+
+
+@query
+def credentials_resolve(s: SparkSession, d: str) -> DataFrame:
+    """Names of variables in every customer's descriptor, looked up among the nations' variables."""
+    rows = table(s, d, "customer").select("c_nationkey", F.col("c_custkey").alias("seq"), _descriptor().alias("data"))
+    direct = F.when(F.col("seq") % 6 == 0, F.concat(F.lit("own"), F.col("seq").cast("string")))
+    env = table(s, d, "nation").where("n_nationkey <> 4").select(F.explode(F.array(F.struct(F.concat(F.lit("USER_"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("value")), F.struct(F.concat(F.lit("PASS_"), F.col("n_nationkey").cast("string")).alias("name"), F.lower("n_name").alias("value")))).alias("e")).select("e.*")
+    found = accounts.resolved(accounts.stored_table(rows, ("c_nationkey",)).withColumn("username", direct), env)
+    return found.select("seq", "username", "password")
+
+
+def _settings(s: SparkSession, d: str) -> DataFrame:
+    """A settings file for each customer: an object, a bare list of accounts, one without accounts, a broken one."""
+    key, one = F.col("c_custkey"), F.when(F.col("c_custkey") % 11 == 0, F.lit("{}")).otherwise(_descriptor())
+    listed = F.concat(F.lit("["), one, F.lit(', {"provider": "MAX", "providerAccountId": "second", "default": '), (key % 2 == 0).cast("string"), F.lit("}]"))
+    whole = F.concat(F.lit('{"daysBack": '), (key % 500 - 50).cast("string"), F.lit(', "accounts": '), listed, F.lit(', "finance": {"enabled": '), (key % 3 == 0).cast("string"), F.lit(', "apiUrl": " https://x/'), key.cast("string"), F.lit(' ", "apiKey": "secret"}}'))
+    data = F.when(key % 10 == 0, F.lit("{broken")).when(key % 10 == 1, listed).when(key % 10 == 2, F.lit('{"daysBack": 9, "accounts": []}')).otherwise(whole)
+    return table(s, d, "customer").select(key.cast("string").alias("name"), data.alias("data"))
 
 
 @query
 def account_load(s: SparkSession, d: str) -> DataFrame:
-    """Descriptors from the environment, in normal form."""
-    from weirflow.sources.files import account_frame, load_accounts
+    """The accounts that all settings files list, in normal form."""
+    v = F.col("_v")
+    listed = accounts.listed_in(_settings(s, d), "name").withColumn("_v", F.try_parse_json("data"))
+    form = accounts.stored_form(v)
+    raw = listed.select("name", "seq", *[form[c].alias(c) for c in ("provider", "provider_account_id", "enabled")], F.nullif(form["display_name"], F.lit("")).alias("display_name"), F.lit(None).cast("string").alias("account_id"), form["is_default"].alias("default"), F.lit(False).alias("is_default"), form["days_back"].cast("double").alias("days_back"))
+    return accounts.normalize_accounts(raw.withColumn("seq", F.col("name").cast("long") * 10 + F.col("seq")))
+
+
+@query
+def settings_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """All settings files in stored form, written, and read again; the days back that can't be used are left out."""
+    files, path = _settings(s, d), f"{scratch_folder(s)}/settings"
+    v = F.col("_v")
+    days = accounts.valid_days_back(F.try_variant_get(v, "$.daysBack", "string"))
+    listed = accounts.stored_table(accounts.listed_in(files, "name"), ("name",)).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "provider", "provider_account_id", "is_default", "days_back", "username_env"))).alias("accounts"))
+    stored = files.withColumn("_v", F.try_parse_json("data")).select("name", days.alias("days_back"), *[c.alias(n) for n, c in accounts.finance_form(v).items()]).join(listed, "name", "left")
+    stored.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    again = s.read.schema("name string, days_back int, finance_enabled boolean, api_url string, finance_credential_key string, accounts array<struct<seq: bigint, provider: string, provider_account_id: string, is_default: boolean, days_back: bigint, username_env: string>>").json(path)
+    first = F.filter("accounts", lambda a: a["is_default"])[0]
+    leaks = s.read.text(path).where(F.col("value").contains("secret")).select(F.get_json_object("value", "$.name").alias("name"), F.lit(True).alias("_leaks"))
+    return again.join(leaks, "name", "left").select("name", "days_back", "finance_enabled", "api_url", "finance_credential_key", F.coalesce(F.size("accounts"), F.lit(0)).alias("accounts"), first["provider_account_id"].alias("default_account"), first["username_env"].alias("username_env"), F.coalesce("_leaks", F.lit(False)).alias("leaks"))
 
-    listed = [{"provider": "CAL", "providerAccountId": r.r_name, "default": r.r_regionkey == 2, "daysBack": r.r_regionkey + 1} for r in table(s, d, "region").orderBy("r_regionkey").toLocalIterator()]
-    return accounts.normalize_accounts(account_frame(s, load_accounts(None, {"SOURCE_ACCOUNTS": json.dumps({"accounts": listed})})))
+
+@query
+def registry_resolve(s: SparkSession, d: str) -> DataFrame:
+    """Which source every customer's provider means."""
+    sources = Registry()
+    for name in ("Building", "MACHINERY", "machinery", "tables"):
+        sources.register(name, TableSource)
+    return sources.resolve(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment").select("c_custkey", "source")
+
+
+@query
+def post_requests(s: SparkSession, d: str) -> DataFrame:
+    """What is posted for every qualifying row, read back from its JSON."""
+    sent = outbound.requests(_keyed(s, d))
+    read = F.from_json("body", "type string, amount double, date string, description string, charge_date string, payment_source_name string, currency string, original_amount double, external_id string")
+    return sent.select("seq", read.alias("p")).select("seq", "p.type", "p.amount", "p.date", "p.description", "p.payment_source_name", "p.currency", "p.original_amount", "p.external_id")
+
+
+@query
+def post_messages(s: SparkSession, d: str) -> DataFrame:
+    """What is told of answers that refuse, whose bodies are the documents."""
+    key = F.col("doc_id")
+    status = F.when(key % 5 == 0, F.lit(None).cast("int")).when(key % 5 == 1, 422).otherwise(500)
+    return table(s, d, "documents").select("doc_id", outbound.failure_message(status, F.col("text"), SECRETS).alias("message"))
 
 
 @query
 def send_all_or_stop(s: SparkSession, d: str) -> DataFrame:
     """A dry run, a run that sends all, and one that the 5th answer stops."""
-    rows = _txn(s, d).where("seq % 100 = 0")
+    rows = _txn(s, d)
     dry, sent = pipeline.run_export(rows), pipeline.run_export(rows, lambda p: (201, None), dry_run=False)
     calls: list[int] = []
     try:
@@ -856,25 +922,43 @@ def send_all_or_stop(s: SparkSession, d: str) -> DataFrame:
 @query
 def sync_not_attempted(s: SparkSession, d: str) -> DataFrame:
     """A sync behind each gate: nothing is sent; a fetch-only run hasn't even a report."""
-    rows, folder = _classified(s, d).where("seq % 100 = 0"), scratch_folder(s)
+    rows, folder = _classified(s, d), scratch_folder(s)
     out = []
     for gate in (ledger.FETCH_ONLY, *ledger.GATES):
-        got = pipeline.sync(rows, f"{folder}/state", local_folder(), "r", NOW, lambda p: (201, None), gate)
+        got = pipeline.sync(rows, f"{folder}/state", f"{folder}/reports", "r", NOW, lambda p: (201, None), gate, one_file=False)
         out.append((gate, got["executed"], got["reason"], got["counts"] and got["counts"]["not_attempted"], got["report"] is not None))
     return s.createDataFrame(out, "gate string, executed boolean, reason string, not_attempted bigint, reported boolean")
 
 
 @query
 def one_run_at_a_time(s: SparkSession, d: str) -> DataFrame:
-    """A second run on the same state is turned away, one on another state or after the first isn't."""
-    folder, got = scratch_folder(s), []
-    for second, during in (("a", True), ("b", True), ("a", False)):
-        try:
-            with single_flight(s, f"{folder}/a") if during else contextlib.nullcontext(), single_flight(s, f"{folder}/{second}"):
-                got.append((second, during, True))
-        except Busy:
-            got.append((second, during, False))
-    return s.createDataFrame(got, "root string, during boolean, ran boolean")
+    """All customers' balances sent by two runs that overlap: half way through, the first one's lease has run out, and a second
+    run takes over. Who sent each row, and what the ledger has of it once a third run has found what came late."""
+    folder = scratch_folder(s)
+    balance = F.col("c_acctbal").cast("double")
+    rows = with_defaults(table(s, d, "customer").select(F.col("c_custkey").alias("seq"), F.lit("cal").alias("provider"), F.col("c_mktsegment").alias("provider_account_id"), F.col("c_name").alias("dedup_key"), F.lit("completed").alias("status"), balance.alias("charge_amount"), balance.alias("amount")))
+    rows = rows.withColumns({c: F.lit("") for c in ("amount_raw", "charge_amount_raw")} | {"local_dedup_status": F.lit("new"), "content_hash": F.md5("dedup_key")})
+    written_rows = f"{folder}/rows"
+    rows.write.parquet(written_rows)
+    rows = s.read.parquet(written_rows)
+    half, sent = rows.where(outbound.should_send()).count() // 2, []
+    run = lambda name, sender: pipeline.sync(rows, f"{folder}/state", f"{folder}/reports", name, NOW, sender, one_file=False, lease=-1)
+
+    def second(p: dict) -> tuple:
+        sent.append((p["external_id"], "second"))
+        return 201, None
+
+    def first(p: dict) -> tuple:
+        sent.append((p["external_id"], "first"))
+        if len(sent) == half:
+            run("second", second)
+        return 201, None
+
+    with contextlib.suppress(Fenced):
+        run("first", first)
+    run("third", lambda p: 1 / 0)
+    book = Bucketed(s, f"{folder}/state/ledger", LEDGER).read().select("dedup_key", "finance_status")
+    return book.join(s.createDataFrame(sent, "dedup_key string, sent_by string"), "dedup_key", "full_outer")
 
 
 @query

@@ -39,8 +39,8 @@ class Bucketed(Versioned):
     A state that was written in one piece is read as it is, and put into buckets by the next write.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, buckets: int | None = None, keep: int = 3) -> None:
-        super().__init__(spark, root, schema, keep)
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, buckets: int | None = None, keep: int = 3, lease: Any = None) -> None:
+        super().__init__(spark, root, schema, keep, lease)
         self._wanted, self._tables = buckets, []
 
     def _wants(self) -> int:
@@ -132,7 +132,7 @@ class Bucketed(Versioned):
         if now["folder"] is None and now["number"] == 0:
             self.files.create(f"{self.root}/pointers/0", json.dumps({"number": 0, "folder": None, "notes": {}}))
         number = number or max([*self._numbers(), 0]) + 1
-        told = json.dumps({"number": number, "folder": folder, "buckets": n, "folders": folders, "notes": now["notes"] | (notes or {})})
+        told = json.dumps({"number": number, "folder": folder, "buckets": n, "folders": folders, "notes": now["notes"] | (notes or {})} | self._fence(now))
         if self.current()["number"] != now["number"] or not self.files.create(f"{self.root}/pointers/{number}", told):
             if folder and folder != now["folder"]:
                 self.files.delete(f"{self.root}/{folder}")

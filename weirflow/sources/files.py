@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.functions.text import parse_date
 from weirflow.operators.accounts import DAYS_BACK_DEFAULT, sanitize_finance, stored_accounts, validate_days_back
+from weirflow.operators.normalize import look_back
 from weirflow.schema import RAW, TXN
 from weirflow.sources.registry import Fetched, SourceAdapter, registry
 from weirflow.sources.sinks import write_text
@@ -146,8 +148,10 @@ class JsonLines(SourceAdapter):
         return self.fetch(spark, as_of, days_back).rows
 
     def fetch(self, spark: SparkSession, as_of: str, days_back: int, start_index: int = 0) -> Fetched:
+        """Rows of the look-back by the date in ``transaction_ts_raw``; the filter comes before anything is kept of a row."""
         rows, warnings = read_valid(spark, self.path, RAW)
-        return Fetched(rows.where(F.col("seq") >= start_index), warnings.select(F.concat(F.lit("row skipped: "), F.substring("warning", 1, 80)).alias("warning")))
+        recent = look_back(rows.withColumn("_date", parse_date(F.col("transaction_ts_raw"))), as_of, days_back, "_date").drop("_date")
+        return Fetched(recent.where(F.col("seq") >= start_index), warnings.select(F.concat(F.lit("row skipped: "), F.substring("warning", 1, 80)).alias("warning")))
 
 
 registry.register(JsonLines.name, JsonLines)

@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -60,6 +61,11 @@ class Registry:
             raise UnknownSource(f"unknown source {name!r}; known: {', '.join(self.names()) or 'none'}")
         return self._classes[name.lower()](*args, **options)
 
+    def resolve(self, rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with ``source``: the registered name that ``column`` means, whatever its case; null for none."""
+        name = F.lower(F.col(column))
+        return rows.withColumn("source", F.when(name.isin(self.names() or [""]), name))
+
     def has(self, name: str) -> bool:
         return name.lower() in self._classes
 

@@ -8,11 +8,8 @@ from __future__ import annotations
 
 import contextlib
 import json
-import os
-import socket
 import time
 import uuid
-from collections.abc import Iterator
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -59,15 +56,28 @@ class Files:
         """Write a file; False if it is there already and isn't to be replaced."""
         fs, p = self._at(path)
         try:
-            stream = fs.create(p, replace)
+            if replace or not self._conditional(p):
+                stream = fs.create(p, replace)
+            else:
+                stream = fs.createFile(p).overwrite(False).recursive().opt("fs.option.create.conditional.overwrite", "true").build()
         except Exception:
             if not replace and fs.exists(p):
                 return False
             raise
         stream.write(bytearray(text.encode()))
-        stream.close()
+        try:
+            stream.close()
+        except Exception:
+            if not replace and fs.exists(p):  # a conditional put that came second
+                return False
+            raise
         return True
 
+    @staticmethod
+    def _conditional(p: Any) -> bool:
+        """Object stores whose plain create looks first and puts later."""
+        return p.toUri().getScheme() in ("s3a", "s3", "s3n")
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -77,6 +87,23 @@ class Files:
         fs.deleteOnExit(p)
 
 
+class Busy(RuntimeError):
+    """Another run is under way."""
+
+
+class Fenced(RuntimeError):
+    """Another run has taken over; this one may do nothing more that counts."""
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which goes with the session: what is read twice is the same both times."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weirflow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    Files(spark).delete_on_exit(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Moved(RuntimeError):
     """Another run has moved the state on since it was read."""
 
@@ -91,10 +118,11 @@ class Versioned:
     ``pointers/n`` names the folder of version n and holds its notes; it is written after the folder is whole, in one go, and
     is never changed, so at every moment the highest pointer that reads as JSON is the state. Pointer 0, without a folder,
     is made before the first version. A version rests on the one that was read; if another has come since, ``Moved`` is raised.
+    With a ``lease`` (``lease.Lease``) the pointer holds its number, and a run that another has taken over from makes none.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keep: int = 3) -> None:
-        self.spark, self.root, self.schema, self.keep, self.files = spark, root.rstrip("/"), schema, keep, Files(spark)
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keep: int = 3, lease: Any = None) -> None:
+        self.spark, self.root, self.schema, self.keep, self.files, self.lease = spark, root.rstrip("/"), schema, keep, Files(spark), lease
         self.base: int | None = None  # the version that was read last, on which the next one rests
 
     def _pointer(self, n: int) -> dict[str, Any] | None:
@@ -139,7 +167,7 @@ class Versioned:
         number = max([*self._numbers(), 0]) + 1
         folder = f"v-{number:010d}-{uuid.uuid4().hex}"
         rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.parquet(f"{self.root}/{folder}")
-        told = json.dumps({"number": number, "folder": folder, "notes": now["notes"] | (notes or {})})
+        told = json.dumps({"number": number, "folder": folder, "notes": now["notes"] | (notes or {})} | self._fence(now))
         if self.current()["number"] != now["number"] or not self.files.create(f"{self.root}/pointers/{number}", told):
             self.files.delete(f"{self.root}/{folder}")
             raise Moved(f"{self.root}: another run has written version {number}")
@@ -147,6 +175,15 @@ class Versioned:
         self._tidy(number)
         return folder
 
+    def _fence(self, now: dict[str, Any]) -> dict[str, int]:
+        """What a pointer says of the lease; ``Fenced`` where the lease has gone, or a later one has written already."""
+        if self.lease is None:
+            return {"fence": now["fence"]} if "fence" in now else {}
+        self.lease.check()
+        if now.get("fence", 0) > self.lease.number:
+            raise Fenced(f"{self.root}: written under a later lease")
+        return {"fence": self.lease.number}
+
     def _tidy(self, number: int) -> None:
         held = {p["folder"] for n in self._numbers()[: self.keep] if (p := self._pointer(n))}
         for name in self.files.names(self.root):
@@ -157,20 +194,42 @@ class Versioned:
 
 
 class Journal:
-    """What each send of a run brought, a small file at once, gathered into larger ones now and then.
+    """What each send of a run brought, a small file at once, gathered into larger ones now and then; and, before that, what
+    is about to be sent.
 
-    A journal that is there when a run starts is of a run that didn't come to its end: ``leftovers`` finds it.
+    Sends are made in the order of their intents, one at a time, and each outcome is noted before the next send. So of a run
+    that was cut off at most one send is in doubt: the first intended one without an outcome. A journal that is there when a
+    run starts is of a run that didn't come to its end: ``leftovers`` finds it.
     """
 
     GATHER = 200
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, name: str | None = None) -> None:
-        self.spark, self.root, self.schema, self.files = spark, root.rstrip("/"), schema, Files(spark)
-        self.name = name or f"j-{uuid.uuid4().hex}"
-        self.path, self.n, self.held = f"{self.root}/{self.name}", 0, []
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, name: str | None = None, lease: Any = None) -> None:
+        self.spark, self.root, self.schema, self.files, self.lease = spark, root.rstrip("/"), schema, Files(spark), lease
+        self.n, self.intended, self.held = 0, 0, []
+        self._named(name or f"j-{uuid.uuid4().hex}")
+
+    def _named(self, name: str) -> None:
+        self.name, self.path, self.intents = name, f"{self.root}/{name}", f"{self.root}/i-{name}"
+
+    def intend(self, rows: list[dict[str, Any]]) -> None:
+        """Note what is about to be sent, up to ``GATHER`` rows or so at once: their keys, in order."""
+        lines = [json.dumps({"n": self.intended + i} | r, ensure_ascii=False) for i, r in enumerate(rows)]
+        self.files.create(f"{self.intents}/{self.intended:012d}.json", "".join(f"{x}\n" for x in lines), replace=True)
+        self.intended += len(rows)
+
+    def check(self) -> None:
+        """Raise ``Fenced`` if another run has taken over: asked before each send."""
+        if self.lease is not None:
+            self.lease.check()
 
     def add(self, outcome: dict[str, Any]) -> None:
-        line = json.dumps(outcome, ensure_ascii=False)
+        """The outcome of the next send. One that comes after another run has taken over goes into a journal of its own, as
+        this one was read already."""
+        if self.lease is not None and not self.lease.held():
+            self.held = []
+            self._named(f"j-{uuid.uuid4().hex}")
+        line = json.dumps(outcome | {"n": self.n}, ensure_ascii=False)
         self.files.create(f"{self.path}/one-{self.n:012d}.json", line + "\n", replace=True)
         self.held.append((self.n, line))
         self.n += 1
@@ -184,47 +243,41 @@ class Journal:
             self.files.delete(f"{self.path}/one-{n:012d}.json")
         self.held = []
 
-    def read(self) -> DataFrame:
-        """The outcomes, each once; a line cut short by a crash is left out."""
+    def _outcomes(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("n", T.LongType())])
         if not any(x.endswith(".json") for x in self.files.names(self.path)):
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.createDataFrame([], schema)
         try:
-            return self.spark.read.schema(self.schema).option("mode", "DROPMALFORMED").json(self.path).distinct()
+            return self.spark.read.schema(schema).option("mode", "DROPMALFORMED").json(self.path)
         except AnalysisException:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame:
+        """The outcomes, each once; a line cut short by a crash is left out."""
+        return self._outcomes().drop("n").distinct()
+
+    def in_doubt(self) -> dict[str, Any] | None:
+        """The send that may or may not have been made: the first intended one without an outcome."""
+        done = self._outcomes().agg(F.max("n")).first()[0]
+        done = -1 if done is None else done
+        for name in self.files.names(self.intents):
+            for line in (self.files.read(f"{self.intents}/{name}") or "").splitlines():
+                try:
+                    row = json.loads(line)
+                except ValueError:  # cut short while it was written: no send followed
+                    return None
+                if row.pop("n") == done + 1:
+                    return row
+        return None
 
     def drop(self) -> None:
         self.files.delete(self.path)
+        self.files.delete(self.intents)
 
     @classmethod
     def leftovers(cls, spark: SparkSession, root: str, schema: T.StructType) -> list[Journal]:
-        return [cls(spark, root, schema, x) for x in Files(spark).names(root) if x.startswith("j-")]
-
-
-class Busy(RuntimeError):
-    """Another run is under way."""
-
-
-@contextlib.contextmanager
-def single_flight(spark: SparkSession, root: str, lease: float = 6 * 3600) -> Iterator[None]:
-    """One run at a time on a state root, whichever driver it is on. A second one is turned away, not queued.
-
-    The lock is a file made only if it isn't there. One older than ``lease`` seconds is of a driver that was lost, and is
-    taken over; should its run still be alive, the numbered pointers refuse its state.
-    """
-    files, path = Files(spark), f"{root.rstrip('/')}/lock"
-    owner = f"{socket.gethostname()} {os.getpid()} {uuid.uuid4().hex}"
-    if not files.create(path, owner):
-        if files.age(path) < lease:
-            raise Busy(f"a run is already under way: {path}")
-        files.delete(path)
-        if not files.create(path, owner):
-            raise Busy(f"a run is already under way: {path}")
-    try:
-        yield
-    finally:
-        if files.read(path) == owner:
-            files.delete(path)
+        names = {x.removeprefix("i-") for x in Files(spark).names(root) if x.startswith(("j-", "i-j-"))}
+        return [cls(spark, root, schema, x) for x in sorted(names)]
 
 
 class Checkpoints:
