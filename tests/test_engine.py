@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -562,6 +563,49 @@ def test_one_shuffle_says_what_the_joins_say(spark):
     assert pick(cdc.keyed_against(rows, state, full_fetch=True)) == pick(cdc.against_seen(keyed, state, full_fetch=True))
 
 
+def test_accounts_are_fetched_side_by_side(spark, tmp_path):
+    import threading
+
+    together, busy, most = threading.Barrier(3, timeout=60), [], []
+
+    class Slow(Fixed):
+        def read(self, spark, as_of, days_back):
+            busy.append(1)
+            most.append(len(busy))
+            if self.rows:
+                together.wait()  # passes only if three are under way at once
+            busy.pop()
+            return super().read(spark, as_of, days_back)
+
+    sources = Registry()
+    for i in range(6):
+        sources.register(f"p{i}", type(f"P{i}", (Slow,), {"__init__": lambda self, i=i: Fixed.__init__(self, [ROW | {"seq": 0, "amount_raw": f"${i}"}] if i < 3 else None)}))
+    events = []
+    names = [f"p{i}" for i in range(6)]
+    out = pipeline.run_accounts(spark, listed(*names), sources, str(tmp_path / "a"), None, "2026-06-01", STAMP, listener=lambda kind, said: events.append((kind, said["provider"])), parallel=3)
+    assert [a["status"] for a in out.accounts] == ["success"] * 3 + ["failed"] * 3 and out.considered.count() == 3
+    assert max(most) == 3 and [p for kind, p in events if kind in ("fetched", "account-error")] == names
+    busy.clear()
+    most.clear()
+    out = pipeline.run_accounts(spark, listed("p3", "p3", "p4"), sources, str(tmp_path / "b"), None, "2026-06-01", STAMP, parallel=1)
+    assert max(most) == 1 and [a["error"] for a in out.accounts] == ["portal is down", "the account is listed twice", "portal is down"]
+
+
+def test_plan_is_the_same_for_three_accounts_and_three_hundred(spark, tmp_path):
+    marked = normalize.mark_pending(raw(spark, [ROW | {"seq": 0, "amount_raw": "$1"}]))
+    rows = normalize.stamp_source(cdc.hashed(normalize.normalize(marked, "CAL", keep=("pending_marker",))), "a", "A", "cal")
+    folders = []
+    for i in range(300):
+        folders.append(str(tmp_path / str(i)))
+        if i:
+            os.makedirs(folders[-1])
+    rows.write.parquet(folders[0])  # as an earlier release did, without a segment
+    plans = [cdc.keyed_against(pipeline.landed(spark, folders[:n]), None, None, ("segment", "seq"))._jdf.queryExecution().optimizedPlan().toString() for n in (3, 300)]
+    assert plans[0].count("\n") == plans[1].count("\n")
+    got = pipeline.landed(spark, folders).collect()
+    assert len(got) == 1 and got[0].segment == 0
+
+
 def test_settings(tmp_path):
     path = str(tmp_path / "deep/accounts.json")
     stored = save_settings({"daysBack": "7", "accounts": [{"provider": "CAL", "password": "p", "providerAccountId": " a "}, {"default": True}, {"default": True}], "finance": {"enabled": True, "apiKey": "secret"}}, path)

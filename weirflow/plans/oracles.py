@@ -210,6 +210,7 @@ ORACLES = {
         when 11 then '✖ Finance sync — boom' end as line from named""",
     "export_path": "select o_orderkey, 'out/cal' || case when o_custkey % 2 = 0 then '' else '_' || o_custkey end || '_' || strftime(o_orderdate, '%Y-%m-%d') || '.json' as path from orders",
     "warnings_concat": "select o_orderkey, case when o_orderkey % 3 = 0 then 'earlier;' else '' end || o_orderpriority as warnings from orders",
+    "landing_scan": f"with {_CLASSIFIED} select seq, provider_account_id, local_dedup_status from classified",
     "account_union": f"with {_CLASSIFIED} select seq, provider_account_id, local_dedup_status from classified",
     "capture_stream": f"with {_KEYED} select seq, dedup_key, 'new' as local_dedup_status from keyed",
     "capture_final": f"with {_FINAL} select seq, dedup_key, local_dedup_status from classified",

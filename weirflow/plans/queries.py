@@ -621,6 +621,20 @@ def account_union(s: SparkSession, d: str) -> DataFrame:
     return cdc.keyed_against(normalize.union_accounts(parts), _seen(s, d)).select("seq", "provider_account_id", "local_dedup_status")
 
 
+@query
+def landing_scan(s: SparkSession, d: str) -> DataFrame:
+    """Each account's rows written down by its own fetch, and classified from one scan of all that was."""
+    folder = scratch_folder(s)
+    names = [r[0] for r in orders_raw(s, d).select("provider_account_id").distinct().orderBy("provider_account_id").limit(100).collect()]
+    for name in names:
+        rows = normalize.mark_pending(orders_raw(s, d).where(F.col("provider_account_id") == name).withColumn("panel_text", F.lit("")).select(*RAW.fieldNames()))
+        rows = cdc.hashed(normalize.normalize(rows, "CAL", keep=("pending_marker",)))
+        normalize.stamp_source(rows, name, name, "cal").withColumn("segment", F.lit(0)).write.parquet(f"{folder}/{name}")
+    state = _in_buckets(s, d, "seen")
+    txn = pipeline.landed(s, [f"{folder}/{name}" for name in names])
+    return cdc.keyed_against(txn, state.read(state.touched(txn)), None, ("segment", "seq"), buckets=state.buckets).select("seq", "provider_account_id", "local_dedup_status")
+
+
 # Runs
 
 
