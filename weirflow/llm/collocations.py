@@ -119,6 +119,11 @@ def _packed(raw: bytes) -> bytes:
     return pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, those of the lowest place first: most of the others are zero, and pack to nothing."""
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _unpacked(packed: bytes, n: int) -> bytes:
     return pa.Codec("zstd").decompress(packed, n, asbytes=True)
 
@@ -141,7 +146,7 @@ def _sketch(texts: DataFrame, longest: int, least: int, bits: int, chunk: int) -
                 times = np.minimum(times, least).astype(np.uint8)
                 cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << segment))
                 rows = [((row << (bits - segment)) + s, cells[a:b], times[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                packed = [np.diff(c - (c[0] >> segment << segment), prepend=0).astype(np.uint32).tobytes() + t.tobytes() for _, c, t in rows]
+                packed = [_planes(np.diff(c - (c[0] >> segment << segment), prepend=0).astype(np.uint32)) + t.tobytes() for _, c, t in rows]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([len(p) for p in packed], pa.int32()), pa.array([_packed(p) for p in packed], pa.binary())], names=["segment", "salt", "n", "cells"])
 
@@ -161,7 +166,7 @@ def _sketch(texts: DataFrame, longest: int, least: int, bits: int, chunk: int) -
                         now, sums = (seg, salt), np.zeros(1 << segment, np.uint8)
                     raw = np.frombuffer(_unpacked(cells, n), np.uint8)
                     if dense or salts == 1:
-                        at = np.cumsum(raw[: n // 5 * 4].view(np.uint32), dtype=np.int64)
+                        at = np.cumsum(raw[: n // 5 * 4].reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.int64)
                         sums[at] = np.minimum(sums[at] + raw[n // 5 * 4 :], least)
                     else:
                         sums = np.minimum(sums + raw, least)

@@ -230,6 +230,8 @@ ORACLES = {
     "ledger_load": "select 'cal' as provider, c_custkey::varchar as provider_account_id, 'k' || c_custkey as dedup_key, 'sent' as finance_status, 'h' || c_custkey as content_hash, 201 as api_status, '2026-01-02 03:04:05' as sent_at, 2 as attempts from customer where c_custkey % 4 <> 0",
     "state_versions": f"with {_SEEN} select provider, provider_account_id, dedup_key, content_hash, '2025-12-01 00:00:00' as last_seen_at from seen",
     "ledger_versions": f"with {_LEDGER} select provider, provider_account_id, dedup_key, finance_status, api_status, finance_transaction_id, 1 as attempts from ledger",
+    "statement_source": f"""with {_RAW} select seq, ts_raw as transaction_ts_raw, null::varchar as warning from raw where {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d') and seq >= 1000 and seq % 9 <> 0
+        union all select null, null, 'row skipped: {{broken ' || seq from raw where seq % 9 = 0""",
     "table_source": f"with {_RAW} select seq, ts_raw as transaction_ts_raw from raw where {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d')",
     "export_roundtrip": f"with {_CLASSIFIED} select provider, provider_account_id, '2026-01-02' as export_date, count(*) as rows, count(distinct dedup_key) as keys from classified where kind <> 'unchanged' group by 1, 2",
     "audit_report": f"""with {_FINISHED} select finance_status as "financeStatus", reason, count(*) as rows, min(dedup_key) as first_key from finished group by 1, 2""",

@@ -806,6 +806,18 @@ def journal_once(s: SparkSession, d: str) -> DataFrame:
     return ledger.merge(empty, ledger.attempts_of(journal.read()), F.lit(NOW).cast("timestamp")).select("dedup_key", "finance_status", "reason", "api_status", "finance_transaction_id", "attempts")
 
 
+@query
+def statement_source(s: SparkSession, d: str) -> DataFrame:
+    """Raw rows as JSON lines, one in nine broken, read through the data source from a resume index on, within the look-back; with warnings."""
+    from weirflow.sources.connector import PUSH_DOWN, StatementSource
+
+    s.conf.set(PUSH_DOWN, "true")
+    path = f"{scratch_folder(s)}/lines"
+    orders_raw(s, d).select(F.when(F.col("seq") % 9 == 0, F.concat(F.lit("{broken "), F.col("seq").cast("string"))).otherwise(F.to_json(F.struct(*RAW.fieldNames()))).alias("value")).write.text(path)
+    got = StatementSource(path).fetch(s, AS_OF, 700, 1000)
+    return got.rows.select("seq", "transaction_ts_raw", F.lit(None).cast("string").alias("warning")).unionByName(got.warnings.select("warning"), allowMissingColumns=True)
+
+
 @query
 def table_source(s: SparkSession, d: str) -> DataFrame:
     """The rows of an adapter within the look-back."""
