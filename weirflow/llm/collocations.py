@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from weirflow.llm.bytehash import FACTOR, Sums, U, mixed
 from weirflow.llm.common import bounded, materialize, released, trim
 
-#: Bytes of a chunk, rows of the sketch, cells of a segment (bits), most cells of a row.
-CHUNK, ROWS, SEGMENT, MOST_CELLS = 3 << 20, 2, 20, 1 << 27
+#: Bytes of a chunk, rows of the sketch, cells of a segment (bits), most cells of a row, cells that are counted at once.
+CHUNK, ROWS, SEGMENT, MOST_CELLS, HELD = 3 << 20, 2, 20, 1 << 27, 6_000_000
 UNKNOWN = "und"
 #: Characters that spell a word in the automaton, where the alphabet of each begins, the character of a piece's end.
 DIGITS, ALPHABETS, GUARD = 3, (0x100, 0x1100, 0x2100), 1
@@ -138,17 +138,29 @@ def _sketch(texts: DataFrame, longest: int, least: int, bits: int, chunk: int) -
 
     def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = TaskContext.get().partitionId() % salts
+
+        def counted(row: int, found: list[np.ndarray]) -> pa.RecordBatch:
+            cells, times = np.unique(np.concatenate(found), return_counts=True)
+            times = np.minimum(times, least).astype(np.uint8)
+            cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << segment))
+            rows = [((row << (bits - segment)) + s, cells[a:b], times[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            packed = [_planes(np.diff(c - (c[0] >> segment << segment), prepend=np.uint32(0))) + t.tobytes() for _, c, t in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([len(p) for p in packed], pa.int32()), pa.array([_packed(p) for p in packed], pa.binary())], names=["segment", "salt", "n", "cells"])
+
+        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         for lang, raw in _chunks(batches, chunk):
             words = Chunk(lang, raw)
             hashes = np.concatenate([words.phrases(n)[1] for n in range(1, longest + 1)])
             for row in range(ROWS):
-                cells, times = np.unique(_cells(hashes, row, bits), return_counts=True)
-                times = np.minimum(times, least).astype(np.uint8)
-                cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << segment))
-                rows = [((row << (bits - segment)) + s, cells[a:b], times[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                packed = [_planes(np.diff(c - (c[0] >> segment << segment), prepend=0).astype(np.uint32)) + t.tobytes() for _, c, t in rows]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([len(p) for p in packed], pa.int32()), pa.array([_packed(p) for p in packed], pa.binary())], names=["segment", "salt", "n", "cells"])
+                held[row].append(_cells(hashes, row, bits).astype(np.uint32))
+            del words, hashes
+            if sum(map(len, held[0])) >= HELD:
+                for row in range(ROWS):
+                    yield counted(row, held[row])
+                    held[row] = []
+        if any(map(len, held[0])):
+            for row in range(ROWS):
+                yield counted(row, held[row])
 
     def add_up(dense: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
