@@ -33,7 +33,7 @@ ROWS = [
     (8, "one two three four five six seven", "en", "c", 33),
     (-9, "x\x00y z", "en", "c", 5),
 ]
-EXTRA = ["_key", "_cell", "_row", "score", "spans", "rank", "node", "bucket", "_part", "n_bytes", "_letters", "task"]
+EXTRA = ["_key", "_cell", "_row", "score", "spans", "rank", "node", "bucket", "_part", "n_bytes", "_letters", "task", "a`b", "c.d"]
 
 
 @pytest.fixture(params=["odd", "empty", "clashing"])

@@ -572,6 +572,49 @@ def test_samples_hold_at_any_share(spark):
     assert spark.range(1_000_000).where(common.hash_below(1e-4, F.col("id"))).count() in range(50, 160)
 
 
+def test_a_language_whose_rows_repeat_is_learned(spark):
+    """Many copies of one of its texts, under doc_ids of their own or not, don't crowd out a language's other texts."""
+    rng = random.Random(11)
+    words = {"de": "der die das und ist nicht mit ein auf von zu haus wald strasse kinder schule".split(), "en": "the and is not with one on from to house wood street children school go".split(), "fr": "le la les et est pas avec un sur de maison bois rue enfants ecole aller".split()}
+    texts = [(f"{' '.join(rng.choice(words[lang]) for _ in range(12))}", lang) for lang in words for _ in range(129)]
+    rows = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    copies = spark.range(40_000).select((F.col("id") + 1000).alias("doc_id"), F.lit(texts[0][0]).alias("text"), F.lit("de").alias("lang"))
+    same = copies.withColumn("doc_id", F.lit(0).cast("long"))
+    plain = langid.learn(rows, F.lit(True), sample=400)
+    for more in (copies, same):
+        model = langid.learn(rows.unionByName(more), F.lit(True), sample=400)
+        assert model["languages"] == ["de", "en", "fr"] and np.allclose(model["scores"], plain["scores"])
+        told = langid.identify(rows, model).collect()
+        assert sum(r.lang_pred == r.lang for r in told) >= 0.98 * len(told)
+        few = langid.learn(rows.unionByName(more), F.lit(True), sample=3)  # a part of one text each
+        assert few["languages"] == ["de", "en", "fr"] and np.ptp(few["scores"], 1).max() > 0
+
+
+def test_repeated_labels_and_texts_weigh_as_single_ones(spark):
+    rng = random.Random(12)
+    good = lambda: " ".join(rng.choice(["a plain sentence", "that says something", "of some length"]) for _ in range(9)) + "."
+    bad = lambda: " ".join(rng.choice(["!!!", "###", "CLICK", "$$$ 123"]) for _ in range(9))
+    docs = spark.createDataFrame([(i, good() if i % 2 else bad()) for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    many = labels.crossJoin(spark.range(300)).drop("id")
+    copied = docs.crossJoin(spark.range(50)).drop("id")
+    plain = quality.learn(docs, labels, F.lit(True), sample=500)
+    assert np.abs(plain["weights"]).max() > 0
+    for d, y in ((docs, many), (copied, labels), (copied, many)):
+        again = quality.learn(d, y, F.lit(True), sample=500)
+        assert np.allclose(again["weights"], plain["weights"]) and np.isclose(again["threshold"], plain["threshold"])
+    small = quality.learn(copied, many, F.lit(True), sample=100)
+    assert np.abs(small["weights"]).max() > 0
+
+
+def test_mixture_of_one_doc_id_comes_near_its_target(spark):
+    rng = random.Random(13)
+    rows = [(1, " ".join(["w"] * rng.randint(1, 40)), "a") for _ in range(2000)] + [(i, "x " * 30, "b") for i in range(2, 900)]
+    plan = mixing.plan_mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in plan.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect():
+        assert abs(r.taken - r.target) < 0.06 * r.target
+
+
 def test_many_languages_make_fewer_buckets(spark, monkeypatch):
     monkeypatch.setattr(langid, "CELLS", 1 << 12)
     rows = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8] * 3} word{i}", f"l{i % 8}") for i in range(64)], "doc_id long, text string, lang string")

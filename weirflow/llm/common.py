@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import contextvars
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -151,6 +152,27 @@ def hash_below(share: float, *parts: Column) -> Column:
     return F.xxhash64(*parts) < F.lit(int(share * float(1 << 63)) * 2 - (1 << 63))
 
 
+def quoted(name: str) -> str:
+    """A column's name for expressions and schemas, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator of which the rows go through Python workers, for columns of any name: Spark hands columns over by names that
+    it reads as expressions, so those with dots or backticks have others meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *given, **named) -> DataFrame:
+        odd = {c: f"odd column {i}" for i, c in enumerate(docs.columns) if "`" in c or "." in c}
+        if not odd:
+            return operator(docs, *given, **named)
+        out = operator(docs.select(*[F.col(quoted(c)).alias(odd.get(c, c)) for c in docs.columns]), *given, **named)
+        back = {n: c for c, n in odd.items()}
+        return out.select(*[F.col(quoted(c)).alias(back.get(c, c)) for c in out.columns])
+
+    return run
+
+
 def sealed(c: Column) -> Column:
     """A key that equals itself when null, for joins and groups."""
     return F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit("")).alias("some"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import bounded, released
+from weirflow.llm.common import any_names, bounded, quoted, released
 from weirflow.llm.packing import slices
 
 #: Hash buckets of byte trigrams (bits, at most and at least), cells of a model, score of a language that a script rules out.
@@ -120,21 +120,22 @@ class TooManyLanguages(ValueError):
 def learn(docs: DataFrame, usable: Column, sample: int = 20_000, smoothing: float = 0.5) -> dict:
     """A model from the text and lang of the ``usable`` rows with a lang.
 
-    ``sample`` bounds the rows, dealt out evenly over the languages: of a language with more than its part, those rows with
-    the smallest hashes are taken, as many as that on average; equal rows count once. So a rare language is learned as well
-    as a frequent one, at any size. The counts are summed by the executors; the driver gets one number for each language and
+    ``sample`` bounds the rows, dealt out evenly over the languages: of a language with more distinct texts than its part, those
+    with the smallest hashes are taken, as many as that on average, and one at least; a text that is repeated counts once. So
+    a rare language is learned as well as a frequent one, and one whose rows repeat as well as one whose don't, at any size.
+    Distinct texts are estimated (2 % off, in general) from sketches of their hashes, so no row is shuffled for it. The counts are summed by the executors; the driver gets one number for each language and
     trigram bucket. The buckets become fewer where there are so many languages that the model would have more than ``CELLS``.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    by = rows.groupBy("lang").count().orderBy("lang").limit(sample + 1).collect()
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    draw = F.xxhash64("lang", "text", F.lit("langid"))
+    by = rows.groupBy("lang").agg(F.approx_count_distinct(draw, 0.02).alias("n"), F.min(draw).alias("least")).orderBy("lang").limit(sample + 1).collect()
     if len(by) > sample:
         raise TooManyLanguages(f"more than {sample} languages, and no more rows to learn from")
     languages = [r["lang"] for r in by]
     if not languages:
         return {"languages": []}
     part = max(1, sample // len(languages))
-    draw = F.xxhash64("doc_id", "lang", "text", F.lit("langid"))
-    below = [(i, r["lang"], min((1 << 63) - 1, int(min(1.0, part / r["count"]) * float(1 << 63)) * 2 - (1 << 63))) for i, r in enumerate(by)]
+    below = [(i, r["lang"], max(r["least"], min((1 << 63) - 1, int(min(1.0, part / max(r["n"], 1)) * float(1 << 63)) * 2 - (1 << 63)))) for i, r in enumerate(by)]
     wanted = docs.sparkSession.createDataFrame(below, "_lang int, lang string, _below long")
     drawn = rows.join(bounded(wanted, len(below), 64 + 4 * max(len(x) for x in languages)), "lang").withColumn("_draw", draw).where("_draw <= _below")
     taken = drawn.groupBy("_draw").agg(F.first("_lang").alias("_lang"), F.first("text").alias("text")).select("_lang", "text")
@@ -248,6 +249,7 @@ def _spans(text: Text, path: np.ndarray, languages: list[str]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
+@any_names
 def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
     """``docs`` with lang_pred, score (share of the text's letters with that language, times how sure it is) and spans."""
     languages = model["languages"]
@@ -255,7 +257,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
     spans = "array<struct<lang: string, first_word: int, words: int>>"
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not languages:
-        return docs.select(*[f"`{c}`" for c in names], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast(spans).alias("spans"))
+        return docs.select(*[F.col(quoted(c)) for c in names], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast(spans).alias("spans"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     mark = "_letters"
     while mark in names:
@@ -289,6 +291,6 @@ def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
                 keep = [part.column(i) for i, c in enumerate(batch.schema.names) if c != mark]
                 yield pa.RecordBatch.from_arrays([*keep, lang, pa.array(np.where(some, score, 0.0)), found], [*(c for c in batch.schema.names if c != mark), "lang_pred", "score", "spans"])
 
-    rows = docs.select(*[f"`{c}`" for c in names], has_letter.alias(mark))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != mark)
+    rows = docs.select(*[F.col(quoted(c)) for c in names], has_letter.alias(mark))
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != mark)
     return rows.mapInArrow(released(run), f"{schema}, lang_pred string, score double, spans {spans}")

@@ -2,10 +2,10 @@
 
 Words are summed per source, each source gets a target (its share of the budget by weight, stopped at ``most`` times its
 words, the excess shared out again), and a document is emitted floor(rate) times, plus once more if a seeded number drawn
-from its doc_id is below the fraction of the rate (rate = target / words of the source).
+from its doc_id and text is below the fraction of the rate (rate = target / words of the source).
 
 Defined cases: a null or empty text has size 0 and is emitted like any other document of its source; the null source is a
-source of its own, last in order; a source without words has target 0; equal doc_ids draw the same number; an empty table
+source of its own, last in order; a source without words has target 0; rows equal in doc_id and text draw the same number; an empty table
 gives an empty result; other columns pass through ``mix`` unchanged.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import WORD, bounded, materialize, sealed, unit
+from weirflow.llm.common import WORD, bounded, materialize, quoted, sealed, unit
 
 WEIGHTS = (3, 1, 2)
 
@@ -64,21 +64,26 @@ def _rated(rows: DataFrame, rates: DataFrame, source: str) -> DataFrame:
     return rows.withColumn("_key", sealed(F.col(source))).join(bounded(rates, n, width * 4 + 64), "_key")
 
 
-def _copies(seed: int, doc_id: str) -> Column:
-    extra = unit(seed, F.col(doc_id)) < F.col("_rate") - F.floor("_rate")
+def _draw(seed: int, doc_id: Column, text: Column) -> Column:
+    """A row's number in [0, 1): from its doc_id and its text, so rows that share a doc_id draw each their own."""
+    return unit(seed, doc_id, F.md5(F.encode(text, "UTF-8")))
+
+
+def _copies(draw: str) -> Column:
+    extra = F.col(draw) < F.col("_rate") - F.floor("_rate")
     return F.floor("_rate").cast("long") + extra.cast("long")
 
 
 def plan_mixture(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) for every document, those with no copy included."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(seed, F.col("doc_id"), F.col("text")).alias("_draw"))
     return _rated(sized, plan_rates(docs, weights, share, most), "source").select(
-        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_rate").alias("rate"), _copies(seed, "doc_id").alias("copies")
+        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_rate").alias("rate"), _copies("_draw").alias("copies")
     )
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixture itself: every document as often as ``plan_mixture`` says, with all its columns; texts are not shuffled."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), _draw(seed, F.col("doc_id"), F.col("text")).alias("_draw"))
     rated = _rated(packed, plan_rates(docs, weights, share, most), "_row.source")
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies(seed, "_row.doc_id").cast("int")))).select("_row.*")
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies("_draw").cast("int")))).select("_row.*")

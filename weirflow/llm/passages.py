@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.bytehash import OTHER, U, Sums, flat, mixed
-from weirflow.llm.common import materialize, released, scratch
+from weirflow.llm.common import any_names, materialize, quoted, released, scratch
 from weirflow.llm.packing import slices
 from weirflow.llm.suffixes import maximal_repeats
 
@@ -421,12 +421,13 @@ def _cut(extra: bool):
     return run
 
 
+@any_names
 def strip(docs: DataFrame, least: int = 100, texts: bool = True) -> DataFrame:
     """Every row with n_bytes, n_removed, n_spans and kept_sha256 (of the bytes left), and, with ``texts``, its columns, the
     text being what is left (bytes of a character that was cut apart are dropped), and ``removed``, the stretches cut out."""
     spark = docs.sparkSession
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names]) if texts else docs.select("doc_id", "text")
+    rows = docs.select(*[F.col(quoted(c)) for c in docs.columns if c not in names]) if texts else docs.select("doc_id", "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     blocks = materialize(rows.mapInArrow(released(_pack), "block long, data binary"), "blocks")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -439,6 +440,6 @@ def strip(docs: DataFrame, least: int = 100, texts: bool = True) -> DataFrame:
         compared = by_task(decided.where(F.col("kind") != RANGES), buckets).mapInArrow(released(_compared(least)), SENT)
         ranges = keep(decided.where(F.col("kind") == RANGES).unionByName(compared).select("block", "data"), "ranges")
     found = ranges.groupBy("block").agg(F.collect_list("data").alias("found"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if texts or f.name == "doc_id")
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields if texts or f.name == "doc_id")
     cut = blocks.join(found, "block", "left").select("block", "data", "found")
     return cut.mapInArrow(released(_cut(texts)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed array<struct<start: long, length: long>>" * texts)

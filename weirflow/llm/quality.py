@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import bounded, hash_below, released
+from weirflow.llm.common import any_names, bounded, hash_below, quoted, released
 from weirflow.llm.packing import slices
 
 SLICE_BYTES = 2 << 20
@@ -101,16 +101,17 @@ def scores(x: np.ndarray, model: dict) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", at: float = 0.3, sample: int = 20_000) -> dict:
     """A model from the ``usable`` rows of ``labels`` (doc_id and ``label``, 0 or 1) and the texts of ``docs``.
 
-    ``sample`` bounds the labelled texts: with more, those with the smallest hashes are taken, as many as that on average;
-    equal ones count once, however often a label or a document is repeated. Labels are broadcast while their count shows
+    ``sample`` bounds the labelled texts: with more, those with the smallest hashes are taken, as many as that on average.
+    Labels and texts are counted, and count, once however often they are repeated (texts by an estimate from sketches of their
+    hashes). Labels are broadcast while their count shows
     that they fit, and joined by shuffle else; the driver gets the features of the sample, not its texts.
     """
     draw = F.lit("quality")
-    rows = labels.where(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_label"))
-    once = rows.where(hash_below(min(1.0, sample / max(rows.count(), 1)), F.col("doc_id"), F.col("_label"), draw)).distinct()
+    rows = labels.where(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_label")).distinct()
+    once = rows.where(hash_below(min(1.0, sample / max(rows.count(), 1)), F.col("doc_id"), F.col("_label"), draw))
     taken = bounded(once, once.count(), 32)
     # A doc_id may stand for many texts.
-    texts = docs.select("doc_id").join(taken, "doc_id").count()
+    texts = docs.select("doc_id", "text").join(taken, "doc_id").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02)).first()[0]
     drawn = docs.select("doc_id", "text").join(taken, "doc_id").where(hash_below(min(1.0, sample / max(texts, 1)), F.col("doc_id"), F.col("text"), draw))
     joined = drawn.groupBy("doc_id", "_label", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text")).select("_label", "text")
 
@@ -126,11 +127,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     return fit(x, found.column("label").to_numpy()[order], at)
 
 
+@any_names
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with its score, from 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*[f"`{c}`" for c in names])
+    rows = docs.select(*[F.col(quoted(c)) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,5 +141,5 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 s = scores(features(part.column(at)), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(released(run), f"{schema}, score double")

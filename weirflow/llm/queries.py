@@ -137,7 +137,7 @@ _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE_SQL = {
     "op1_mixing": f"""
-        with sized as (select doc_id, source, {_SIZE}::bigint as size from documents),
+        with sized as (select doc_id, source, {_SIZE}::bigint as size, coalesce(md5(text), '~') as hash from documents),
         totals as (select source, sum(size)::bigint as source_size from sized group by source),
         ranked as (select *, ([3.0, 1.0, 2.0])[((row_number() over (order by source is null, source) - 1) % 3 + 1)::int]::double as w from totals),
         level as (
@@ -148,7 +148,7 @@ ORACLE_SQL = {
         goals as (select source, source_size, least(2.0 * source_size, w * level)::double as target from ranked, level),
         rated as (
             select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate,
-                ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '~')), 1, 13))::bigint::double / 4503599627370496.0::double as draw
+                ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '~') || ':' || hash), 1, 13))::bigint::double / 4503599627370496.0::double as draw
             from sized join goals on sized.source is not distinct from goals.source)
         select doc_id, size, source_size, target, size * copies as taken, copies
         from (select *, (floor(rate) + (draw < rate - floor(rate))::int)::bigint as copies from rated)""",
