@@ -71,7 +71,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if n == 0:
         return left.select(docs.columns)
     single = left.join(bounded(repeated, n, 64), ["_key", "_hash"], "left_anti")
-    once = left.join(bounded(repeated, n, 64), ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
+    # Of rows equal in doc_id and text the same one stays in every run, whatever their other columns are.
+    rows = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+    once = left.join(bounded(repeated, n, 64), ["_key", "_hash"], "left_semi").select("_key", "_hash", rows).groupBy("_key", "_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("_key", "_hash", "row.*")
     return single.unionByName(once).select(docs.columns)
 
 
