@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import decimal
 import math
+import random
+import struct
 
 import pytest
 from hypothesis import given, settings
@@ -60,6 +63,29 @@ def test_number_text(spark):
     assert column(spark, list(cases), identity.number_text, "double") == list(cases.values())
 
 
+def ecma(v):
+    """The text of a double by its shortest digits, as Python finds them."""
+    if v == 0:
+        return "0"
+    sign, digits, exponent = decimal.Decimal(repr(v)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    exponent += len(digits) - len(text)
+    point, minus = len(text) + exponent, "-" if sign else ""
+    if -6 < point <= 21:
+        plain = f"0.{'0' * -point}{text}" if point <= 0 else text + "0" * (point - len(text)) if len(text) <= point else f"{text[:point]}.{text[point:]}"
+        return minus + plain
+    return f"{minus}{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{'-' if point < 1 else '+'}{abs(point - 1)}"
+
+
+def test_number_text_is_the_shortest(spark):
+    """Random bit patterns, powers of two, and what JDKs before 19 give one digit too many."""
+    rng = random.Random(8)
+    patterns = [struct.unpack("<d", rng.getrandbits(64).to_bytes(8, "little"))[0] for _ in range(100_000)]
+    values = [v for v in patterns if math.isfinite(v)] + [2.0**e for e in range(-1074, 1024)] + [2e23, 8.41e21, 2.2e-322, 5e-324, 1.1e-5, 9007199254740993.0, 123456.789, 0.1 + 0.2, 1 / 3, 1e-6, 9.99e-7, 123e18]
+    values += [rng.uniform(-1e6, 1e6) for _ in range(5000)]
+    assert column(spark, values, identity.number_text, "double") == [ecma(v) for v in values]
+
+
 @settings(max_examples=1, deadline=None)
 @given(st.lists(st.integers(-(10**11), 10**11), min_size=200, max_size=200))
 def test_number_text_of_money(spark, cents):

@@ -6,25 +6,68 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Below this doubles have fewer digits than 15 that tell them apart.
+LEAST_NORMAL = 2.2250738585072014e-308
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    """d.ddde+xx of an integer from 2**53 up to 2**95, rounded from its exact value: the JVM's digits may be rounded already."""
+    high = F.floor(x / 2.0**32).cast("decimal(20,0)")
+    low = (x - F.floor(x / 2.0**32).cast("double") * 2.0**32).cast("decimal(10,0)")
+    exact = (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(38,0)")
+    n = F.length(exact.cast("string"))
+    unit = F.rpad(F.lit("1"), n - digits + 1, F.lit("0")).cast("decimal(38,0)")
+    half = F.when(n > digits, F.rpad(F.lit("5"), n - digits, F.lit("0"))).otherwise(F.lit("0")).cast("decimal(38,0)")
+    kept = F.call_function("div", (exact + half).cast("decimal(38,0)"), unit).cast("string")
+    return F.concat(F.left(kept, F.lit(1)), F.lit("."), F.substr(kept, F.lit(2)), F.lit("e+"), (F.length(kept) + n - digits - 1).cast("string"))
+
+
+def _scientific(x: Column) -> Column:
+    """d.ddde+xx of the fewest digits that read back as ``x``: those of 15 digits tell all normal doubles apart that have so
+    few, so only 15, 16 and 17 are tried; of the tiny ones every number of digits. Of texts as short the closest counts."""
+    read = lambda text, of: F.when(text.try_cast("double") == of, text)
+    tried = lambda digits: F.coalesce(*[read(F.format_string(f"%.{n - 1}e", x), x) for n in digits])
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    large = F.concat(sign, F.coalesce(*[read(_rounded(F.abs(x), n), F.abs(x)) for n in (15, 16, 17)]))
+    return F.when(F.abs(x) < LEAST_NORMAL, tried(range(1, 18))).when((F.abs(x) >= 2.0**53) & (F.abs(x) < 2.0**95), large).otherwise(tried((15, 16, 17)))
+
+
+def _shortest(x: Column) -> Column:
+    """The text of a finite number other than 0."""
+
+    def laid_out(t: Column) -> Column:
+        digits = F.rtrim(F.replace(F.substring_index(F.ltrim(t, F.lit("-")), "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+        exponent = F.substring_index(t, "e", -1).cast("int")
+        k, point = F.length(digits), exponent + 1
+        rest = F.substr(digits, F.lit(2))
+        wide = F.concat(F.left(digits, F.lit(1)), F.when(k > 1, F.concat(F.lit("."), rest)).otherwise(F.lit("")), F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(exponent).cast("string"))
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(k <= point, F.concat(digits, F.repeat(F.lit("0"), point - k)))
+            .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
+        )
+        return F.concat(F.when(F.startswith(t, F.lit("-")), F.lit("-")).otherwise(F.lit("")), F.when((point > 21) | (point < -5), wide).otherwise(plain))
+
+    return F.transform(F.array(_scientific(x)), laid_out)[0]  # the digits are searched once
+
+
 def number_text(x: Column) -> Column:
-    """A double as the shortest text that reads back the same, without exponent from 1e-6 up to 1e21 (the rule of ECMAScript).
+    """A double as the shortest text that reads back the same, without exponent from 1e-6 up to 1e21 (the rule of ECMAScript),
+    on any JDK.
 
-    A value of at most two decimals is its decimal text: of 15 digits or fewer only one text reads back as a double. Digits of
-    others are those of the JVM: before JDK 19 a rare one gets one more than it needs.
+    A value of at most two decimals is its decimal text: of 15 digits or fewer only one text reads back as a double. For others
+    the digits are searched.
     """
-    cents = x.cast("double").try_cast("decimal(15,2)")
+    x = x.cast("double")
+    cents = x.try_cast("decimal(15,2)")
     money = F.rtrim(F.rtrim(cents.cast("string"), F.lit("0")), F.lit("."))
-    plain = F.when(F.abs(x) < 1, x.cast("string").try_cast("decimal(38,30)").cast("string")).otherwise(x.cast("string").try_cast("decimal(38,16)").cast("string"))
-    plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
-    wide = F.regexp_replace(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
     return (
         F.when(F.isnan(x), F.lit("NaN"))
         .when(x == F.lit(float("inf")), F.lit("Infinity"))
         .when(x == F.lit(float("-inf")), F.lit("-Infinity"))
         .when(x == 0, F.lit("0"))
         .when(cents.cast("double") == x, money)
-        .when((F.abs(x) >= 1e21) | (F.abs(x) < 1e-6), wide)
-        .otherwise(plain)
+        .when(x.isNotNull(), _shortest(x))
     )
 
 
