@@ -646,3 +646,19 @@ def test_search(spark, monkeypatch):
         best = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:5]
         want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert sorted(got) == sorted(want)
+
+
+def test_tokens_that_are_broadcast_are_bounded(spark, monkeypatch):
+    """However few of the frequent tokens are known beforehand, the links are the same."""
+    from weirflow.llm import neardup
+
+    rng = random.Random(21)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(40)) for _ in range(30)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else "x" for w in rng.choice(base).split())) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "FREQUENT", 3)
+    found = []
+    for most in (400_000, 5, 0):
+        monkeypatch.setattr(neardup, "MOST_KNOWN", most)
+        found.append(sorted((r.doc_id, r.component_id) for r in neardup.components(docs).collect()))
+    assert found[0] == found[1] == found[2] and len({c for _, c in found[0]}) < 400
