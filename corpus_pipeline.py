@@ -88,7 +88,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @others_aside
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document as often as its source's target asks. Rows that share a doc_id draw the same number, each for its own source's rate."""
+    """Emit each document as often as its source's target asks. Rows equal in doc_id and text draw the same number, each for its own source's rate."""
     return mixing.mix(docs).select(docs.columns)
 
 
