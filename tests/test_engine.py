@@ -591,6 +591,18 @@ def test_accounts_are_fetched_side_by_side(spark, tmp_path):
     assert max(most) == 1 and [a["error"] for a in out.accounts] == ["portal is down", "the account is listed twice", "portal is down"]
 
 
+def test_counters_come_from_the_pass_that_writes(spark, tmp_path):
+    rows = [ROW | {"seq": i, "amount_raw": f"${i % 4}"} for i in range(9)]
+    go = lambda: pipeline.run_accounts(spark, listed("cal"), registered(cal={"rows": rows, "label": "CAL"}), str(tmp_path), str(tmp_path / "out"), "2026-06-01", STAMP)
+    first = go()
+    assert {c: first.accounts[0][c] for c in pipeline.COUNTS} == {"created": 9, "updated": 0, "unchanged": 0, "duplicates": 0, "exported": 9, "considered": 9}
+    assert not first.considered.is_cached and "InMemoryTableScan" not in first.considered._jdf.queryExecution().executedPlan().toString()
+    names = Files(spark).names(str(tmp_path / "seen/pointers"))
+    second = go()
+    assert (second.accounts[0]["unchanged"], second.accounts[0]["exported"]) == (9, 0)
+    assert Files(spark).names(str(tmp_path / "seen/pointers")) == names  # a run without a delta writes no state
+
+
 def test_plan_is_the_same_for_three_accounts_and_three_hundred(spark, tmp_path):
     marked = normalize.mark_pending(raw(spark, [ROW | {"seq": 0, "amount_raw": "$1"}]))
     rows = normalize.stamp_source(cdc.hashed(normalize.normalize(marked, "CAL", keep=("pending_marker",))), "a", "A", "cal")

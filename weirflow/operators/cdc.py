@@ -190,18 +190,23 @@ def seen_before(keyed: DataFrame, seen: DataFrame) -> DataFrame:
     return keyed.join(seen.select(*KEY), KEY, "left_semi")
 
 
+def counted() -> dict[str, Column]:
+    """created, updated, unchanged, duplicates, exported, considered: what is counted of classified rows, for an aggregation or
+    an observation."""
+    count = lambda *tags: F.count_if(F.col("local_dedup_status").isin(*tags))
+    return {
+        "created": count("new"),
+        "updated": count("updated"),
+        "unchanged": count("unchanged"),
+        "duplicates": count("duplicate"),
+        "exported": count("new", "updated"),
+        "considered": F.count("*"),
+    }
+
+
 def counters(classified: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """created, updated, unchanged, duplicates, exported, considered: one conditional aggregation."""
-    tag = F.col("local_dedup_status")
-    count = lambda *tags: F.count_if(tag.isin(*tags))
-    return classified.groupBy(*(ACCOUNT if by is None else by)).agg(
-        count("new").alias("created"),
-        count("updated").alias("updated"),
-        count("unchanged").alias("unchanged"),
-        count("duplicate").alias("duplicates"),
-        count("new", "updated").alias("exported"),
-        F.count("*").alias("considered"),
-    )
+    """The counters of each account: one conditional aggregation."""
+    return classified.groupBy(*(ACCOUNT if by is None else by)).agg(*[c.alias(n) for n, c in counted().items()])
 
 
 def run_status(error: Column, warnings: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions.retry import retry
@@ -175,8 +175,8 @@ def run_accounts(
     Up to ``parallel`` accounts are fetched side by side, each in a scheduler pool of its own, so that a slow source or a large
     account doesn't hold up the others; what is told of them still comes account by account, in the order of ``accounts``.
     An account whose source fails is reported, and the others go on: its rows are read and written down by themselves. An
-    account's rows stay in its checkpoint until the state has moved on; ``resume`` goes on from there. ``considered`` is
-    cached, for the sync that may follow; who is done with it unpersists it.
+    account's rows stay in its checkpoint until the state has moved on; ``resume`` goes on from there. ``considered`` is a
+    table in the shared folder, for the sync that may follow.
     """
     tell = _teller(listener)
     with single_flight(spark, state_root, lease) as held, contextlib.closing(Bucketed(spark, f"{state_root}/seen", SEEN, lease=held)) as state:
@@ -219,39 +219,40 @@ def run_accounts(
             txn = landed(spark, [f for x in fine for f in x.folders])
             # Only buckets that the run's rows touch are read, and of the state no row is shuffled.
             seen = state.read(state.touched(txn))
-            # Read by the export, the counters and the state: computed once, a row a transaction.
-            considered = cdc.keyed_against(txn, seen, ledger_rows, ("segment", "seq"), full_fetch, state.buckets).persist()
-            counts = {(r.provider, r.provider_account_id): r.asDict() for r in cdc.counters(considered).collect()}
+            # Computed once and written down; what counts it rides along, and whatever is read of it later is read from there.
+            considered, totals = _kept(cdc.keyed_against(txn, seen, ledger_rows, ("segment", "seq"), full_fetch, state.buckets), checkpoints)
+            if len(fine) == 1:
+                counts = {(fine[0].stamped, fine[0].id): totals}
+            else:
+                counts = {(r.provider, r.provider_account_id): r.asDict() for r in cdc.counters(considered).collect()}
             for x in fine:
                 x.report |= {c: counts.get((x.stamped, x.id), {}).get(c, 0) for c in COUNTS}
                 tell("dedup", x.who() | {c: x.report[c] for c in ("created", "updated", "unchanged", "duplicates")})
             delta = cdc.exported(considered)
-            if export_root:
+            if export_root and totals["exported"]:
                 export_json(delta, export_root, as_of)
             for x in fine:
                 x.report["export_path"] = f"{export_root}/provider={x.stamped}/provider_account_id={x.id}/export_date={as_of}" if export_root and x.report["exported"] else None
                 tell("export", x.who() | {"exported": x.report["exported"], "file_path": x.report["export_path"]})
-            if not full_fetch:
+            if not full_fetch and totals["exported"]:
                 state.merge(delta, lambda old, new: cdc.upsert_seen(old, new, F.lit(now).cast("timestamp")))
             for x in fine:
                 tell("account-done", x.who() | {"status": x.report["status"]})
         rows = spark.createDataFrame([(x.report["status"], int(x.report["exported"]), int(x.report["considered"])) for x in done], "status string, exported bigint, considered bigint")
         summary = run_summary(rows).first().asDict()
         result = RunResult(summary, [x.report for x in done], considered, [w for x in done for w in x.report["warnings"]])
-        if considered is not None:
-            result.considered = _kept(considered, checkpoints)
-            considered.unpersist()
         for x in fine:
             checkpoints.clear(x.provider, x.id)
         return result
 
 
-def _kept(considered: DataFrame, checkpoints: Checkpoints) -> DataFrame:
-    """The rows as a table of their own, which outlives the checkpoints and lost executors; it goes with the session."""
-    path = checkpoints.rows_path()
-    considered.write.parquet(path)
+def _kept(considered: DataFrame, checkpoints: Checkpoints) -> tuple[DataFrame, dict[str, int]]:
+    """The rows as a table of their own, which outlives the checkpoints and lost executors and goes with the session; and the
+    counters of all of them, observed on the pass that writes it."""
+    path, seen = checkpoints.rows_path(), Observation()
+    considered.observe(seen, *[c.alias(n) for n, c in cdc.counted().items()]).write.parquet(path)
     checkpoints.files.delete_on_exit(path)
-    return considered.sparkSession.read.schema(considered.schema).parquet(path)
+    return considered.sparkSession.read.schema(considered.schema).parquet(path), {n: seen.get[n] for n in cdc.counted()}
 
 
 def export_plan(txn: DataFrame) -> DataFrame:
