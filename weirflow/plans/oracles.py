@@ -236,6 +236,7 @@ ORACLES = {
     "export_roundtrip": f"with {_CLASSIFIED} select provider, provider_account_id, '2026-01-02' as export_date, count(*) as rows, count(distinct dedup_key) as keys from classified where kind <> 'unchanged' group by 1, 2",
     "audit_report": f"""with {_FINISHED} select finance_status as "financeStatus", reason, count(*) as rows, min(dedup_key) as first_key from finished group by 1, 2""",
     "checkpoint_roundtrip": f"with {_RAW} select provider_account_id as account, (max(seq) + 1)::bigint as next_index, count(*) as rows, sum(seq)::bigint as seqs, 'up to ' || max(seq) as warnings from raw where provider_account_id <> 'acct_2' group by 1",
+    "array_splits": f"""with {_TXN} select seq, merchant_name || '"],[{{' || chr(92) as merchant_name, amount, status from txn""",
     "json_scan": f"with {_TXN} select seq, merchant_name, amount, status from txn",
     "valid_rows": f"""with {_RAW}, r as (select seq, seq % 9 = 0 as bad, {_date('ts_raw')} >= strftime(date '1996-06-15' - 700, '%Y-%m-%d') as recent from raw)
         select count(*) filter (where recent and not bad) as rows, sum(seq) filter (where recent and not bad)::bigint as seqs, count(*) filter (where bad) as warnings from r""",

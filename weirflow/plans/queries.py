@@ -781,6 +781,22 @@ def json_scan(s: SparkSession, d: str) -> DataFrame:
     return load_transactions(s, path).select("seq", "merchant_name", "amount", "status")
 
 
+@query
+def array_splits(s: SparkSession, d: str) -> DataFrame:
+    """All transactions as one array in one file, read in ranges of 64 KB."""
+    from weirflow.sources.files import load_array
+
+    path = f"{scratch_folder(s)}/one"
+    t = F.to_json(F.struct("seq", F.concat(F.col("merchant_name"), F.lit('"],[{\\')).alias("merchant_name"), "amount", "status"))
+    lines = _txn(s, d).select(F.col("seq").alias("o"), F.concat(t, F.lit(",")).alias("value"))
+    last = lines.agg(F.max("o")).first()[0]
+    lines = lines.withColumn("value", F.when(F.col("o") == last, F.concat(F.rtrim("value", F.lit(",")), F.lit("]"))).otherwise(F.col("value")))
+    first = s.range(1).select(F.lit(-1).cast("long").alias("o"), F.lit("[").alias("value"))
+    lines.unionByName(first).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    [name] = [x for x in Files(s).names(path) if x.startswith("part-")]
+    return load_array(s, f"{path}/{name}", split=1 << 16).select("seq", "merchant_name", "amount", "status")
+
+
 @query
 def valid_rows(s: SparkSession, d: str) -> DataFrame:
     """A scan of JSON lines of which one in nine is broken: rows within the look-back, and warnings."""

@@ -15,6 +15,7 @@ from weirflow.functions.text import parse_date
 from weirflow.operators.accounts import DAYS_BACK_DEFAULT, sanitize_finance, stored_accounts, validate_days_back
 from weirflow.operators.normalize import look_back
 from weirflow.schema import RAW, TXN
+from weirflow.sources.arrays import SPLIT, NotAnArray, elements
 from weirflow.sources.registry import Fetched, SourceAdapter, registry
 from weirflow.sources.sinks import write_text
 
@@ -38,6 +39,20 @@ def load_transactions(spark: SparkSession, path: str, schema: T.StructType = TXN
     return rows.drop("_corrupt_record")
 
 
+def load_array(spark: SparkSession, path: str, schema: T.StructType = TXN, split: int = SPLIT) -> DataFrame:
+    """``load_transactions`` for one huge file: its ranges are read by many tasks (``sources.arrays``), twice."""
+    kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    try:
+        found = elements(spark, path, split)
+    except NotAnArray as error:
+        raise InputError(str(error)) from error
+    parsed = found.select(F.from_json("value", kept, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "value")
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | (F.trim(F.col("value")) == "")
+    if not parsed.where(bad).isEmpty():
+        raise InputError(f"{path}: not valid JSON")
+    return parsed.select("r.*").drop("_corrupt_record")
+
+
 def read_valid(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, warnings) of JSON lines: a bad line is a warning, and the scan goes on."""
     kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
