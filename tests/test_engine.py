@@ -652,6 +652,26 @@ def test_whole_run(spark, tmp_path):
     assert go("r4", days_back=0)["error"].startswith("Invalid days back") and not pipeline.run_all(spark, {"daysBack": 4}, sources, "", "", "", "", "", "")["ok"]
 
 
+def test_report_in_one_file(spark, tmp_path, monkeypatch):
+    """Put together from many parts, in order, without a row at the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = considered(spark, [FINE | {"dedup_key": f"k{i:03d}", "merchant_name": 'a "b", c\nd é'} for i in range(200)]).withColumns({"finance_status": F.lit("sent"), "reason": F.lit("sent")})
+    audit = ledger.audit(rows.repartition(7), "r", "t").repartitionByRange(5, "dedupKey").sortWithinPartitions("dedupKey")
+    for name in ("collect", "toLocalIterator", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: pytest.fail("rows at the driver"))
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self: False)
+    path, csv = write_report(audit, {"sent": 200}, "r", str(tmp_path / "deep"))
+    text = open(path, encoding="utf-8").read()
+    found = json.loads(text)
+    assert found["runId"] == "r" and found["summary"] == {"sent": 200} and [t["dedupKey"] for t in found["transactions"]] == [f"k{i:03d}" for i in range(200)]
+    assert list(found["transactions"][0]) == reports.AUDIT_COLUMNS and found["transactions"][3]["merchant"] == 'a "b", c\nd é' and found["transactions"][0]["apiStatus"] is None
+    assert text.startswith('{\n  "runId": "r",') and ",\n    {\n      \"runId\"" in text and text.endswith("\n    }\n  ]\n}")
+    lines = open(csv, encoding="utf-8").read()
+    assert lines.startswith(",".join(reports.AUDIT_COLUMNS) + "\n") and lines.count("k1") >= 100 and lines.endswith("\n")
+    assert sorted(x for x in os.listdir(tmp_path / "deep") if not x.startswith(".")) == ["finance-sync-r.csv", "finance-sync-r.json"]
+
+
 def test_report_folders(spark, tmp_path):
     rows = considered(spark, [FINE | {"dedup_key": "k"}]).withColumns({"finance_status": F.lit("sent"), "reason": F.lit("sent")})
     path, csv = write_report(ledger.audit(rows, "r", "t"), {"sent": 1}, "r", str(tmp_path), one_file=False)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.text import csv_line
@@ -49,30 +50,35 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] = AUDIT_COLUMNS) ->
     rows.select(*columns).write.mode("overwrite").options(header=True, quote='"', escape='"', nullValue="", emptyValue="").csv(path)
 
 
+def _pretty(columns: list[str]) -> Column:
+    """A row as the JSON text of an object that stands in a list, two levels in."""
+    value = lambda c: F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
+    inner = lambda c: F.substr(value(c), F.lit(6), F.char_length(value(c)) - 6)
+    lines = F.array(*[F.concat(F.lit(f"      {json.dumps(c)}: "), inner(c)) for c in columns])
+    return F.concat(F.lit("    {\n"), F.array_join(lines, ",\n"), F.lit("\n    }"))
+
+
 def write_report(audit: DataFrame, summary: dict[str, Any], run_id: str, folder: str, one_file: bool = True) -> tuple[str, str]:
-    """The audit report of a run as JSON and CSV; (json path, csv path).
+    """The audit report of a run as JSON and CSV, on any file system; (json path, csv path).
 
-    As one file each, rows pass the driver a partition at a time and are never held together. With ``one_file`` false the
-    executors write folders (JSON lines, CSV with headers) on any file system, and the driver only the summary.
+    The executors write the rows as text, in order. As one file each, their files are put together stream by stream; no row comes
+    to the driver's Python. With ``one_file`` false they stay folders (JSON lines, CSV with headers), with a summary beside them.
     """
-    base = f"{folder}/finance-sync-{run_id}"
-    as_json = audit.select(F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"}).alias("value"), csv_line([F.col(c) for c in AUDIT_COLUMNS]).alias("line"))
+    base, files = f"{folder}/finance-sync-{run_id}", Files(audit.sparkSession)
+    said = json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False)
     if not one_file:
-        as_json.select("value").write.mode("overwrite").text(f"{base}.json")
+        audit.select(F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{base}.json")
         write_csv(audit, f"{base}.csv")
-        Files(audit.sparkSession).create(f"{base}-summary.json", json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False), replace=True)
+        files.create(f"{base}-summary.json", said, replace=True)
         return f"{base}.json", f"{base}.csv"
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    parts = Path(f"{base}.json.tmp"), Path(f"{base}.csv.tmp")
-    with parts[0].open("w", encoding="utf-8") as out, parts[1].open("w", encoding="utf-8", newline="") as lines:
-        out.write(json.dumps({"runId": run_id, "summary": summary}, indent=2, ensure_ascii=False)[:-2] + ',\n  "transactions": [')
-        lines.write(",".join(AUDIT_COLUMNS) + "\n")
-        n = 0
-        for r in as_json.toLocalIterator():
-            out.write(("," if n else "") + "\n" + "\n".join("    " + x for x in json.dumps(json.loads(r.value), indent=2, ensure_ascii=False).split("\n")))
-            lines.write(r.line + "\n")
-            n += 1
-        out.write("\n  ]\n}" if n else "]\n}")
-    for part, end in zip(parts, ("json", "csv"), strict=True):
-        os.replace(part, f"{base}.{end}")
+    parts = f"{base}.parts-{uuid.uuid4().hex}"
+    try:
+        audit.select(_pretty(AUDIT_COLUMNS).alias("value")).write.option("lineSep", ",\n").text(f"{parts}/json")
+        csv_rows(audit).write.option("lineSep", "\n").text(f"{parts}/csv")
+        names = {kind: [f"{parts}/{kind}/{x}" for x in files.names(f"{parts}/{kind}") if x.startswith("part-")] for kind in ("json", "csv")}
+        some = not audit.isEmpty()
+        files.assemble(f"{base}.json", said[:-2] + ',\n  "transactions": [' + ("\n" if some else ""), names["json"], "\n  ]\n}" if some else "]\n}", cut=2)
+        files.assemble(f"{base}.csv", ",".join(AUDIT_COLUMNS) + "\n", names["csv"], "")
+    finally:
+        files.delete(parts)
     return f"{base}.json", f"{base}.csv"

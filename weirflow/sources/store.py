@@ -78,6 +78,29 @@ class Files:
         """Object stores whose plain create looks first and puts later."""
         return p.toUri().getScheme() in ("s3a", "s3", "s3n")
 
+    def assemble(self, path: str, head: str, parts: list[str], tail: str, cut: int = 0) -> None:
+        """One file of the texts ``head`` and ``tail`` and, between them, files as they are, less the last ``cut`` bytes of the
+        last. Bytes go from stream to stream within the JVM; the file is there whole or not at all."""
+        fs, p = self._at(path)
+        _, part = self._at(f"{path}.tmp")
+        out = fs.create(part, True)
+        try:
+            out.write(bytearray(head.encode()))
+            sized = [(fs.getFileStatus(x).getLen(), x) for x in (self._at(x)[1] for x in parts)]
+            sized = [(n, x) for n, x in sized if n]
+            for i, (n, x) in enumerate(sized):
+                stream = fs.open(x)
+                try:
+                    self.spark._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, n - (cut if i == len(sized) - 1 else 0))
+                finally:
+                    stream.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+        fs.delete(p, False)
+        if not fs.rename(part, p):
+            raise OSError(f"{path} can't be put in place")
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
