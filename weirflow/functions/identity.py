@@ -22,14 +22,25 @@ def _rounded(x: Column, digits: int) -> Column:
     return F.concat(F.left(kept, F.lit(1)), F.lit("."), F.substr(kept, F.lit(2)), F.lit("e+"), (F.length(kept) + n - digits - 1).cast("string"))
 
 
+def _next_up(t: Column) -> Column:
+    """d.ddde+xx with one more in its last digit."""
+    digits = F.replace(F.substring_index(t, "e", 1), F.lit("."), F.lit(""))
+    more = (digits.cast("decimal(18,0)") + 1).cast("string")
+    exponent = F.substring_index(t, "e", -1).cast("int") + F.length(more) - F.length(digits)
+    return F.concat(F.left(more, F.lit(1)), F.lit("."), F.substr(more, F.lit(2)), F.lit("e"), exponent.cast("string"))
+
+
 def _scientific(x: Column) -> Column:
     """d.ddde+xx of the fewest digits that read back as ``x``: those of 15 digits tell all normal doubles apart that have so
-    few, so only 15, 16 and 17 are tried; of the tiny ones every number of digits. Of texts as short the closest counts."""
-    read = lambda text, of: F.when(text.try_cast("double") == of, text)
-    tried = lambda digits: F.coalesce(*[read(F.format_string(f"%.{n - 1}e", x), x) for n in digits])
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    large = F.concat(sign, F.coalesce(*[read(_rounded(F.abs(x), n), F.abs(x)) for n in (15, 16, 17)]))
-    return F.when(F.abs(x) < LEAST_NORMAL, tried(range(1, 18))).when((F.abs(x) >= 2.0**53) & (F.abs(x) < 2.0**95), large).otherwise(tried((15, 16, 17)))
+    few, so only 15, 16 and 17 are tried; of the tiny ones every number of digits. Of texts as short the closest counts; a
+    power of two has more room above than below, so there the next one up may read back where the closest doesn't."""
+    m = F.abs(x)
+    read = lambda text: F.when(text.try_cast("double") == m, text)
+    both = lambda text: [read(text), read(_next_up(text))]
+    tried = lambda digits: F.coalesce(*[c for n in digits for c in both(F.format_string(f"%.{n - 1}e", m))])
+    large = F.coalesce(*[c for n in (15, 16, 17) for c in both(_rounded(m, n))])
+    text = F.when(m < LEAST_NORMAL, tried(range(1, 18))).when((m >= 2.0**53) & (m < 2.0**95), large).otherwise(tried((15, 16, 17)))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def _shortest(x: Column) -> Column:
