@@ -208,3 +208,24 @@ def test_http_lookup(monkeypatch):
     with pytest.raises(OSError, match="REDACTED"):
         sender.find("c")
     assert outbound.HttpSender("https://x", "key").find is None
+
+
+@pytest.mark.parametrize("grows", [True, False])
+def test_a_journal_is_read_while_it_is_written(spark, tmp_path, monkeypatch, grows):
+    """A line of one open file a send, where the file system shows it at once; a file each, where it doesn't."""
+    if not grows:
+        monkeypatch.setattr(Files, "lines", lambda self, path: None)
+    monkeypatch.setattr(Journal, "FILE", 40)
+    journal = Journal(spark, f"file://{tmp_path}/journal", RESULT)
+    who = lambda i: {"provider": "cal", "provider_account_id": "default", "dedup_key": f"k{i}", "seq": i, "content_hash": "h"}
+    for at in range(0, 100, 20):
+        journal.intend([who(i) for i in range(at, at + 20)])
+    for i in range(70):
+        journal.add(who(i) | outbound.outcome(201, f"id{i}"))
+    left = Journal(spark, journal.root, RESULT, journal.name)  # as a later run finds it
+    assert sorted(r.seq for r in left.read().collect()) == list(range(70))
+    assert left.in_doubt()["dedup_key"] == "k70"
+    files = [x for x in journal.files.names(journal.path) if x.endswith(".json")]
+    assert len(files) == (1 if grows else 70)
+    journal.drop()
+    assert not Journal.leftovers(spark, journal.root, RESULT)
