@@ -19,6 +19,7 @@ import threading
 import time
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,7 @@ class Lease:
         self.files, self.folder, self.seconds = Files(spark), f"{root.rstrip('/')}/lease", seconds
         self.owner = f"{socket.gethostname()} {os.getpid()} {uuid.uuid4().hex}"
         self.number = 0
+        self._here: str | None = None  # the folder, on this machine's disk
         self._stop, self._thread = threading.Event(), None
 
     def _numbers(self) -> list[int]:
@@ -54,6 +56,7 @@ class Lease:
         if not self.files.create(f"{self.folder}/{last + 1}", json.dumps({"owner": self.owner, "since": time.time()})):
             raise Busy(f"a run is already under way: {self.folder}")
         self.number = last + 1
+        self._here = self.files.local(self.folder)
         self.check()
         for n in self._numbers():
             if n < last:
@@ -64,10 +67,13 @@ class Lease:
         return self
 
     def held(self) -> bool:
-        if max(self._numbers(), default=0) != self.number:
+        """Whether no other run has taken over. On this machine's disk it is asked without the JVM, as each send asks twice."""
+        numbers = self._numbers() if self._here is None else [int(x) for x in os.listdir(self._here) if x.isdigit()]
+        if max(numbers, default=0) != self.number:
             return False
-        with contextlib.suppress(ValueError):
-            return json.loads(self.files.read(f"{self.folder}/{self.number}") or "{}").get("owner") == self.owner
+        with contextlib.suppress(ValueError, FileNotFoundError):
+            own = self.files.read(f"{self.folder}/{self.number}") if self._here is None else Path(f"{self._here}/{self.number}").read_text()
+            return json.loads(own or "{}").get("owner") == self.owner
         return False
 
     def check(self) -> None:
