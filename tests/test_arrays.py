@@ -81,3 +81,15 @@ def test_bad_and_empty_elements(spark, tmp_path):
     for empty in ("[]", " [ \n ] \n"):
         path.write_text(empty)
         assert load_array(spark, str(path)).count() == 0
+
+
+def test_a_small_range_reads_little_behind_it(tmp_path, monkeypatch):
+    """The end of a range's last element is looked for a little further on, not in the next 4 MB."""
+    from weirflow.sources import arrays
+
+    path, read, scan = tmp_path / "a.json", [], arrays.State.scan
+    path.write_text("[" + ",".join(f'{{"n":{i}}}' for i in range(100_000)) + "]")
+    monkeypatch.setattr(arrays.State, "scan", lambda self, raw: (read.append(len(raw)), scan(self, raw))[1])
+    assert next(arrays._elements(str(path), 0, 1000, 0, 0)) == b'{"n":0}'
+    assert len(list(arrays._elements(str(path), 0, 1000, 0, 0))) > 50
+    assert sum(read) < 20_000

@@ -16,9 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a range, and those looked at at once.
 SPLIT, STEP = 64 << 20, 4 << 20
+#: Tasks from which one takes several ranges, and the bytes of these.
+TASKS, TASK_BYTES = 256, 16 << 20
+#: Bytes looked at first behind a range for the end of its last element; twice as many each time.
+BEYOND = 4 << 10
 _QUOTE, _BACK, _COMMA = b'"\\,'
 _OPEN, _CLOSE = b"[{", b"]}"
 
@@ -90,9 +95,13 @@ def _elements(path: str, start: int, end: int, inside: int, depth: int) -> Itera
     with store.open_input_file(at) as f:
         size, state = f.size(), State(inside, depth)
         held: list[bytes] | None = None  # the element under way
-        pos = start
+        pos, beyond = start, BEYOND
         while pos < size and (pos < end or held is not None):
-            raw = f.read_at(min(STEP, (end if pos < end else size) - pos), pos)
+            if pos < end:
+                raw = f.read_at(min(STEP, end - pos), pos)
+            else:  # the rest of the last element: a little at first, as most elements are short
+                raw = f.read_at(min(beyond, size - pos), pos)
+                beyond = min(2 * beyond, STEP)
             b, outside, deep = state.scan(raw)
             cuts = np.flatnonzero(outside & ((b == _COMMA) & (deep == 1) | (b == ord("[")) & (deep == 1) | (b == ord("]")) & (deep == 0)))
             last = 0
@@ -129,7 +138,14 @@ def elements(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["start", "end", "flips", "plain", "quoted"])
 
-    spread = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(len(rows))
+    # A task takes a range, or, where there are more than ``TASKS`` and they are small, as many neighbours as ``TASK_BYTES`` hold.
+    many = max(1, min(TASK_BYTES // split, len(ranges) // TASKS))
+
+    def spread(rows: list[tuple], kind: str) -> DataFrame:
+        numbered = [(i // many, *r) for i, r in enumerate(rows)]
+        tasks = spark.createDataFrame(numbered, f"task int, {kind}").repartition(max(1, -(-len(rows) // many)), F.col("task"))
+        return tasks.drop("task")
+
     known = spread(ranges, "path string, start long, end long").mapInArrow(summed, "start long, end long, flips long, plain long, quoted long").collect()
     inside, depth, placed = 0, 0, []
     for r in sorted(known, key=lambda r: (r.start, r.end)):  # a few numbers a range
