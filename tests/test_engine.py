@@ -676,3 +676,18 @@ def test_report_folders(spark, tmp_path):
     rows = considered(spark, [FINE | {"dedup_key": "k"}]).withColumns({"finance_status": F.lit("sent"), "reason": F.lit("sent")})
     path, csv = write_report(ledger.audit(rows, "r", "t"), {"sent": 1}, "r", str(tmp_path), one_file=False)
     assert spark.read.json(path).first().dedupKey == "k" and spark.read.option("header", True).csv(csv).count() == 1
+
+
+@pytest.mark.parametrize("gate", [None, "finance_disabled"])
+def test_report_is_sorted_once(spark, tmp_path, monkeypatch, gate):
+    """The counts and both forms of the report come from one sorted table; only a run that sends keeps its decisions beside it."""
+    names = [f"k{i:03d}" for i in range(40)]
+    rows = considered(spark, [FINE | {"dedup_key": k} for k in reversed(names)]).repartition(7)
+    held, kept = (lambda: spark.sparkContext._jsc.getPersistentRDDs().size()), []
+    before = held()
+    monkeypatch.setattr(pipeline, "write_report", lambda audit, *a: (kept.append((audit.storageLevel.useMemory, held() - before)), write_report(audit, *a))[1])
+    got = pipeline.sync(rows, str(tmp_path / "state"), str(tmp_path / "reports"), "r", STAMP, lambda p: (201, None), gate)
+    assert kept == [(True, 1 if gate else 2)] and held() == before
+    assert got["counts"] == dict.fromkeys(("sent", "already_sent", "skipped", "failed", "not_attempted"), 0) | {"considered": 40, "not_attempted" if gate else "sent": 40}
+    assert [t["dedupKey"] for t in json.loads((tmp_path / "reports/finance-sync-r.json").read_text())["transactions"]] == names
+    assert [line.rsplit(",", 1)[1] for line in (tmp_path / "reports/finance-sync-r.csv").read_text().splitlines()[1:]] == names

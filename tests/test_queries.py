@@ -40,3 +40,18 @@ def test_entry_survives_without_the_other_subpackage():
     import __spark_entry__ as e
 
     assert set(queries()) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
+
+
+def test_gates_are_asked_of_rows_written_once(spark, monkeypatch):
+    """No gate makes keys and classes again: each gets the table that the rows were written to."""
+    from weirflow.plans import queries as q
+
+    plans = []
+
+    def sync(rows, *a, **k):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return {"executed": False, "reason": None, "counts": None, "report": None}
+
+    monkeypatch.setattr(q.pipeline, "sync", sync)
+    q.sync_not_attempted(spark, str(DATA))
+    assert len(plans) == 5 and all("Window" not in p and "Exchange" not in p and p.count("FileScan") == 1 for p in plans)

@@ -325,7 +325,8 @@ def sync(
     merged into the ledger at the end, or by the next run if this one is cut off: it then sends none of them again, and the one
     that may have been under way only after a check by its external id (the sender's ``find``). A run that another has taken
     over from sends nothing more and raises ``Fenced``. ``entries_of``: the ledger version that the rows' own
-    ``ledger_entry`` is of; while it is the last, the rows needn't be joined with the ledger again.
+    ``ledger_entry`` is of; while it is the last, the rows needn't be joined with the ledger again. Behind a gate only the sorted
+    report is kept and ``considered`` is read twice, so it had better be a table than a long plan.
     """
     spark = considered.sparkSession
     tell = _teller(on_event)
@@ -335,22 +336,24 @@ def sync(
     with single_flight(spark, f"{state_root}/sync", lease) as held:
         book, before = open_ledger(spark, state_root, now, getattr(sender, "find", None), held)
         current = entries_of is not None and entries_of == book.current()["number"]
-        decided = ledger.decide(considered if current else considered.drop("ledger_entry"), before, gate).persist()
-        journal = Journal(spark, f"{state_root}/journal", RESULT, lease=held)
+        decided = ledger.decide(considered if current else considered.drop("ledger_entry"), before, gate)
+        journal, report = Journal(spark, f"{state_root}/journal", RESULT, lease=held), None
         try:
             if gate is None:
+                decided.persist()
                 tell("finance-start", {"considered": decided.count()})
                 outbound.send_each(decided.where("decision = 'send'"), sender, journal.add, lambda n: tell("finance-progress", {"sent": n}), journal.intend, journal.check)
-                finished = ledger.with_results(decided, journal.read()).persist()
+                finished = ledger.with_results(decided, journal.read())
             else:
                 tell("finance-not-attempted", {"reason": gate})
-                finished = decided.withColumns({"finance_status": F.col("decision"), "api_status": F.lit(None).cast("int"), "finance_transaction_id": F.lit(None).cast("string")}).persist()
-            counts = ledger.sync_counts(finished).first().asDict()
-            paths = write_report(ledger.audit(finished, run_id, now).orderBy("dedupKey"), counts, run_id, report_folder, one_file)
+                finished = decided.withColumns({"finance_status": F.col("decision"), "api_status": F.lit(None).cast("int"), "finance_transaction_id": F.lit(None).cast("string")})
+            # Sorted once, for the counts and both forms of the report.
+            report = ledger.audit(finished, run_id, now).orderBy("dedupKey").persist()
+            counts = ledger.sync_counts(report.withColumnRenamed("financeStatus", "finance_status")).first().asDict()
+            paths = write_report(report, counts, run_id, report_folder, one_file)
             if journal.n:
                 _record(book, journal.name, journal.read(), now)
             journal.drop()
-            finished.unpersist()
             tell("finance-done", counts)
             return {"executed": gate is None, "reason": gate, "ok": gate is None and counts["failed"] == 0, "counts": counts, "report": paths}
         except Exception as error:
@@ -358,6 +361,8 @@ def sync(
             raise
         finally:
             decided.unpersist()
+            if report is not None:
+                report.unpersist()
             book.close()
 
 

@@ -19,7 +19,7 @@ from weirflow.schema import LEDGER, RAW, SEEN, with_defaults
 from weirflow.sources.buckets import Bucketed
 from weirflow.sources.registry import Fetched, Registry, SourceAdapter
 from weirflow.sources.sinks import export_json, write_report
-from weirflow.sources.store import Checkpoints, Fenced, Files, Journal, Versioned, shared_dir
+from weirflow.sources.store import Checkpoints, Fenced, Files, Journal, Versioned, shared_dir, written
 from weirflow.sources.tables import TableSource, orders_raw, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -964,7 +964,8 @@ def send_all_or_stop(s: SparkSession, d: str) -> DataFrame:
 @query
 def sync_not_attempted(s: SparkSession, d: str) -> DataFrame:
     """A sync behind each gate: nothing is sent; a fetch-only run hasn't even a report."""
-    rows, folder = _classified(s, d), scratch_folder(s)
+    # As a run leaves them: written once, whatever is then asked of them.
+    rows, folder = written(_classified(s, d), "considered"), scratch_folder(s)
     out = []
     for gate in (ledger.FETCH_ONLY, *ledger.GATES):
         got = pipeline.sync(rows, f"{folder}/state", f"{folder}/reports", "r", NOW, lambda p: (201, None), gate, one_file=False)
